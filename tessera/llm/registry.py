@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprint, sharding, urlrules
+from tessera.llm import decontaminate, fingerprint, langid, quality, sharding, toxicity, urlrules
 from tessera.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprint(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -22,8 +30,23 @@ def op7_shard(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_QUERIES = (
+    op1_url_rules,
+    op2_decontaminate,
+    op3_language,
+    op5_toxicity,
+    op6_fingerprint,
+    op7_shard,
+    op9_quality,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_rules, op2_decontaminate, op6_fingerprint, op7_shard)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
