@@ -87,9 +87,12 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
 
 
 class Tokens:
-    """The words of a chunk: byte ranges, document numbers and prefix-sum hashes."""
+    """The words of a chunk: byte ranges, document numbers and prefix-sum hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD_BYTES, lower: bool = True):
+    ``lower`` folds A-Z and the Latin-1 capitals; ``"ascii"`` folds A-Z only.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD_BYTES, lower: bool | str = True):
         self.offsets = offsets
         inside = word[data]
         n = len(data)
@@ -107,7 +110,7 @@ class Tokens:
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
-        if lower and n:
+        if lower is True and n:
             # Latin-1 capitals (two bytes, 0xC3 first) fold as A-Z do.
             capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
             if capital.any():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprint, langid, quality, sharding, toxicity, urlrules
+from tessera.llm import decontaminate, fingerprint, langid, quality, setjoin, sharding, toxicity, urlrules
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op9_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_url_rules,
     op2_decontaminate,
@@ -42,6 +46,7 @@ _QUERIES = (
     op6_fingerprint,
     op7_shard,
     op9_quality,
+    op10_jaccard_join,
 )
 
 
