@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds one row (term, doc_id, pos) for each occurrence of the terms it
-was asked to store.  A phrase is looked up from its rarest terms: the list of the
+The index holds one row (term, key, pos) for each occurrence of the terms it was
+asked to store; ``key`` is a 64-bit hash of the document's id and text.  A phrase is looked up from its rarest terms: the list of the
 rarest term gives candidate starts (pos minus the term's offset in the phrase),
 the offset-adjusted list of the next rarest thins them, and what is left is
 compared with the document's words.  A proximity query joins two lists within a
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, materialize
 
-#: What counts as a word after A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words after A-Z are lowered.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Offset-adjusted lists that are intersected before words are compared.
 LISTS = 2
@@ -30,7 +30,7 @@ MOST_BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -48,8 +48,8 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, pos) of every word of every document."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """(key, pos, term) of every word of every document."""
+    return docs.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -61,53 +61,41 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(term, n): occurrences in the corpus of each of ``terms``; 0 where there are none."""
     found = occurrences(docs).join(sized(terms.select("term"), n_terms), "term", "left_semi").groupBy("term").count()
-    return terms.select("term").join(found, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
+    out = terms.select("term").join(found, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
+    return materialize(out, "counts")
 
 
 def phrase_starts(index: DataFrame, lists: DataFrame, n_lists: int) -> DataFrame:
-    """(win, doc_id, start) where the rarest terms of a phrase stand as the phrase has them.
+    """(win, key, start) where the rarest terms of a phrase stand as the phrase has them.
 
     ``lists`` has (win, role, term, offset), role 1 the rarest.
     """
     side = lambda k: sized(lists.where(F.col("role") == k).select("win", "term", "offset"), n_lists)
-    at = lambda k: index.join(side(k), "term").select("win", "doc_id", (F.col("pos") - F.col("offset")).alias("start"))
+    at = lambda k: index.join(side(k), "term").select("win", "key", (F.col("pos") - F.col("offset")).alias("start"))
     out = at(1).where(F.col("start") >= 0)
     for k in range(2, LISTS + 1):
         short = lists.groupBy("win").agg(F.max("role").alias("most")).where(F.col("most") < k).select("win")
         whole = out.join(sized(short, n_lists), "win", "left_semi")
-        more = at(k)
-        same = (
-            (F.col("a.win") == F.col("b.win"))
-            & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-            & (F.col("a.start") == F.col("b.start"))
-        )
-        out = out.alias("a").join(more.alias("b"), same, "left_semi").unionByName(whole)
+        out = out.join(at(k), ["win", "key", "start"], "left_semi").unionByName(whole)
     return out.distinct()
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
-    """(pair, doc_id, pos_a, pos_b): occurrences of ``term_a`` and ``term_b`` within ``distance`` words.
+    """(pair, key, pos_a, pos_b): occurrences of ``term_a`` and ``term_b`` within ``distance`` words.
 
     Positions fall into blocks of ``distance + 1``; a match lies in one block or
     in neighbours, so the join is on equality throughout.
     """
     wide = distance + 1
+    block = F.floor(F.col("pos") / wide)
     left = index.join(pairs.select("pair", F.col("term_a").alias("term")), "term").select(
-        "pair", "doc_id", F.col("pos").alias("pos_a"), F.floor(F.col("pos") / wide).alias("block")
+        "pair", "key", F.col("pos").alias("pos_a"), block.alias("block")
     )
     right = index.join(pairs.select("pair", F.col("term_b").alias("term")), "term").select(
-        "pair",
-        "doc_id",
-        F.col("pos").alias("pos_b"),
-        F.explode(F.array(*[F.floor(F.col("pos") / wide) + d for d in (-1, 0, 1)])).alias("block"),
+        "pair", "key", F.col("pos").alias("pos_b"), F.explode(F.array(block - 1, block, block + 1)).alias("block")
     )
-    same = (
-        (F.col("l.pair") == F.col("r.pair"))
-        & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-        & (F.col("l.block") == F.col("r.block"))
-        & (F.abs(F.col("pos_a") - F.col("pos_b")) <= distance)
-    )
-    return left.alias("l").join(right.alias("r"), same).select("l.pair", "l.doc_id", "pos_a", "pos_b")
+    near = F.abs(F.col("pos_a") - F.col("pos_b")) <= distance
+    return left.join(right, ["pair", "key", "block"]).where(near).select("pair", "key", "pos_a", "pos_b")
 
 
 def _rarest(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -129,66 +117,73 @@ def _covered(hits: str) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
-    A document word is hit when it lies in any occurrence of any window.
+
+def window_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, hits): the true occurrences in each document that has any.
+
+    ``docs`` has (doc_id, text, key), ``found`` the windows; hits are structs
+    (start, size, win) in order.
     """
-    found = materialize(windows(benchmark, width), "windows")
-    wins = found.select("win", "terms").distinct()
+    wins = materialize(found.select("win", "terms").distinct(), "wins")
     vocabulary = materialize(wins.select(F.explode("terms").alias("term")).distinct(), "terms")
     n_terms = vocabulary.count()
     counts = term_counts(docs, vocabulary, n_terms)
     # A window with a word that the corpus lacks occurs nowhere.
     lists = materialize(_rarest(wins, counts), "lists")
-    absent = materialize(counts.where(F.col("n") == 0).select("term"), "absent")
-    dead = lists.join(absent, "term", "left_semi").select("win").distinct()
+    absent = counts.where(F.col("n") == 0).select("term")
+    dead = wins.select("win", F.explode("terms").alias("term")).join(absent, "term", "left_semi").select("win").distinct()
     lists = materialize(lists.join(dead, "win", "left_anti"), "lists")
     n_lists = lists.count()
-    sought = lists.select("term").distinct()
-    index = build_index(docs, sought, min(n_terms, n_lists))
-    starts = phrase_starts(index, lists, n_lists)
-    texts = sized(wins, n_lists)
-    named = starts.join(texts, "win").groupBy("doc_id").agg(
+    index = build_index(docs, lists.select("term").distinct(), min(n_terms, n_lists))
+    starts = materialize(phrase_starts(index, lists, n_lists), "starts")
+    named = starts.join(sized(wins, n_lists), "win").groupBy("key").agg(
         F.collect_list(F.struct("start", F.size("terms").alias("size"), "win", "terms")).alias("_cand")
     )
+    named = materialize(named, "candidates")
     # Words are compared here: each candidate against its own document.
-    own = docs.withColumn("_words", words(F.col("text")))
-    both = own.alias("d").join(named.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id")), "left")
+    own = docs.join(sized(named, named.count()), "key").select("doc_id", "key", "_cand", words(F.col("text")).alias("_words"))
     true = F.filter("_cand", lambda c: F.slice(F.col("_words"), c["start"] + 1, c["size"]) == c["terms"])
-    judged = both.withColumn(
-        "_hits", F.sort_array(F.coalesce(true, F.expr("cast(array() as array<struct<start:int,size:int,win:string,terms:array<string>>>)")))
-    )
-    scored = judged.select(
-        *[F.col(f"d.{c}") for c in docs.columns],
-        F.size("_words").cast("long").alias("n_words"),
-        _covered("_hits").alias("n_hit"),
-        F.array_distinct(F.transform("_hits", lambda h: h["win"])).alias("_wins"),
-    )
-    return _with_items(scored, found, n_lists)
+    kept = F.transform(true, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["win"].alias("win")))
+    hits = own.select("doc_id", "key", F.sort_array(kept).alias("hits")).where(F.size("hits") > 0)
+    return materialize(hits.dropDuplicates(["doc_id", "key"]), "hits")
+
 
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-def _with_items(scored: DataFrame, found: DataFrame, n_lists: int) -> DataFrame:
-    """Turn the windows that occur into item counts and a digest of item ids."""
+    A document word is hit when it lies in any occurrence of any window.
+    """
+    keyed = _keyed(docs)
+    found = materialize(windows(benchmark, width), "windows")
+    hits = window_hits(keyed.select("doc_id", "text", "key"), found)
     items = found.groupBy("win").agg(F.collect_set("item_id").alias("items"))
-    combos = scored.where(F.size("_wins") > 0).select("_wins").distinct()
-    told = (
-        combos.select("_wins", F.explode("_wins").alias("win"))
-        .join(sized(items, n_lists), "win")
-        .groupBy("_wins")
+    per_doc = (
+        hits.select("doc_id", "key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["win"]))).alias("win"))
+        .join(sized(items, found.count()), "win")
+        .groupBy("doc_id", "key")
         .agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("_ids"))
-        .select(
-            F.col("_wins").alias("_key"),
-            F.size("_ids").cast("long").alias("_n"),
-            F.sha2(F.array_join(F.sort_array(F.transform("_ids", lambda i: i.cast("string"))), ","), 256).alias("_sha"),
-        )
     )
-    out = scored.join(told, F.col("_wins") == F.col("_key"), "left")
+    same = lambda x: (F.col("h.key") == F.col(f"{x}.key")) & F.col("h.doc_id").eqNullSafe(F.col(f"{x}.doc_id"))
+    told = hits.alias("h").join(per_doc.alias("p"), same("p")).select(
+        F.col("h.doc_id").alias("doc_id"),
+        F.col("h.key").alias("key"),
+        _covered("hits").alias("n_hit"),
+        F.size("_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(F.transform("_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
+    )
+    told = materialize(told, "told")
+    all_docs = keyed.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
+    out = all_docs.alias("d").join(sized(told, told.count()).alias("h"), same("d"), "left")
     return out.select(
-        *[c for c in scored.columns if c != "_wins"],
-        F.coalesce("_n", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("_sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        *[F.col(f"d.{c}").alias(c) for c in docs.columns],
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("h.key").isNotNull().alias("contaminated"),
     )
 
 

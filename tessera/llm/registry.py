@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprint, langid, quality, setjoin, sharding, toxicity, urlrules
+from tessera.llm import decontaminate, fingerprint, langid, quality, repeats, setjoin, sharding, toxicity, urlrules
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_language(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark, sf_dir):
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ _QUERIES = (
     op1_url_rules,
     op2_decontaminate,
     op3_language,
+    op4_repeats,
     op5_toxicity,
     op6_fingerprint,
     op7_shard,

@@ -16,10 +16,11 @@ order of elements comes from a counting sketch over all documents, so frequent
 elements come last.  Pairs meet a parity sketch, whose Hamming distance never
 exceeds the symmetric difference, before their texts are compared exactly.
 
-Large lists do not pair all members.  Each list first links its members to one
-pivot; members that are then connected need no further pair.  Sets of lists that
-stay long are ordered again by their exact element counts, so that what makes
-them differ comes first, and only pairs that are not yet connected go on.
+Lists do not pair all members.  Each list first compares its members with one
+pivot; members that are then connected need no further pair.  The members of a
+long list are ordered again around its pivot: elements that the pivot lacks come
+first.  Under that order sets that differ much from the pivot share no early
+element, so only pairs that can link and are not yet connected go on.
 
 Elements are 58-bit hashes of word n-grams under 6 bits of frequency class.
 
@@ -54,8 +55,10 @@ SKETCH_BITS, SKETCH_PARTS = 20, 256
 PARITY_WORDS = 16
 #: Light sets never have more elements than this, whatever the cost estimate says.
 MOST_LIGHT = 24
-#: Lists above this length are ordered again by exact counts before pairs are formed.
+#: Lists above this length are ordered again around their pivot before pairs are formed.
 LONG_LIST = 64
+#: Document ids are broadcast up to this many (8 MB), else joined by shuffle.
+MOST_BROADCAST_IDS = 1_000_000
 
 _SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, light array<long>, heavy array<long>"
 
@@ -242,93 +245,73 @@ def _fits(a: str, b: str) -> Column:
 
 
 def candidate_members(posted: DataFrame) -> DataFrame:
-    """(g, doc, n, pos, size, p_doc, p_n, p_pos): members of lists with two or more, and the list's pivot.
+    """(g, doc, n, pos, size, pivot): members of lists with two or more, and the list's least document.
 
-    ``posted`` has (g, doc, n, pos, rank); the pivot is the member of least rank.
+    ``posted`` has (g, doc, n, pos).
     """
-    lists = posted.groupBy("g").agg(
-        F.count("*").alias("size"), F.min(F.struct("rank", "doc", "n", "pos")).alias("p")
-    ).where(F.col("size") > 1)
-    return posted.join(lists, "g").select(
-        "g", "doc", "n", "pos", "size", F.col("p.doc").alias("p_doc"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")
-    )
+    lists = posted.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where(F.col("size") > 1)
+    return posted.join(lists, "g").select("g", "doc", "n", "pos", "size", "pivot")
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b): every member with the pivot of its list."""
-    pair = members.select(
-        F.col("p_doc").alias("a"), F.col("p_n").alias("a_n"), F.col("p_pos").alias("a_pos"),
-        F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
-    )
-    kept = pair.where((F.col("a") != F.col("b")) & _fits("a", "b"))
-    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Distinct (a, b, long): every member with the pivot of its list; a pivot of a long list with itself."""
+    pair = members.groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg((F.max("size") > LONG_LIST).alias("long"))
+    return pair.where((F.col("a") != F.col("b")) | F.col("long"))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct (a, b) of one list that are in different components and not yet judged."""
+def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
+    """Distinct (a, b) of one list that are in different components and may link."""
     found = labels.select(F.col("node").alias("_node"), "component")
     told = members.join(found, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "doc"))
-    mixed = told.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("g")
-    left = told.join(mixed, "g").select("g", "doc", "n", "pos", "label")
-    named = lambda x: left.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "label")])
-    pairs = named("a").join(named("b"), "g").where((F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b"))
-    return pairs.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
+    left = told.join(mixed, key).select(*key, "doc", "n", "pos", "label")
+    named = lambda x: left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "label")])
+    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b")
+    return named("a").join(named("b"), key).where(cross).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: parity sketches first, then the texts themselves."""
+def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) whose parity sketches leave a link possible; no linking pair is lost."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_par"))
     far = F.aggregate(
         F.zip_with("a_par", "b_par", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, d: acc + d
     )
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(far * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM))
-    near = near.select("a", "b").distinct()
-
-    def judge(batches):
-        for batch in batches:
-            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
-            sides = []
-            for c in ("a_text", "b_text"):
-                data, offsets = kernels.flat(batch.column(c))
-                sides.append(shingles(data, offsets))
-            ok = []
-            for r in range(batch.num_rows):
-                x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
-            keep = np.array(ok, dtype=bool)
-            yield pa.record_batch([pa.array(ids[0][keep]), pa.array(ids[1][keep])], names=["a", "b"])
-
-    text = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.coalesce("text", F.lit("")).alias(f"{x}_text"))
-    full = near.join(text("a"), "a").join(text("b"), "b")
-    return full.select("a", "b", "a_text", "b_text").mapInArrow(judge, "a long, b long").distinct()
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return met.where(far * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM)).select("a", "b").distinct()
 
 
-def exact_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Postings of the ``chosen`` documents, ordered by exact counts among them.
+def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, link, n, early) by the texts themselves.
 
-    The pivot of a list is the set whose rarest element is most frequent: the one
-    in the middle of a group of near copies.
+    Where ``long``, ``n`` and ``early`` are the size of b's set and its first
+    elements in the order around a: those that a lacks, then the rest.
     """
 
-    def explode(batches):
-        flat = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+    def judge(batches):
         for batch in batches:
-            for rows, data, offsets in kernels.chunks(batch, limit=kernels.CHUNK_BYTES // 2):
-                keys, first = ordered_sets(data, offsets, flat)
-                ids = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), np.diff(first))
-                n = np.repeat(np.diff(first), np.diff(first))
-                yield pa.record_batch(
-                    [pa.array(ids), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64))], names=["doc", "n", "g"]
-                )
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
-    each = materialize(texts.mapInArrow(explode, "doc long, n int, g long"), "elements")
-    counts = each.groupBy("g").agg(F.count("*").alias("often"))
-    own = each.join(counts, "g").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("e"))
-    posts = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
-    head = own.select("doc", "n", (-F.col("e")[0]["often"]).alias("rank"), F.slice("e", 1, posts).alias("e"))
-    return head.select("doc", "n", "rank", F.posexplode("e").alias("pos", "_e")).select("doc", "n", "rank", "pos", F.col("_e.g").alias("g"))
+            sides = [shingles(*kernels.flat(batch.column(c))) for c in ("a_text", "b_text")]
+            wanted = batch.column("long").to_pylist()
+            ok, sizes, early = [], [], []
+            for r in range(batch.num_rows):
+                x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
+                shared = np.isin(y, x, assume_unique=True)
+                both = int(shared.sum())
+                ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
+                sizes.append(len(y))
+                posts = len(y) - least_partner(len(y)) + 1 if wanted[r] and len(y) else 0
+                early.append(np.concatenate([y[~shared], y[shared]])[:posts].view(np.int64))
+            yield pa.record_batch(
+                [batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), _lists(early)],
+                names=["a", "b", "link", "n", "early"],
+            )
+
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    texts = texts.join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    text = lambda x: texts.select(F.col("_doc").alias(x), F.col("_text").alias(f"{x}_text"))
+    full = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "long", "a_text", "b_text")
+    return full.mapInArrow(judge, "a long, b long, link boolean, n int, early array<long>")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -338,34 +321,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialize(build_sets(slim, element_sketch(slim)), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = usable.join(classes, ["k1", "k2"]).where(F.col("doc_id") == F.col("rep")).drop("rep").dropDuplicates(["doc_id", "k1", "k2"])
-    reps = materialize(reps, "reps")
+    chosen = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
+    reps = usable.dropDuplicates(["doc_id", "k1", "k2"]) if _repeats(usable) else usable
+    reps = reps.join(chosen, ["doc_id", "k1", "k2"], "left_semi")
 
     heavy = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("heavy").alias("pos", "g"))
     light = reps.select(F.col("doc_id").alias("doc"), "n", F.lit(-1).alias("pos"), F.explode("light").alias("g"))
-    posted = heavy.unionByName(light).withColumn("rank", F.lit(0).cast("long"))
-    members = materialize(candidate_members(posted), "members")
+    members = materialize(candidate_members(heavy.unionByName(light)), "members")
 
+    # Round one: every member against its pivot.
     first = materialize(pivot_pairs(members), "pairs")
-    links = materialize(linked(first, reps, slim), "links")
+    near = close_pairs(first.where("not long"), reps).withColumn("long", F.lit(False))
+    told = materialize(judged(materialize(near.unionByName(first.where("long")), "pairs"), slim), "judged")
+    links = told.where("link and a <> b").select("a", "b")
     labels = components(links)
-    known = first
 
-    crowded = materialize(members.where(F.col("size") > LONG_LIST).select(F.col("doc").alias("doc_id")).distinct(), "crowded")
-    again = materialize(candidate_members(exact_order(slim, crowded)), "members")
-    more = materialize(pivot_pairs(again).join(known, ["a", "b"], "left_anti"), "pairs")
-    links = materialize(links.unionByName(linked(more, reps, slim)).distinct(), "links")
-    labels = components(links)
-    known = known.unionByName(more)
-
-    rest = open_pairs(members.where(F.col("size") <= LONG_LIST), labels, known).unionByName(open_pairs(again, labels, known)).distinct()
-    links = links.unionByName(linked(materialize(rest, "pairs"), reps, slim))
+    # Round two: what the lists still leave open between components.
+    around = told.where(F.size("early") > 0).select(
+        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", F.posexplode("early").alias("pos", "g")
+    )
+    short = members.where(F.col("size") <= LONG_LIST)
+    rest = open_pairs(short, ["g"], labels).unionByName(open_pairs(around, ["pivot", "g"], labels)).distinct()
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = close_pairs(rest.join(done, ["a", "b"], "left_anti"), reps).withColumn("long", F.lit(False))
+    more = judged(materialize(rest, "pairs"), slim).where("link").select("a", "b")
 
     # Rows of one doc_id with different texts are one document.
     shared = usable.select("doc_id", "k1", "k2").distinct()
     several = shared.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
     own = shared.join(several, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = materialize(links.unionByName(own.where("a <> b")).distinct(), "links")
+    links = materialize(links.unionByName(more).unionByName(own.where("a <> b")).distinct(), "links")
     labels = components(links).select(F.col("node").alias("_node"), "component")
 
     placed = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "k1", "k2").join(
@@ -376,3 +361,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return placed.join(labels, F.col("rep") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
+
+
+def _repeats(usable: DataFrame) -> bool:
+    """Whether some row of (doc_id, set) is there twice."""
+    return usable.groupBy("doc_id", "k1", "k2").count().where(F.col("count") > 1).limit(1).count() > 0
