@@ -238,10 +238,10 @@ def _results(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, kind) for c, (_, kind) in zip(cols, _DONE, strict=True)]
 
 
-def _by_document(facts: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_document(facts: pa.Table, name: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(facts sorted by document, first fact of each of ``ids`` and the end)."""
     rid = facts.column("rid").to_numpy()
-    fact = facts.column(facts.column_names[-1]).to_numpy()
+    fact = facts.column(name).to_numpy()
     order = np.argsort(rid, kind="stable")
     rid, fact = rid[order], fact[order]
     return fact, np.stack([np.searchsorted(rid, ids), np.searchsorted(rid, ids, side="right")], axis=1)
@@ -252,7 +252,7 @@ def _order_windows(groups: int):
 
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
         ids = docs.column("rid").to_numpy()
-        found, span = _by_document(facts, ids)
+        found, span = _by_document(facts, "fact", ids)
         done, wait, asked, books = [], [], [], []
         at = 0
         for batch in docs.combine_chunks().to_batches():
@@ -354,7 +354,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 def _cut_documents(docs: pa.Table, starts: pa.Table) -> pa.Table:
     """Reducer: waiting documents with their repeated windows."""
     ids = docs.column("rid").to_numpy()
-    found, span = _by_document(starts, ids)
+    found, span = _by_document(starts, "start", ids)
     out = []
     for d, (text, known) in enumerate(zip(docs.column("text").to_pylist(), docs.column("payload").to_pylist(), strict=True)):
         own = np.frombuffer(text, dtype=np.uint8)
