@@ -1,4 +1,81 @@
-"""Placeholder until the stages are in place."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+result as Parquet to the shared folder and reads it back as the next stage's
+``docs``.  All stages but the last return the columns they got.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, setjoin, sharding, toxicity
+from tessera.llm.common import materialize, small_batches, table
+
+#: Number of shards that the last stage deals the corpus into.
+SHARDS = 40
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold, whole."""
+    small_batches(spark)
+    lexicon = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, lexicon)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram Jaccard join links: the least doc_id.
+
+    Documents without words, and rows without doc_id, link with nothing and stay.
+    """
+    found = setjoin.jaccard_components(docs).where(F.col("component_id") == F.col("doc_id"))
+    kept = materialize(found.select("doc_id").distinct(), "kept")
+    named = docs.where(F.col("doc_id").isNotNull())
+    # Rows of one doc_id are one document; the first text stands for it.
+    held = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if held.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
+        rest = [c for c in docs.columns if c != "doc_id"]
+        held = held.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_order"), *rest)).alias("_one"))
+        held = held.select("doc_id", *[F.col("_one")[c].alias(c) for c in rest]).select(*docs.columns)
+    return held.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    hits = decontaminate.contaminated_keys(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without(docs, hits)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the tempered mix of sources, each as often as it takes a turn.
+
+    The token budget is the size of what came in, so over-full sources shrink and
+    thin ones repeat.
+    """
+    return mixing.mixed_copies(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and its slot in it."""
+    return sharding.shard_rows(docs, SHARDS, [F.col("doc_id"), F.col("text")])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
+
+#: The learned scores and the drawn permutations have no SQL form.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the whole ``documents`` table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

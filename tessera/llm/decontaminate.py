@@ -187,6 +187,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     )
 
 
+def contaminated_keys(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(doc_id, key) of the documents with any true occurrence."""
+    found = materialize(windows(benchmark, width), "windows")
+    return window_hits(_keyed(docs.select("doc_id", "text")), found).select("doc_id", "key")
+
+
+def without(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``docs`` but for the rows that ``hits`` (doc_id, key) names."""
+    bad = sized(hits.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), hits.count())
+    same = (F.xxhash64("doc_id", "text") == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
+    return docs.join(bad, same, "left_anti")
+
+
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest report: one row for each document."""
     told = contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fingerprint, langid, quality, repeats, setjoin, sharding, toxicity, urlrules
+import corpus_pipeline
+from tessera.llm import decontaminate, fingerprint, langid, mixing, quality, repeats, setjoin, sharding, toxicity, urlrules
 from tessera.llm.common import table
 
 
@@ -34,6 +35,10 @@ def op7_shard(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,13 +55,14 @@ _QUERIES = (
     op5_toxicity,
     op6_fingerprint,
     op7_shard,
+    op8_mixing,
     op9_quality,
     op10_jaccard_join,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

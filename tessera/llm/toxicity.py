@@ -313,3 +313,16 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), embedding.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text"
     )
     return score_documents(rows, lexicon).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with all their columns."""
+
+    def keep(batches):
+        for batch in batches:
+            for rows, data, offsets in kernels.chunks(batch):
+                tokens = kernels.Tokens(data, offsets)
+                evidence, _ = _evidence(lexicon.scores(tokens), tokens.first, lexicon)
+                yield rows.filter(pa.array(_probability(evidence, lexicon) < THRESHOLD))
+
+    return docs if lexicon is None else docs.mapInArrow(keep, docs.schema)
