@@ -59,6 +59,8 @@ MOST_LIGHT = 24
 LONG_LIST = 64
 #: Document ids are broadcast up to this many (8 MB), else joined by shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+#: Text bytes of either side that are compared at once.
+JUDGED_BYTES = 1 << 19
 
 _SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, light array<long>, heavy array<long>"
 
@@ -280,6 +282,24 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(far * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM)).select("a", "b").distinct()
 
 
+def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
+    sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c)))) for c in ("a_text", "b_text")]
+    wanted = rows.column("long").to_pylist()
+    ok, sizes, early = [], [], []
+    for r in range(rows.num_rows):
+        x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
+        shared = np.isin(y, x, assume_unique=True)
+        both = int(shared.sum())
+        ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
+        sizes.append(len(y))
+        posts = len(y) - least_partner(len(y)) + 1 if wanted[r] and len(y) else 0
+        early.append(np.concatenate([y[~shared], y[shared]])[:posts].view(np.int64))
+    return pa.record_batch(
+        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), _lists(early)],
+        names=["a", "b", "link", "n", "early"],
+    )
+
+
 def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, link, n, early) by the texts themselves.
 
@@ -289,21 +309,9 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def judge(batches):
         for batch in batches:
-            sides = [shingles(*kernels.flat(batch.column(c))) for c in ("a_text", "b_text")]
-            wanted = batch.column("long").to_pylist()
-            ok, sizes, early = [], [], []
-            for r in range(batch.num_rows):
-                x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
-                shared = np.isin(y, x, assume_unique=True)
-                both = int(shared.sum())
-                ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
-                sizes.append(len(y))
-                posts = len(y) - least_partner(len(y)) + 1 if wanted[r] and len(y) else 0
-                early.append(np.concatenate([y[~shared], y[shared]])[:posts].view(np.int64))
-            yield pa.record_batch(
-                [batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), _lists(early)],
-                names=["a", "b", "link", "n", "early"],
-            )
+            for some, _, _ in kernels.chunks(batch, "a_text", JUDGED_BYTES):
+                for rows, _, _ in kernels.chunks(some, "b_text", JUDGED_BYTES):
+                    yield _judge_rows(rows)
 
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
