@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,20 @@ def ascii_lower(col):
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches near a few MB of text: Python workers then need little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def fit_on_worker(sample: DataFrame, fit: Callable[[pa.Table], dict | None]) -> dict | None:
+    """``fit`` over a bounded sample by doc_id, in one task; only the fitted values reach the driver.
+
+    The sample's size is a parameter of whoever calls, so the task is as small at
+    any corpus size.  None when the sample is empty.
+    """
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            found = fit(pa.Table.from_batches(held).combine_chunks())
+            yield pa.record_batch([pa.array([pickle.dumps(found)], pa.large_binary()).cast(pa.binary())], names=["fitted"])
+
+    row = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "fitted binary").first()
+    return None if row is None else pickle.loads(bytes(row["fitted"]))

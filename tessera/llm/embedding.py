@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
+from tessera.llm.common import fit_on_worker
 
 #: A document's features: (buckets, counts), both 1-d.
 Features = tuple[np.ndarray, np.ndarray]
@@ -155,9 +156,21 @@ def logits_of(data: np.ndarray, offsets: np.ndarray, model: Model, extract: Extr
     return total
 
 
-def collect_sample(rows: DataFrame, label: str) -> tuple[pa.Array, list]:
-    """Texts and labels of a bounded sample, on the driver."""
-    got = rows.select("text", F.col(label).alias("label")).toArrow().combine_chunks()
-    text = got.column("text")
-    text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-    return text, got.column("label").to_pylist()
+def fit_sample(sample: DataFrame, classes: list | None, extract: Extractor, cfg: Settings) -> Model | None:
+    """Fit on (text, label) rows of a bounded sample; ``classes`` default to the labels found.
+
+    None unless there are two of the given classes, or any class where none are given.
+    """
+
+    def run(table: pa.Table) -> dict | None:
+        found = table.column("label").to_pylist()
+        names = classes or sorted(set(found))
+        if classes and len(set(found)) < 2:
+            return None
+        text = table.column("text")
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        labels = np.array([names.index(x) for x in found])
+        return vars(fit(features(text, extract, cfg.bits), labels, names, cfg))
+
+    values = fit_on_worker(sample.select("doc_id", "text", "label"), run)
+    return None if values is None else Model(**values)

@@ -44,12 +44,7 @@ def learn(docs: DataFrame, settings: embedding.Settings = SETTINGS) -> embedding
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~embedding.held_out(F.col("doc_id"), 3, 1)
     )
     sample = embedding.training_sample(rows.select("doc_id", "text", "lang"), F.col("doc_id"), settings.sample_rows)
-    text, langs = embedding.collect_sample(sample, "lang")
-    classes = sorted(set(langs))
-    if not classes:
-        return None
-    labels = np.array([classes.index(x) for x in langs])
-    return embedding.fit(embedding.features(text, extract, settings.bits), labels, classes, settings)
+    return embedding.fit_sample(sample.withColumnRenamed("lang", "label"), None, extract, settings)
 
 
 def identify(docs: DataFrame, model: embedding.Model | None) -> DataFrame:

@@ -55,10 +55,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: embedding.Settings = SET
     )
     chosen = embedding.training_sample(marks, F.col("_id"), settings.sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    text, found = embedding.collect_sample(rows, "label")
-    if len(set(found)) < 2:
-        return None
-    return embedding.fit(embedding.features(text, extract, settings.bits), np.array(found), [0, 1], settings)
+    return embedding.fit_sample(rows, [0, 1], extract, settings)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

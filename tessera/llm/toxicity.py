@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import embedding, kernels
-from tessera.llm.common import small_batches
+from tessera.llm.common import fit_on_worker, small_batches
 
 #: Labelled texts of each class that a fit may read, about.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 4000
@@ -259,10 +259,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon | None:
     ]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by the two parameters
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, F.col("doc_id") == F.col("_id"))
-    texts, found = embedding.collect_sample(rows, "label")
-    if len(set(found)) < 2:
-        return None
-    return learn_lexicon(texts, np.array(found))
+
+    def fit(table: pa.Table) -> dict | None:
+        found = np.array(table.column("label").to_pylist())
+        if len(set(found.tolist())) < 2:
+            return None
+        texts = table.column("text")
+        return vars(learn_lexicon(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, found))
+
+    values = fit_on_worker(rows.select("doc_id", "text", "label"), fit)
+    return None if values is None else Lexicon(**values)
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon | None, schema: str = "doc_id long, held_out boolean") -> DataFrame:
