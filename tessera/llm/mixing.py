@@ -93,25 +93,35 @@ def plan_mix(sources: list, tokens: list[int], budget: int, target=TARGET_ENTROP
 
 def n_tokens(text: Column) -> Column:
     """Runs of non-blanks."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(
-        F.octet_length(squeezed) - F.octet_length(F.translate(squeezed, " ", "")) + 1
-    ).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+")
+    edges = (F.element_at(parts, 1) == "").cast("long") + ((F.element_at(parts, -1) == "") & (F.size(parts) > 1)).cast("long")
+    return (F.size(parts) - edges).cast("long")
 
 
 def source_tokens(docs: DataFrame, source: str) -> DataFrame:
     return docs.groupBy(F.col(source).alias("source")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
 
 
+def keyed_rows(docs: DataFrame, seed: int, text: str = "text") -> DataFrame:
+    """``docs`` with _tokens and _turn, the hash that orders permutations."""
+    key = [F.col(c) for c in ("doc_id", text) if c in docs.columns]
+    return docs.withColumn("_tokens", n_tokens(F.col(text))).withColumn("_turn", F.xxhash64(F.lit(f"mix-{seed}"), *key))
+
+
 def mixed_rows(docs: DataFrame, budget: int | None = None, seed: int = 5, source: str = "source", text: str = "text") -> DataFrame:
     """Rows of the mix: ``docs`` with _tokens and _copies (at least 1), the turns each row takes.
 
     ``budget`` defaults to the corpus size.
     """
-    spark = docs.sparkSession
-    key = [F.col(c) for c in ("doc_id", text) if c in docs.columns]
-    keyed = docs.withColumn("_tokens", n_tokens(F.col(text))).withColumn("_turn", F.xxhash64(F.lit(f"mix-{seed}"), *key))
-    stats = source_tokens(keyed, source).limit(MOST_SOURCES + 1).collect()
+    keyed = keyed_rows(docs, seed, text)
+    light = materialize(keyed.select(source, "_tokens", "_turn"), "turns")
+    return _dealt(keyed, light, budget, seed, source).select(*docs.columns, "_tokens", "_copies")
+
+
+def _dealt(keyed: DataFrame, light: DataFrame, budget: int | None, seed: int, source: str) -> DataFrame:
+    """``keyed`` rows that take a turn, with _copies; ``light`` has what the plan needs of them."""
+    spark = keyed.sparkSession
+    stats = source_tokens(light, source).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     stats.sort(key=lambda r: (r["source"] is not None, str(r["source"])))
@@ -125,11 +135,13 @@ def mixed_rows(docs: DataFrame, budget: int | None = None, seed: int = 5, source
         "_source string, _blocks int, _passes long, _rest long",
     )
     plan = F.broadcast(plan) if len(stats) <= 10_000 else plan
-    placed = keyed.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_source"))).withColumn(
-        "_block", F.pmod("_turn", F.col("_blocks")).cast("int")
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        met = rows.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_source")))
+        return met.withColumn("_block", F.pmod("_turn", F.col("_blocks")).cast("int"))
+
     # Blocks of a source in random order: where in the partial pass does each begin?
-    sums = placed.groupBy("_source", "_block", "_rest").agg(F.sum("_tokens").alias("_sum"))
+    sums = place(light).groupBy("_source", "_block", "_rest").agg(F.sum("_tokens").alias("_sum"))
     order = F.xxhash64(F.lit(f"blocks-{seed}"), "_source", "_block")
     before = Window.partitionBy("_source").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, -1)
     begins = materialize(
@@ -138,7 +150,7 @@ def mixed_rows(docs: DataFrame, budget: int | None = None, seed: int = 5, source
         ),
         "blocks",
     )
-    met = placed.join(begins, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    met = place(keyed).join(begins, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
     inside = (F.col("_begin") < F.col("_rest")) & (F.col("_begin") + F.col("_sum") > F.col("_rest"))
     whole = met.where(~inside).withColumn(
         "_extra", ((F.col("_begin") + F.col("_sum") <= F.col("_rest")) & (F.col("_rest") > 0)).cast("long")
@@ -147,7 +159,7 @@ def mixed_rows(docs: DataFrame, budget: int | None = None, seed: int = 5, source
     cut = met.where(inside).withColumn("_at", F.col("_begin") + F.coalesce(F.sum("_tokens").over(rows), F.lit(0)))
     cut = cut.withColumn("_extra", (F.col("_at") < F.col("_rest")).cast("long")).drop("_at")
     out = whole.unionByName(cut).withColumn("_copies", F.col("_passes") + F.col("_extra"))
-    return out.where(F.col("_copies") > 0).select(*docs.columns, "_tokens", "_copies")
+    return out.where(F.col("_copies") > 0)
 
 
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
@@ -158,9 +170,12 @@ def mixed_copies(docs: DataFrame, **options) -> DataFrame:
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """One row for each turn of a document: doc_id, source, n_tokens, copy."""
-    slim = mixed_rows(docs.select("doc_id", "source", "text"))
+    seed = 5
+    keyed = keyed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed).drop("text")
+    light = materialize(keyed, "turns")
+    slim = _dealt(light, light, None, seed, "source")
     return slim.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         "source",
         F.col("_tokens").alias("n_tokens"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"),
