@@ -15,6 +15,8 @@ from tessera.llm.common import materialize, small_batches, table
 
 #: Number of shards that the last stage deals the corpus into.
 SHARDS = 40
+#: Share of the greatest entropy over sources that the mix is to reach.
+MIX_ENTROPY = 0.9
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +52,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the tempered mix of sources, each as often as it takes a turn.
 
-    The token budget is the size of what came in, so over-full sources shrink and
-    thin ones repeat.
+    The budget is the least that keeps every document: the fullest source is
+    passed over once, and thin ones repeat until the weights are met.
     """
-    return mixing.mixed_copies(docs)
+    return mixing.mixed_copies(docs, budget=mixing.WHOLE, target=MIX_ENTROPY)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

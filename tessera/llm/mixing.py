@@ -12,7 +12,10 @@ permutation in two levels: its hash blocks in random order up to the block where
 the budget ends, and inside that block rows in random order.  Blocks hold a
 bounded number of rows, so no source, however large, is sorted in one task.
 
-Each source misses its budget by less than its largest document.
+Each source misses its budget by less than its largest document.  The budget is a
+number of tokens, by default the size of the corpus; ``WHOLE`` stands for the least
+budget under which every source is passed over at least once, so that weights are
+met by repeating thin sources and no document is left out.
 
 Defined results: tokens are runs of non-blanks, so a null or empty text has none;
 such rows belong to their source's passes and, in the partial pass, go with their
@@ -35,6 +38,8 @@ from tessera.llm.common import materialize
 TARGET_ENTROPY = 0.98
 #: No source is passed over more often than this.
 MOST_REPEATS = 4.0
+#: The budget that leaves no document out.
+WHOLE = "whole"
 #: Average rows in a permutation block.
 ROWS_PER_BLOCK = 2048
 #: Sources may be this many; their shares are held on the driver.
@@ -62,7 +67,15 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def most_repeats(tokens: list[int], alpha: float, budget: int) -> float:
+def budget_at(tokens: list[int], alpha: float, budget: int | str) -> float:
+    """The token budget at an exponent."""
+    if budget != WHOLE:
+        return budget
+    return max(t / w for t, w in zip(tokens, tempered(tokens, alpha), strict=True) if t)
+
+
+def most_repeats(tokens: list[int], alpha: float, budget: int | str) -> float:
+    budget = budget_at(tokens, alpha, budget)
     return max((w * budget / t for w, t in zip(tempered(tokens, alpha), tokens, strict=True) if t), default=0.0)
 
 
@@ -74,10 +87,10 @@ def _bisect(good, low: float, high: float) -> float:
     return low
 
 
-def plan_mix(sources: list, tokens: list[int], budget: int, target=TARGET_ENTROPY, repeats=MOST_REPEATS) -> Mix:
+def plan_mix(sources: list, tokens: list[int], budget: int | str, target=TARGET_ENTROPY, repeats=MOST_REPEATS) -> Mix:
     """Bisect the exponent for the target entropy within the repetition limit."""
     live = sum(1 for t in tokens if t)
-    if not live or budget <= 0:
+    if not live or (budget != WHOLE and budget <= 0):
         return Mix(1.0, sources, tokens, [0.0] * len(tokens), [0] * len(tokens))
     enough = target * math.log(live)
     reaches = lambda a: entropy(tempered(tokens, a)) >= enough - 1e-12
@@ -87,7 +100,8 @@ def plan_mix(sources: list, tokens: list[int], budget: int, target=TARGET_ENTROP
         # Nearer 1 every source repeats as often as the budget exceeds the corpus.
         alpha = 1.0 if not keeps(1.0) else 1.0 - _bisect(lambda x: keeps(1.0 - x), 0.0, 1.0 - alpha)
     weights = tempered(tokens, alpha)
-    budgets = [round(w * budget) for w in weights]
+    whole = budget_at(tokens, alpha, budget)
+    budgets = [max(round(w * whole), t if budget == WHOLE else 0) for w, t in zip(weights, tokens, strict=True)]
     return Mix(alpha, sources, tokens, weights, budgets)
 
 
@@ -108,17 +122,18 @@ def keyed_rows(docs: DataFrame, seed: int, text: str = "text") -> DataFrame:
     return docs.withColumn("_tokens", n_tokens(F.col(text))).withColumn("_turn", F.xxhash64(F.lit(f"mix-{seed}"), *key))
 
 
-def mixed_rows(docs: DataFrame, budget: int | None = None, seed: int = 5, source: str = "source", text: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, budget: int | str | None = None, target: float = TARGET_ENTROPY, seed: int = 5,
+               source: str = "source", text: str = "text") -> DataFrame:
     """Rows of the mix: ``docs`` with _tokens and _copies (at least 1), the turns each row takes.
 
     ``budget`` defaults to the corpus size.
     """
     keyed = keyed_rows(docs, seed, text)
     light = materialize(keyed.select(source, "_tokens", "_turn"), "turns")
-    return _dealt(keyed, light, budget, seed, source).select(*docs.columns, "_tokens", "_copies")
+    return _dealt(keyed, light, budget, target, seed, source).select(*docs.columns, "_tokens", "_copies")
 
 
-def _dealt(keyed: DataFrame, light: DataFrame, budget: int | None, seed: int, source: str) -> DataFrame:
+def _dealt(keyed: DataFrame, light: DataFrame, budget: int | str | None, target: float, seed: int, source: str) -> DataFrame:
     """``keyed`` rows that take a turn, with _copies; ``light`` has what the plan needs of them."""
     spark = keyed.sparkSession
     stats = source_tokens(light, source).limit(MOST_SOURCES + 1).collect()
@@ -126,10 +141,10 @@ def _dealt(keyed: DataFrame, light: DataFrame, budget: int | None, seed: int, so
         raise ValueError(f"more than {MOST_SOURCES} sources")
     stats.sort(key=lambda r: (r["source"] is not None, str(r["source"])))
     tokens = [r["tokens"] or 0 for r in stats]
-    mix = plan_mix([r["source"] for r in stats], tokens, sum(tokens) if budget is None else budget)
+    mix = plan_mix([r["source"] for r in stats], tokens, sum(tokens) if budget is None else budget, target)
     plan = spark.createDataFrame(
         [
-            (s, max(1, math.ceil(r["rows"] / ROWS_PER_BLOCK)), b // t if t else 0, b % t if t else 0)
+            (s, max(1, math.ceil(r["rows"] / ROWS_PER_BLOCK)), b // t if t else int(budget == WHOLE), b % t if t else 0)
             for s, r, t, b in zip(mix.sources, stats, tokens, mix.budgets, strict=True)
         ],
         "_source string, _blocks int, _passes long, _rest long",
@@ -173,7 +188,7 @@ def mixing_report(docs: DataFrame) -> DataFrame:
     seed = 5
     keyed = keyed_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed).drop("text")
     light = materialize(keyed, "turns")
-    slim = _dealt(light, light, None, seed, "source")
+    slim = _dealt(light, light, None, TARGET_ENTROPY, seed, "source")
     return slim.select(
         "doc_id",
         "source",

@@ -105,7 +105,7 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     n = len(data)
     padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(length + 8, dtype=np.uint64)])
     packed = np.zeros(n + length, dtype=np.uint64)
-    step = 7  # 9 bits each: 0 stands for the end
+    step = min(7, length)  # 9 bits each: 0 stands for the end
     for k in range(step):
         packed = (packed << np.uint64(9)) | padded[k : k + n + length]
     rank = np.unique(packed, return_inverse=True)[1].astype(np.uint64)

@@ -6,23 +6,25 @@ pair must share:
 
 * light sets (few elements) list their subsets of each size that an intersection
   with a partner can require; a linking pair of light sets shares one of them;
-* heavy sets post their rarest elements into inverted lists (a prefix, in one
-  global order); a linking pair shares a list at positions that leave room for
-  the required intersection.
+* heavy sets scan inverted lists.  Their elements fall into blocks by hash, one
+  block more than a link leaves differences plus one, so a linking pair agrees in
+  two blocks at least.  A list is keyed by the whole content of a block: sets that
+  merely share a frequent passage do not meet.
 
 The size at which a set becomes heavy is where its subsets would cost more than
-scanning its lists, estimated from the element counts of the whole corpus.  The
-order of elements comes from a counting sketch over all documents, so frequent
-elements come last.  Pairs meet a parity sketch, whose Hamming distance never
-exceeds the symmetric difference, before their texts are compared exactly.
+its list entries.  Sets fall into size classes, and the number of blocks follows
+the class; sets near a border also post for the border.  Pairs meet a parity
+sketch, whose Hamming distance never exceeds the symmetric difference, before
+their texts are compared exactly.
 
-Lists do not pair all members.  Each list first compares its members with one
-pivot; members that are then connected need no further pair.  The members of a
-long list are ordered again around its pivot: elements that the pivot lacks come
-first.  Under that order sets that differ much from the pivot share no early
-element, so only pairs that can link and are not yet connected go on.
+Lists do not pair all members.  Every document is first compared with the pivot
+(the least member) that most of its lists have; documents that are then connected
+need no further pair.  The members of a long list that is still open are ordered
+again around the set that stands for its pivot's component: elements which that
+set lacks come first.  Under that order sets that differ much from it share no
+early element, so only pairs that can link and are not yet connected go on.
 
-Elements are 58-bit hashes of word n-grams under 6 bits of frequency class.
+Elements are 64-bit hashes of word n-grams.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; rows that share a ``doc_id``
@@ -34,7 +36,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -49,20 +51,22 @@ from tessera.llm.components import components
 #: The contract: link when 100 * intersection >= 90 * union, over 3-word shingles.
 NUM, DEN = 90, 100
 SHINGLE = 3
-#: The counting sketch: 2**SKETCH_BITS cells in SKETCH_PARTS parts, whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 20, 256
+#: Size classes grow by this factor.
+CLASS_GROWTH = 1.7
+#: What a list entry costs beside a subset: it is met by more sets.
+ENTRY_COST = 4
 #: Longs in a set's parity sketch.
 PARITY_WORDS = 16
 #: Light sets never have more elements than this, whatever the cost estimate says.
 MOST_LIGHT = 24
 #: Lists above this length are ordered again around their pivot before pairs are formed.
-LONG_LIST = 64
-#: Document ids are broadcast up to this many (8 MB), else joined by shuffle.
-MOST_BROADCAST_IDS = 1_000_000
+LONG_LIST = 24
+#: Pairs of ids are broadcast up to this many (17 bytes each), else joined by shuffle.
+MOST_BROADCAST_IDS = 300_000
 #: Text bytes of either side that are compared at once.
 JUDGED_BYTES = 1 << 19
 
-_SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, light array<long>, heavy array<long>"
+_SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, keys array<long>"
 
 
 def required(n: int, m: int) -> int:
@@ -88,11 +92,44 @@ def subset_cost(n: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n))
 
 
-def light_bound(mean_list: float) -> int:
-    """The largest size whose subsets cost no more than scanning its lists."""
+def most_apart(total: int) -> int:
+    """The largest symmetric difference of linking sets with ``total`` elements in all."""
+    return total * (DEN - NUM) // (DEN + NUM)
+
+
+@cache
+def class_of(n: int) -> int:
+    """The size class of ``n``."""
+    c = 0
+    while class_border(c) <= n:
+        c += 1
+    return c
+
+
+@cache
+def class_border(c: int) -> int:
+    """The least size beyond class ``c``."""
+    return math.ceil(2 * CLASS_GROWTH**c)
+
+
+@cache
+def levels(n: int) -> tuple[tuple[int, int], ...]:
+    """(level, blocks) of a set of ``n``: its class, and each border that a partner may be beyond."""
+    c = class_of(n)
+    below, above = (class_border(c - 1) if c else 1), class_border(c)
+    out = [(2 * c, most_apart(2 * (above - 1)) + 2)]
+    if c and least_partner(n) < below:
+        out.append((2 * c - 1, most_apart(below - 1 + most_partner(below - 1)) + 2))
+    if most_partner(n) >= above:
+        out.append((2 * c + 1, most_apart(above - 1 + most_partner(above - 1)) + 2))
+    return tuple(out)
+
+
+def light_bound() -> int:
+    """The largest size whose subsets cost no more than its list entries."""
     best = 0
     for n in range(1, MOST_LIGHT + 1):
-        if subset_cost(n) > max(2.0, (n - least_partner(n) + 1) * mean_list) * 8:
+        if subset_cost(n) > ENTRY_COST * sum(blocks for _, blocks in levels(n)):
             break
         best = n
     return best
@@ -115,45 +152,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, starts
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def element_sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of all shingles of all documents, by sketch cell."""
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
-
-    def count(batches):
-        held = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            for _, data, offsets in kernels.chunks(batch):
-                held += np.bincount(_cells(shingles(data, offsets)[0]), minlength=len(held))
-        parts = [zlib.compress(held[p * width : (p + 1) * width].tobytes(), 1) for p in range(SKETCH_PARTS)]
-        yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-    def add(key, rows):
-        total = np.zeros(width, dtype=np.int64)
-        for raw in rows.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(raw), dtype=np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in parts.collect():  # a fixed number of cells
-        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.int64)
-    return out
-
-
-def _classes(sketch: np.ndarray) -> np.ndarray:
-    """Frequency class of each cell: half powers of two above the mean, 0 to 63."""
-    mean = max(1.0, sketch.mean())
-    return np.clip(np.floor(2 * np.log2(np.maximum(sketch / mean, 1.0))), 0, 63).astype(np.uint64)
-
-
-def ordered_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, first element of each document): distinct, in the global order."""
-    raw, starts = shingles(data, offsets)
-    keys = (classes[_cells(raw)] << np.uint64(58)) | (raw >> np.uint64(6))
+def distinct_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, first element of each document): distinct and sorted by hash."""
+    keys, starts = shingles(data, offsets)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         keys[a:b].sort()
     new = np.ones(len(keys), dtype=bool)
@@ -171,8 +172,7 @@ def _wrapping_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _parities(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per document PARITY_WORDS longs; each element flips one bit."""
     n, bits = len(first) - 1, PARITY_WORDS * 64
-    # The frequency class is part of the order only.
-    spot = (kernels.mix(keys & np.uint64((1 << 58) - 1)) % np.uint64(bits)).astype(np.int64)
+    spot = (kernels.mix(keys) % np.uint64(bits)).astype(np.int64)
     flips = np.bincount(np.repeat(np.arange(n), np.diff(first)) * bits + spot, minlength=n * bits) & 1
     return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64).reshape(n, PARITY_WORDS)
 
@@ -195,80 +195,114 @@ def _subset_keys(elements: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def build_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _block_keys(elements: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """A key for each block of a set that has elements, and for each two empty blocks."""
+    out = []
+    for level, blocks in levels(len(elements)):
+        block = (elements % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
+        ends = np.cumsum(np.bincount(block, minlength=blocks))
+        content = sums[ends] - np.concatenate([np.zeros(1, np.uint64), sums[ends[:-1]]])
+        sizes = np.diff(ends, prepend=0)
+        salt = np.uint64((level + 1) << 32)
+        out.append(kernels.mix(content + salt + np.arange(blocks, dtype=np.uint64))[sizes > 0])
+        void = np.flatnonzero(sizes == 0)
+        if len(void) > 1:
+            pairs = np.array(list(combinations(void.tolist(), 2)), dtype=np.uint64)
+            out.append(kernels.mix((pairs[:, 0] << np.uint64(20)) + pairs[:, 1] + salt + np.uint64(1 << 60)))
+    return np.concatenate(out)
+
+
+def build_sets(docs: DataFrame) -> DataFrame:
     """One row for each document: size, identity, parity sketch, join keys."""
-    classes = _classes(sketch)
-    # Lists hold about as many sets as a cell of the lowest class has counts.
-    rare = sketch[classes[: len(sketch)] == 0]
-    bound = light_bound(float(rare.mean()) / 64 if len(rare) else 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast(classes.astype(np.uint8))
+    bound = light_bound()
 
     def build(batches):
-        table = shared.value.astype(np.uint64)
         for batch in batches:
             for rows, data, offsets in kernels.chunks(batch):
-                keys, first = ordered_sets(data, offsets, table)
+                elements, first = distinct_sets(data, offsets)
                 n = np.diff(first)
-                k1 = _wrapping_sums(kernels.mix(keys), first)
-                k2 = _wrapping_sums(kernels.mix(keys ^ np.uint64(0xA0761D6478BD642F)), first)
-                light, heavy = [], []
+                mixed = kernels.mix(elements)
+                keys = []
                 for a, size in zip(first[:-1].tolist(), n.tolist(), strict=True):
-                    own = keys[a : a + size]
-                    light.append(_subset_keys(own).view(np.int64) if 0 < size <= bound else own[:0].view(np.int64))
+                    own = elements[a : a + size]
+                    found = []
+                    if 0 < size <= bound:
+                        found.append(_subset_keys(own))
                     # A light set also posts where a heavy partner is possible.
-                    posts = size - least_partner(size) + 1 if size and most_partner(size) > bound else 0
-                    heavy.append(own[:posts].view(np.int64))
+                    if size and most_partner(size) > bound:
+                        found.append(_block_keys(own, mixed[a : a + size]))
+                    keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
                 yield pa.record_batch(
                     [
                         rows.column("doc_id"),
                         pa.array(n.astype(np.int32)),
-                        pa.array(k1.view(np.int64)),
-                        pa.array(k2.view(np.int64)),
-                        _lists(list(_parities(keys, first))),
-                        _lists(light),
-                        _lists(heavy),
+                        pa.array(_wrapping_sums(mixed, first).view(np.int64)),
+                        pa.array(_wrapping_sums(kernels.mix(elements ^ np.uint64(0xA0761D6478BD642F)), first).view(np.int64)),
+                        _lists(list(_parities(elements, first))),
+                        _lists(keys),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "parity", "light", "heavy"],
+                    names=["doc_id", "n", "k1", "k2", "parity", "keys"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _SETS)
 
 
-def _fits(a: str, b: str) -> Column:
-    """Whether sizes and positions of one shared key leave room for a link.
+def _fits(a: str, b: str, ordered: bool) -> Column:
+    """Whether sizes, and positions in an order, leave room for a link.
 
-    ``pos`` counts the elements before the key; a linking pair passes at the first
-    key it shares.  Subset keys have position -1 and need sizes only.
+    ``pos`` counts the elements before the shared one; a linking pair passes at
+    the first element it shares.
     """
-    n, m, i, j = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_pos"), F.col(f"{b}_pos")
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     sizes = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
-    room = F.least(n - i, m - j) * (NUM + DEN) >= (n + m) * NUM
-    return sizes & ((i < 0) | room)
+    if not ordered:
+        return sizes
+    return sizes & (F.least(n - F.col(f"{a}_pos"), m - F.col(f"{b}_pos")) * (NUM + DEN) >= (n + m) * NUM)
 
 
 def candidate_members(posted: DataFrame) -> DataFrame:
-    """(g, doc, n, pos, size, pivot): members of lists with two or more, and the list's least document.
+    """(g, doc, n, size, pivot): members of lists with two or more, and the list's least document.
 
-    ``posted`` has (g, doc, n, pos).
+    ``posted`` has (g, doc, n).  Lists are counted first, so only members of lists
+    that matter carry more than their key.
     """
-    lists = posted.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot")).where(F.col("size") > 1)
-    return posted.join(lists, "g").select("g", "doc", "n", "pos", "size", "pivot")
+    several = posted.groupBy("g").count().where(F.col("count") > 1).select("g")
+    kept = materialize(posted.join(several, "g"), "members")
+    lists = kept.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"))
+    return kept.join(lists, "g").select("g", "doc", "n", "size", "pivot")
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b, long): every member with the pivot of its list; a pivot of a long list with itself."""
-    pair = members.groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg((F.max("size") > LONG_LIST).alias("long"))
-    return pair.where((F.col("a") != F.col("b")) | F.col("long"))
+    """(a, b): each document b with the pivot of most of its lists."""
+    met = members.where(F.col("pivot") != F.col("doc")).groupBy("doc", "pivot").agg(F.count("*").alias("often"))
+    best = F.max_by("pivot", F.struct("often", -F.col("pivot")))
+    return met.groupBy(F.col("doc").alias("b")).agg(best.alias("a")).select("a", "b")
+
+
+def around_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): members b of open long lists with the document a that stands for the list's pivot."""
+    long = members.where(F.col("size") > LONG_LIST)
+    named = lambda x: labels.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"{x}_label"))
+    told = (
+        long.join(named("doc"), F.col("doc") == F.col("_doc"), "left")
+        .join(named("pivot"), F.col("pivot") == F.col("_pivot"), "left")
+        .select("g", "doc", F.coalesce("doc_label", "doc").alias("label"), F.coalesce("pivot_label", "pivot").alias("a"))
+    )
+    open_ = told.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("g")
+    return told.join(open_, "g").select("a", F.col("doc").alias("b")).distinct()
 
 
 def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
     """Distinct (a, b) of one list that are in different components and may link."""
+    columns = [c for c in ("doc", "n", "pos", "label") if c in members.columns or c == "label"]
     found = labels.select(F.col("node").alias("_node"), "component")
     told = members.join(found, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "doc"))
     mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
-    left = told.join(mixed, key).select(*key, "doc", "n", "pos", "label")
-    named = lambda x: left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "label")])
-    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b")
+    left = told.join(mixed, key).select(*key, *columns)
+    named = lambda x: left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b", "pos" in columns)
     return named("a").join(named("b"), key).where(cross).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
 
 
@@ -313,12 +347,14 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 for rows, _, _ in kernels.chunks(some, "b_text", JUDGED_BYTES):
                     yield _judge_rows(rows)
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
+    n = pairs.count()
+    small = (lambda df: F.broadcast(df)) if n <= MOST_BROADCAST_IDS else (lambda df: df)
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    texts = texts.join(ids, F.col("_doc") == F.col("_id"), "left_semi")
     text = lambda x: texts.select(F.col("_doc").alias(x), F.col("_text").alias(f"{x}_text"))
-    full = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "long", "a_text", "b_text")
+    # Pairs are carried to b's text, then both to a's: with few pairs only the second moves texts.
+    first = text("b").join(small(pairs), "b")
+    heads = text("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
+    full = first.join(heads, "a").select("a", "b", "long", "a_text", "b_text")
     return full.mapInArrow(judge, "a long, b long, link boolean, n int, early array<long>")
 
 
@@ -326,32 +362,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    sets = materialize(build_sets(slim, element_sketch(slim)), "sets")
+    sets = materialize(build_sets(slim), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
     reps = usable.dropDuplicates(["doc_id", "k1", "k2"]) if _repeats(usable) else usable
     reps = reps.join(chosen, ["doc_id", "k1", "k2"], "left_semi")
 
-    heavy = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("heavy").alias("pos", "g"))
-    light = reps.select(F.col("doc_id").alias("doc"), "n", F.lit(-1).alias("pos"), F.explode("light").alias("g"))
-    members = materialize(candidate_members(heavy.unionByName(light)), "members")
+    posted = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("g"))
+    members = materialize(candidate_members(posted), "members")
 
-    # Round one: every member against its pivot.
+    # Round one: every document against the pivot it meets most.
     first = materialize(pivot_pairs(members), "pairs")
-    near = close_pairs(first.where("not long"), reps).withColumn("long", F.lit(False))
-    told = materialize(judged(materialize(near.unionByName(first.where("long")), "pairs"), slim), "judged")
-    links = told.where("link and a <> b").select("a", "b")
+    near = materialize(close_pairs(first, reps).withColumn("long", F.lit(False)), "pairs")
+    links = materialize(judged(near, slim), "judged").where("link").select("a", "b")
     labels = components(links)
 
-    # Round two: what the lists still leave open between components.
+    # Round two: long lists that are still open, ordered around what stands for their pivot.
+    round_ = materialize(around_pairs(members, labels).withColumn("long", F.lit(True)), "pairs")
+    told = materialize(judged(round_, slim), "judged")
+    links = links.unionByName(told.where("link and a <> b").select("a", "b"))
     around = told.where(F.size("early") > 0).select(
         F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", F.posexplode("early").alias("pos", "g")
     )
+    labels = components(materialize(links, "links"))
+
+    # Round three: pairs that lists leave open between components.
     short = members.where(F.col("size") <= LONG_LIST)
     rest = open_pairs(short, ["g"], labels).unionByName(open_pairs(around, ["pivot", "g"], labels)).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = close_pairs(rest.join(done, ["a", "b"], "left_anti"), reps).withColumn("long", F.lit(False))
+    rest = close_pairs(rest, reps).withColumn("long", F.lit(False))
     more = judged(materialize(rest, "pairs"), slim).where("link").select("a", "b")
 
     # Rows of one doc_id with different texts are one document.

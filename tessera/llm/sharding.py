@@ -97,10 +97,9 @@ def shard_rows(df: DataFrame, shards: int, key: list[Column], seed: int = 7) ->
         .withColumn("shard", F.expr("size(filter(_ends, e -> e < _rank))").cast("int"))
         .drop("_to", "_ends", "_rank", "_block", "_one")
     )
-    # The second permutation orders a shard by a fresh hash.  The hash's leading
-    # bits cut the shard into runs, so no task has to hold a whole shard; the
+    # The second permutation orders a shard by a fresh hash.  The hash's leading 31
+    # bits, scaled to the number of runs, cut the shard: no task holds a whole one.
     runs = max(1, n // shards)
-    # shift gives 31 bits, scaled to the number of runs.
     cut = F.shiftright(F.shiftrightunsigned("_two", 33) * F.lit(runs).cast("long"), 31).cast("int")
     cells = dealt.withColumn("_run", cut)
     counts = cells.groupBy("shard", "_run").count()

@@ -32,7 +32,7 @@ from tessera.llm import embedding, kernels
 from tessera.llm.common import fit_on_worker, small_batches
 
 #: Labelled texts of each class that a fit may read, about.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 3000
 THRESHOLD = 0.5
 #: Bytes of a word that its prior looks at.
 LEAD_BYTES = 5
