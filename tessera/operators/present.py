@@ -22,7 +22,7 @@ def snippet(body: Column, terms: list[str]) -> Column:
     start = F.when(hit < 0, 0).otherwise(F.greatest(hit - SNIPPET_LEAD, F.lit(0)))
     end = F.least(F.length(body), start + SNIPPET_LENGTH)
     # The run of word characters that a border cuts, on either side of it.
-    upto = F.regexp_extract(F.substring(body, F.lit(1), start + 1), r"[\p{L}\p{N}]*$", 0)
+    upto = F.regexp_extract(F.substring(body, F.lit(1), start + 1), r"[\p{L}\p{N}]*\z", 0)
     first = F.greatest(start - F.length(upto), F.lit(0))
     cut = F.when(
         F.substring(body, end, F.lit(1)).rlike(r"[\p{L}\p{N}]"),
