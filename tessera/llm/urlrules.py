@@ -79,7 +79,7 @@ def listed_rule(host: Column, path: Column, rules: tuple[ListedRule, ...] = LIST
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host labels, path segments, query keys.
+    """Distinct tokens of a URL: scheme, words of the host, whole hyphenated labels, path segments, query keys.
 
     Runs of digits become one token, so page numbers do not count as words.
     """
@@ -90,7 +90,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     parts = F.concat(
         tagged("scheme=", F.array(F.lower(F.substring_index(url, "://", 1)))),
         tagged("host=", F.filter(F.split(host, r"[.\-]"), lambda w: w != "")),
-        tagged("domain=", F.filter(F.split(host, r"\."), lambda w: w != "")),
+        tagged("domain=", F.filter(F.split(host, r"\."), lambda w: w.contains("-"))),
         tagged("path=", F.filter(segments, lambda s: s != "")),
         tagged("key=", keys),
     )
