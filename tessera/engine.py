@@ -95,7 +95,8 @@ class SearchEngine:
 
     @property
     def index(self) -> ix.Index:
-        return ix.Index(self._table("postings", POSTINGS), self._table("doc_stats", STATS), self.analyzer)
+        totals = self._manifest().select("docs", "tokens")
+        return ix.Index(self._table("postings", POSTINGS), self._table("doc_stats", STATS), self.analyzer, totals)
 
     def _version(self) -> int:
         return self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]

@@ -22,18 +22,25 @@ DOC_COLUMNS = ("doc_id", "title", "body", "url", "timestamp", "lang")
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf, positions, dl), doc_stats(doc_id, doc_len)."""
+    """postings(term, doc_id, tf, positions, dl), doc_stats(doc_id, doc_len).
+
+    ``totals`` (docs, tokens) may hold sums that are already known, by batch.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     analyzer: str = "standard"
+    totals: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
         """One row: n_docs (at least 1) and avgdl."""
-        return self.doc_stats.agg(
-            F.greatest(F.count("*"), F.lit(1)).alias("n_docs"),
-            (F.coalesce(F.sum("doc_len"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).cast("double").alias("avgdl"),
+        rows = self.totals
+        if rows is None:
+            rows = self.doc_stats.agg(F.count("*").alias("docs"), F.sum("doc_len").alias("tokens"))
+        docs, words = F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))
+        return rows.agg(
+            F.greatest(docs, F.lit(1)).alias("n_docs"), (words / F.greatest(docs, F.lit(1))).cast("double").alias("avgdl")
         )
 
     def doc_freq(self, terms: list[str] | None = None) -> DataFrame:
