@@ -19,10 +19,12 @@ their texts are compared exactly.
 
 Lists do not pair all members.  Every document is first compared with the pivot
 (the least member) that most of its lists have; documents that are then connected
-need no further pair.  The members of a long list that is still open are ordered
-again around the set that stands for its pivot's component: elements which that
-set lacks come first.  Under that order sets that differ much from it share no
-early element, so only pairs that can link and are not yet connected go on.
+need no further pair.  The members of a long list that is still open are described
+by how they differ from the set P that stands for its pivot's component: what they
+add to P, then what they lack of it.  If X does not link with P and links with Y,
+then X and Y share (|dX| + |dY| - most apart) / 2 of their differences at least, and
+that is more than none: otherwise |dX| + |dY| were within reach of |Y|, which exceeds
+|P| by |dY| at most.  So only pairs that share an early difference go on.
 
 Elements are 64-bit hashes of word n-grams.
 
@@ -59,7 +61,7 @@ ENTRY_COST = 4
 PARITY_WORDS = 16
 #: Light sets never have more elements than this, whatever the cost estimate says.
 MOST_LIGHT = 24
-#: Lists above this length are ordered again around their pivot before pairs are formed.
+#: Members of lists above this length meet by their differences from the pivot.
 LONG_LIST = 24
 #: Pairs of ids are broadcast up to this many (17 bytes each), else joined by shuffle.
 MOST_BROADCAST_IDS = 300_000
@@ -249,17 +251,19 @@ def build_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _SETS)
 
 
-def _fits(a: str, b: str, ordered: bool) -> Column:
-    """Whether sizes, and positions in an order, leave room for a link.
+def _fits(a: str, b: str, around: bool) -> Column:
+    """Whether sizes, and the places of a shared difference, leave room for a link.
 
-    ``pos`` counts the elements before the shared one; a linking pair passes at
-    the first element it shares.
+    ``pos`` counts the differences before the shared one, ``apart`` all of a set's
+    differences; a linking pair passes at the first difference it shares.
     """
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     sizes = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
-    if not ordered:
+    if not around:
         return sizes
-    return sizes & (F.least(n - F.col(f"{a}_pos"), m - F.col(f"{b}_pos")) * (NUM + DEN) >= (n + m) * NUM)
+    d, e = F.col(f"{a}_apart"), F.col(f"{b}_apart")
+    most = F.floor((n + m) * (DEN - NUM) / (DEN + NUM))
+    return sizes & (2 * F.least(d - F.col(f"{a}_pos"), e - F.col(f"{b}_pos")) >= d + e - most)
 
 
 def candidate_members(posted: DataFrame) -> DataFrame:
@@ -296,7 +300,7 @@ def around_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
     """Distinct (a, b) of one list that are in different components and may link."""
-    columns = [c for c in ("doc", "n", "pos", "label") if c in members.columns or c == "label"]
+    columns = [c for c in ("doc", "n", "apart", "pos", "label") if c in members.columns or c == "label"]
     found = labels.select(F.col("node").alias("_node"), "component")
     told = members.join(found, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "doc"))
     mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
@@ -319,26 +323,32 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
     sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c)))) for c in ("a_text", "b_text")]
     wanted = rows.column("long").to_pylist()
-    ok, sizes, early = [], [], []
+    ok, sizes, apart, early = [], [], [], []
     for r in range(rows.num_rows):
         x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
         shared = np.isin(y, x, assume_unique=True)
         both = int(shared.sum())
         ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
         sizes.append(len(y))
-        posts = len(y) - least_partner(len(y)) + 1 if wanted[r] and len(y) else 0
-        early.append(np.concatenate([y[~shared], y[shared]])[:posts].view(np.int64))
+        apart.append(len(x) + len(y) - 2 * both)
+        if not wanted[r]:
+            early.append(y[:0].view(np.int64))
+            continue
+        differences = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]])
+        # A partner shares this many at least, as it is not far from b either.
+        least = max(1, apart[-1] - most_apart(len(y) + most_partner(len(y))))
+        early.append(differences[: apart[-1] - least + 1].view(np.int64))
     return pa.record_batch(
-        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), _lists(early)],
-        names=["a", "b", "link", "n", "early"],
+        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(apart, pa.int32()), _lists(early)],
+        names=["a", "b", "link", "n", "apart", "early"],
     )
 
 
 def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, link, n, early) by the texts themselves.
+    """(a, b, link, n, apart, early) by the texts themselves.
 
-    Where ``long``, ``n`` and ``early`` are the size of b's set and its first
-    elements in the order around a: those that a lacks, then the rest.
+    ``n`` is the size of b's set, ``apart`` that of the symmetric difference, and
+    ``early``, where ``long``, its first elements: what b adds, then what it lacks.
     """
 
     def judge(batches):
@@ -355,7 +365,7 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     first = text("b").join(small(pairs), "b")
     heads = text("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
     full = first.join(heads, "a").select("a", "b", "long", "a_text", "b_text")
-    return full.mapInArrow(judge, "a long, b long, link boolean, n int, early array<long>")
+    return full.mapInArrow(judge, "a long, b long, link boolean, n int, apart int, early array<long>")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -378,12 +388,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialize(judged(near, slim), "judged").where("link").select("a", "b")
     labels = components(links)
 
-    # Round two: long lists that are still open, ordered around what stands for their pivot.
+    # Round two: long lists that are still open, by differences from what stands for their pivot.
     round_ = materialize(around_pairs(members, labels).withColumn("long", F.lit(True)), "pairs")
     told = materialize(judged(round_, slim), "judged")
     links = links.unionByName(told.where("link and a <> b").select("a", "b"))
     around = told.where(F.size("early") > 0).select(
-        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", F.posexplode("early").alias("pos", "g")
+        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", "apart", F.posexplode("early").alias("pos", "g")
     )
     labels = components(materialize(links, "links"))
 
