@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.kernels import released
+
 #: Used only where the session names no shared folder, as in local tests.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints"
 
@@ -77,5 +79,5 @@ def fit_on_worker(sample: DataFrame, fit: Callable[[pa.Table], dict | None]) ->
             found = fit(pa.Table.from_batches(held).combine_chunks())
             yield pa.record_batch([pa.array([pickle.dumps(found)], pa.large_binary()).cast(pa.binary())], names=["fitted"])
 
-    row = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "fitted binary").first()
+    row = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(released(run), "fitted binary").first()
     return None if row is None else pickle.loads(bytes(row["fitted"]))

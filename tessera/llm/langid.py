@@ -72,7 +72,7 @@ def identify(docs: DataFrame, model: embedding.Model | None) -> DataFrame:
         return docs.select(
             "doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
         )
-    return docs.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(kernels.released(score), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

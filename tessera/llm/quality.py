@@ -77,5 +77,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         scored = rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
     else:
-        scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+        scored = rows.mapInArrow(kernels.released(score), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -388,7 +388,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     rows, unique = _ordered(docs)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = _prime(max(LEAST_GROUPS, size // GROUP_BYTES))
-    sent = rows.select("rid", "text").mapInArrow(_parse_documents(groups), "bucket int, phrases binary, docs binary, facts binary")
+    sent = rows.select("rid", "text").mapInArrow(kernels.released(_parse_documents(groups)), "bucket int, phrases binary, docs binary, facts binary")
     facts = sent.groupBy("bucket").applyInArrow(_meet_phrases, "rid long, fact long")
     home = lambda df: df.withColumn("home", F.pmod("rid", F.lit(groups)).cast("int"))
     kinds = f"kind int, rid long, text binary, bucket int, payload binary, {_DONE_SQL.split(', ', 1)[1]}"

@@ -248,7 +248,7 @@ def build_sets(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "k1", "k2", "parity", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernels.released(build), _SETS)
 
 
 def _fits(a: str, b: str, around: bool) -> Column:
@@ -365,7 +365,7 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     first = text("b").join(small(pairs), "b")
     heads = text("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
     full = first.join(heads, "a").select("a", "b", "long", "a_text", "b_text")
-    return full.mapInArrow(judge, "a long, b long, link boolean, n int, apart int, early array<long>")
+    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, early array<long>")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

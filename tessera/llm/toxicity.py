@@ -285,7 +285,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon | None, schema: str = "doc
 
     if lexicon is None:
         return docs.select(*names, F.lit(0.0).alias("score"))
-    return docs.select(*names, "text").mapInArrow(score, f"{schema}, score double")
+    return docs.select(*names, "text").mapInArrow(kernels.released(score), f"{schema}, score double")
 
 
 def toxic_passages(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -308,7 +308,7 @@ def toxic_passages(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                     names=["doc_id", "start", "end", "evidence"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, start long, end long, evidence double")
+    return docs.select("doc_id", "text").mapInArrow(kernels.released(find), "doc_id long, start long, end long, evidence double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,4 +331,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon | None) -> DataFrame:
                 evidence, _ = _evidence(lexicon.scores(tokens), tokens.first, lexicon)
                 yield rows.filter(pa.array(_probability(evidence, lexicon) < THRESHOLD))
 
-    return docs if lexicon is None else docs.mapInArrow(keep, docs.schema)
+    return docs if lexicon is None else docs.mapInArrow(kernels.released(keep), docs.schema)
