@@ -41,6 +41,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Remove the folders that :func:`materialize` left; only when no result that builds on them is still wanted."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    pattern = paths(f"{shared_dir(spark)}/tessera-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    for status in found:
+        files.delete(status.getPath(), True)
+    return len(found)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    decontaminate, embedding, fingerprint, kernels, langid, mixing, parse, quality, repeats, setjoin, sharding, toxicity, urlrules,
+    common, decontaminate, embedding, fingerprint, kernels, langid, mixing, parse, quality, repeats, setjoin, sharding, toxicity, urlrules,
 )
 from tests.llm import brute
 
@@ -349,6 +349,11 @@ def test_toxic_passages(spark):
     assert "nastybar" in text.encode()[rows[0]["start"] : rows[0]["end"]].decode()
 
 
+def test_intermediates_can_be_dropped(spark):
+    held = common.materialize(spark.range(3), "try")
+    assert held.count() == 3 and common.drop_intermediates(spark) > 0 and common.drop_intermediates(spark) == 0
+
+
 def test_token_hashes_agree_across_places():
     texts = ["Alpha beta", "x Alpha", "", "ÄRGER ärger"]
     import pyarrow as pa
