@@ -146,7 +146,8 @@ def window_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     # Words are compared here: each candidate against its own document.
     # Keys alone are broadcast, so only the candidates' texts are exchanged.
     near = docs.join(sized(named.select("key"), named.count()), "key", "left_semi")
-    own = near.join(named, "key").select("doc_id", "key", "_cand", words(F.col("text")).alias("_words"))
+    # Words are made below the join, so once a document and not once a candidate.
+    own = near.select("doc_id", "key", words(F.col("text")).alias("_words")).join(named, "key")
     true = F.filter("_cand", lambda c: F.slice(F.col("_words"), c["start"] + 1, c["size"]) == c["terms"])
     kept = F.transform(true, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["win"].alias("win")))
     hits = own.select("doc_id", "key", F.sort_array(kept).alias("hits")).where(F.size("hits") > 0)
