@@ -57,7 +57,9 @@ def analyzed(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
 
 def token_positions(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
     """(doc_id, pos, term, dl): one row for each kept token; positions ignore what was dropped."""
-    each = analyzed(docs, analyzer).select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+    # An inner generator would make the optimizer analyze every text a second time, to drop empty arrays first.
+    each = analyzed(docs, analyzer).select("doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
+    each = each.where(F.col("term").isNotNull())
     if analyzer != "english":
         return each
     # Each distinct word is stemmed once, whatever its number of occurrences.
