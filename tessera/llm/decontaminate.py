@@ -48,8 +48,12 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(key, pos, term) of every word of every document."""
-    return docs.select("key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """(key, pos, term) of every word of every document; a null term for a document without any.
+
+    An inner generator would make the optimizer split every text a second time, to
+    drop empty arrays first; joins on the term drop the nulls.
+    """
+    return docs.select("key", F.posexplode_outer(words(F.col("text"))).alias("pos", "term"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
