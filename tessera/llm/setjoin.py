@@ -38,7 +38,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +59,8 @@ CLASS_GROWTH = 1.7
 ENTRY_COST = 4
 #: Longs in a set's parity sketch.
 PARITY_WORDS = 16
+#: Longs in the parity sketch of a set's differences from a pivot.
+_SKETCH = ("s1", "s2", "s3")
 #: Light sets never have more elements than this, whatever the cost estimate says.
 MOST_LIGHT = 24
 #: Members of lists above this length meet by their differences from the pivot.
@@ -171,12 +173,12 @@ def _wrapping_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def _parities(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per document PARITY_WORDS longs; each element flips one bit."""
-    n, bits = len(first) - 1, PARITY_WORDS * 64
+def _parities(keys: np.ndarray, first: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Per document ``words`` longs; each element flips one bit."""
+    n, bits = len(first) - 1, words * 64
     spot = (kernels.mix(keys) % np.uint64(bits)).astype(np.int64)
     flips = np.bincount(np.repeat(np.arange(n), np.diff(first)) * bits + spot, minlength=n * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64).reshape(n, PARITY_WORDS)
+    return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64).reshape(n, words)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -255,7 +257,8 @@ def _fits(a: str, b: str, around: bool) -> Column:
     """Whether sizes, and the places of a shared difference, leave room for a link.
 
     ``pos`` counts the differences before the shared one, ``apart`` all of a set's
-    differences; a linking pair passes at the first difference it shares.
+    differences; a linking pair passes at the first difference it shares.  Parity
+    sketches of the differences bound how far the sets are apart.
     """
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     sizes = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
@@ -263,7 +266,8 @@ def _fits(a: str, b: str, around: bool) -> Column:
         return sizes
     d, e = F.col(f"{a}_apart"), F.col(f"{b}_apart")
     most = F.floor((n + m) * (DEN - NUM) / (DEN + NUM))
-    return sizes & (2 * F.least(d - F.col(f"{a}_pos"), e - F.col(f"{b}_pos")) >= d + e - most)
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _SKETCH])
+    return sizes & (2 * F.least(d - F.col(f"{a}_pos"), e - F.col(f"{b}_pos")) >= d + e - most) & (far <= most)
 
 
 def candidate_members(posted: DataFrame) -> DataFrame:
@@ -300,7 +304,7 @@ def around_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
     """Distinct (a, b) of one list that are in different components and may link."""
-    columns = [c for c in ("doc", "n", "apart", "pos", "label") if c in members.columns or c == "label"]
+    columns = [c for c in ("doc", "n", "apart", "pos", *_SKETCH, "label") if c in members.columns or c == "label"]
     found = labels.select(F.col("node").alias("_node"), "component")
     told = members.join(found, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "doc"))
     mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
@@ -323,7 +327,7 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
     sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c)))) for c in ("a_text", "b_text")]
     wanted = rows.column("long").to_pylist()
-    ok, sizes, apart, early = [], [], [], []
+    ok, sizes, apart, early, sketch = [], [], [], [], []
     for r in range(rows.num_rows):
         x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
         shared = np.isin(y, x, assume_unique=True)
@@ -333,19 +337,22 @@ def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
         apart.append(len(x) + len(y) - 2 * both)
         if not wanted[r]:
             early.append(y[:0].view(np.int64))
+            sketch.append(np.zeros(len(_SKETCH), dtype=np.int64))
             continue
         differences = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]])
         # A partner shares this many at least, as it is not far from b either.
         least = max(1, apart[-1] - most_apart(len(y) + most_partner(len(y))))
         early.append(differences[: apart[-1] - least + 1].view(np.int64))
+        sketch.append(_parities(differences, np.array([0, len(differences)]), len(_SKETCH))[0])
     return pa.record_batch(
-        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(apart, pa.int32()), _lists(early)],
-        names=["a", "b", "link", "n", "apart", "early"],
+        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(apart, pa.int32()), _lists(early)]
+        + [pa.array([x[k] for x in sketch], pa.int64()) for k in range(len(_SKETCH))],
+        names=["a", "b", "link", "n", "apart", "early", *_SKETCH],
     )
 
 
 def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, link, n, apart, early) by the texts themselves.
+    """(a, b, link, n, apart, early, sketch) by the texts themselves.
 
     ``n`` is the size of b's set, ``apart`` that of the symmetric difference, and
     ``early``, where ``long``, its first elements: what b adds, then what it lacks.
@@ -365,7 +372,7 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     first = text("b").join(small(pairs), "b")
     heads = text("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
     full = first.join(heads, "a").select("a", "b", "long", "a_text", "b_text")
-    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, early array<long>")
+    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, early array<long>, s1 long, s2 long, s3 long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -393,7 +400,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     told = materialize(judged(round_, slim), "judged")
     links = links.unionByName(told.where("link and a <> b").select("a", "b"))
     around = told.where(F.size("early") > 0).select(
-        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", "apart", F.posexplode("early").alias("pos", "g")
+        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", "apart", *_SKETCH, F.posexplode("early").alias("pos", "g")
     )
     labels = components(materialize(links, "links"))
 
