@@ -123,6 +123,17 @@ def fetched_ok(status: Column, mime: Column) -> Column:
     return ~status.isin(*REJECTED_STATUS) & (status < 400) & F.lower(F.coalesce(mime, F.lit(""))).contains("html")
 
 
+def page_text(content: Column) -> Column:
+    """Text of page bytes: cut to the size limit, bytes that are no UTF-8 dropped."""
+    cut = F.substring(content, 1, MOST_PAGE_BYTES).cast("string")
+    return F.replace(F.make_valid_utf8(cut), F.lit("\ufffd"), F.lit(""))
+
+
+def append_audit(docs: DataFrame, path: str) -> None:
+    """Add the ids of prepared documents to an audit log of JSON lines."""
+    docs.select("doc_id").write.mode("append").json(path)
+
+
 def backfilled(pages: DataFrame, seen: DataFrame, quota: int | None = None, most: int | None = None) -> DataFrame:
     """Documents from landed pages (site, url, html, seq): the whole backfill as one plan.
 

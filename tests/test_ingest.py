@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera import engine as en
 from tessera.functions import html, times, urls
 from tessera.operators import ingest
-from tessera.sources import connectors, landed
-from tessera.streaming import feeds
+from tessera.sources import connectors, landed, state
+from tessera.streaming import feeds, scheduler
 
 
 def _one(spark, column, **values):
@@ -218,3 +218,32 @@ def test_stream_dedup_and_history(spark, tmp_path):
         assert spark.sql(f"SELECT * FROM d{len(late or '')}").count() == 2
     feeds.write_history(stream, str(tmp_path / "h"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.json(str(tmp_path / "h")).where("day = '2024-01-01'").count() == 3
+
+
+def test_poll(spark, tmp_path):
+    columns = "id string, url string, lang string, enabled boolean, title_prefix string, limit int, interval_s int, default_limit int, default_interval_s int"
+    rows = [("a", "u1", "en", True, "[A]", None, 60, 20, None), ("b", "u2", "en", True, "", 5, None, 20, None), ("c", "u3", "en", False, "", None, None, 20, None)]
+    sources = spark.createDataFrame(rows, columns)
+    fetch = lambda ready: ready.select("src_id", F.when(F.col("src_id") == "a", RSS).alias("xml"), F.when(F.col("src_id") == "b", "timeout").alias("err"))
+    engine = en.SearchEngine(spark, str(tmp_path / "e"), analyzer="standard")
+    run = lambda now: scheduler.poll(engine, sources, fetch, str(tmp_path / "s"), str(tmp_path / "h"), now)
+    first = run("2024-01-01T00:00:00Z")
+    assert {r["src_id"]: (r["fail_count"], str(r["next_run"])) for r in first.feeds.collect()} == {
+        "a": (0, "2024-01-01 00:01:00"), "b": (1, "2024-01-01 00:06:00"),
+    }
+    assert engine.health().first()["docs_count"] == 2 and first.seen.count() == 2
+    second = run("2024-01-01T00:02:00Z")
+    assert {r["src_id"]: r["fail_count"] for r in second.feeds.collect()} == {"a": 0, "b": 1} and second.version == 2
+    third = run("2024-01-20T00:00:00Z")
+    assert {r["src_id"]: r["fail_count"] for r in third.feeds.collect()} == {"a": 0, "b": 2}
+    history = spark.read.json(str(tmp_path / "h"))
+    assert history.count() == 5 and history.where("src_id = 'a'").agg(F.sum("new")).first()[0] == 2
+    assert scheduler.drop_old_history(spark, str(tmp_path / "h"), "2024-01-20") == ["day=2024-01-01"]
+    assert state.load_state(spark, str(tmp_path / "none")).version == 0
+
+
+def test_page_bytes_and_audit(spark, tmp_path):
+    frame = spark.createDataFrame([(b"ok \xff\xc3\xa9",)], "content binary")
+    assert frame.select(ingest.page_text(F.col("content"))).first()[0] == "ok é"
+    ingest.append_audit(spark.createDataFrame([("d1",)], "doc_id string"), str(tmp_path / "a"))
+    assert spark.read.json(str(tmp_path / "a")).first()["doc_id"] == "d1"
