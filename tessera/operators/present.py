@@ -54,14 +54,13 @@ def highlight(text: Column, query: str) -> Column:
     return F.regexp_replace(safe, f"(?iu)({'|'.join(terms)})", "<strong>$1</strong>") if terms else safe
 
 
-def paged(ranked: DataFrame, size: int, pages: int | None = None) -> DataFrame:
-    """``ranked`` (doc_id, score) with rank and page; the first ``pages`` pages when given.
+def paged(ranked: DataFrame, size: int, pages: int = 5) -> DataFrame:
+    """The first ``pages`` pages of ``ranked`` (doc_id, score), with rank and page.
 
-    Ranks come after the cut to the wanted rows, so the window sees no more than
-    those.
+    Ranks are given to the rows of those pages only, so the window stays small.
     """
     order = [F.col("score").desc(), F.col("doc_id").asc()]
-    rows = ranked.orderBy(*order).limit(size * pages) if pages else ranked
+    rows = ranked.orderBy(*order).limit(size * pages)
     numbered = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return numbered.withColumn("page", F.ceil(F.col("rank") / size).cast("int"))
 

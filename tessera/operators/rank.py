@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.porter import stem_vocabulary
 from tessera.operators.index import Index, analyzed
 from tessera.plans.compile import predicate
 from tessera.plans.lang import Node, leaf_terms
@@ -68,12 +69,10 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def feedback_terms(docs: DataFrame, best: DataFrame, query_terms: list[str], analyzer: str = "standard", n: int = FEEDBACK_TERMS) -> DataFrame:
     """(term, n, first): the most frequent new words of the ``best`` documents (doc_id, rank)."""
-    texts = docs.join(F.broadcast(best.select("doc_id", "rank")), "doc_id")  # a fixed handful
-    words = analyzed(texts, analyzer).join(F.broadcast(best.select("doc_id", "rank")), "doc_id")
+    ranks = F.broadcast(best.select("doc_id", "rank"))  # a fixed handful
+    words = analyzed(docs.join(ranks, "doc_id", "left_semi"), analyzer).join(ranks, "doc_id")
     each = words.select("rank", F.posexplode("tokens").alias("pos", "term"))
     if analyzer == "english":
-        from tessera.functions.porter import stem_vocabulary
-
         stems = stem_vocabulary(each.select(F.col("term").alias("word")).distinct())
         each = each.join(stems, F.col("term") == F.col("word")).select("rank", "pos", F.col("stem").alias("term"))
     barred = list(dict.fromkeys([*FEEDBACK_STOP, *query_terms]))
