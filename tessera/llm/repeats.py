@@ -292,7 +292,7 @@ def _order_windows(groups: int):
         for rid, own, gone in wait:
             s = mine.get(rid, np.zeros(0, np.int64)).astype(np.int64)
             known = gone | _covered(len(own), s, s + LENGTH) if len(s) else gone
-            out.append((1, rid, own.tobytes(), None, np.packbits(known).tobytes(), None))
+            out.append((1, rid, zlib.compress(own.tobytes(), 1), None, zlib.compress(np.packbits(known).tobytes(), 1), None))
         cols = list(zip(*out, strict=True)) or [()] * 6
         tail = pa.table(
             {
@@ -357,9 +357,9 @@ def _cut_documents(docs: pa.Table, starts: pa.Table) -> pa.Table:
     found, span = _by_document(starts, "start", ids)
     out = []
     for d, (text, known) in enumerate(zip(docs.column("text").to_pylist(), docs.column("payload").to_pylist(), strict=True)):
-        own = np.frombuffer(text, dtype=np.uint8)
+        own = np.frombuffer(zlib.decompress(text), dtype=np.uint8)
         s = found[span[d, 0] : span[d, 1]]
-        gone = np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=len(own)).astype(bool)
+        gone = np.unpackbits(np.frombuffer(zlib.decompress(known), dtype=np.uint8), count=len(own)).astype(bool)
         out.append(_result(int(ids[d]), own, gone | _covered(len(own), s, s + LENGTH)))
     return pa.table(dict(zip([n for n, _ in _DONE], _results(out), strict=True)))
 
