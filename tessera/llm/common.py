@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 import uuid
@@ -27,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``release`` frees its shuffle files at once.
 
     Cuts the lineage at a table that survives lost executors.  The folder is
     named ``tessera-<label>-<uuid>``; whoever owns the shared folder may drop
@@ -38,6 +39,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if release:
+        # The write's own plan is garbage now; collecting it lets Spark's cleaner drop its shuffle files.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -389,7 +389,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups = _prime(max(LEAST_GROUPS, size // GROUP_BYTES))
     sent = rows.select("rid", "text").mapInArrow(kernels.released(_parse_documents(groups)), "bucket int, phrases binary, docs binary, facts binary")
-    facts = sent.groupBy("bucket").applyInArrow(_meet_phrases, "rid long, fact long")
+    # Written tables between the steps: each step's shuffle files go before the next one's come.
+    facts = materialize(sent.groupBy("bucket").applyInArrow(_meet_phrases, "rid long, fact long"), "facts", release=True)
     home = lambda df: df.withColumn("home", F.pmod("rid", F.lit(groups)).cast("int"))
     kinds = f"kind int, rid long, text binary, bucket int, payload binary, {_DONE_SQL.split(', ', 1)[1]}"
     order = _order_windows(groups)
@@ -399,7 +400,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         .cogroup(home(facts).groupBy("home"))
         .applyInArrow(order, kinds)
     )
-    first = materialize(first, "ordered-windows")
+    first = materialize(first, "ordered-windows", release=True)
     starts = first.where("kind = 2").select("bucket", "payload").groupBy("bucket").applyInArrow(_meet_windows, "rid long, start long")
     wait = home(first.where("kind = 1").select("rid", "text", "payload"))
     last = wait.groupBy("home").cogroup(home(starts).groupBy("home")).applyInArrow(_cut_documents, _DONE_SQL)
