@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import pickle
+import time
 import uuid
 from collections.abc import Callable
 
@@ -40,9 +41,12 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     if release:
-        # The write's own plan is garbage now; collecting it lets Spark's cleaner drop its shuffle files.
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        # The write's own plan is garbage now; collecting it lets Spark's cleaner drop its
+        # shuffle files.  The second turn catches what the first one only let go of.
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
 
 
