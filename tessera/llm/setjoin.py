@@ -1,7 +1,7 @@
 """N-gram Jaccard join: size-aware, light sets by subsets, heavy sets by lists.
 
-Two sets link when intersection / union reaches ``NUM / DEN``.  Equal sets fold
-into one representative first.  What is left is joined on keys that every linking
+Two sets link when intersection / union reaches the threshold of a :class:`Rule`.
+Equal sets fold into one representative first.  What is left is joined on keys that every linking
 pair must share:
 
 * light sets (few elements) list their subsets of each size that an intersection
@@ -11,6 +11,11 @@ pair must share:
   two blocks at least.  A list is keyed by the whole content of a block: sets that
   merely share a frequent passage do not meet.
 
+Where the rule says so, all sets post their least elements by hash instead: a set of n
+elements shares ceil(num / den * n) of them with any partner, so the least element
+that a linking pair shares is among the first n - ceil(num / den * n) + 1 of either.
+A low threshold would leave blocks of two or three elements, and many more of them.
+
 The size at which a set becomes heavy is where its subsets would cost more than
 its list entries.  Sets fall into size classes, and the number of blocks follows
 the class; sets near a border also post for the border.  Pairs meet a parity
@@ -38,6 +43,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import cache, reduce
 from itertools import combinations
 
@@ -53,6 +59,25 @@ from tessera.llm.components import components
 #: The contract: link when 100 * intersection >= 90 * union, over 3-word shingles.
 NUM, DEN = 90, 100
 SHINGLE = 3
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When two sets link: ``den`` * intersection >= ``num`` * union, over shingles of ``shingle`` words.
+
+    ``prefix`` chooses lists of a set's least elements before subsets and blocks.
+    """
+
+    shingle: int
+    num: int
+    den: int
+    prefix: bool = False
+
+
+#: What op10 is bound to.
+CONTRACT = Rule(SHINGLE, NUM, DEN)
+#: Near duplicates in general: five words, 0.8.
+GENERAL = Rule(5, 80, 100, prefix=True)
 #: Size classes grow by this factor.
 CLASS_GROWTH = 1.7
 #: What a list entry costs beside a subset: it is met by more sets.
@@ -73,32 +98,32 @@ JUDGED_BYTES = 1 << 19
 _SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, keys array<long>"
 
 
-def required(n: int, m: int) -> int:
+def required(n: int, m: int, rule: Rule = CONTRACT) -> int:
     """The least intersection with which sets of ``n`` and ``m`` elements link."""
-    return -(-NUM * (n + m) // (NUM + DEN))
+    return -(-rule.num * (n + m) // (rule.num + rule.den))
 
 
-def least_partner(n: int) -> int:
-    return -(-NUM * n // DEN)
+def least_partner(n: int, rule: Rule = CONTRACT) -> int:
+    return -(-rule.num * n // rule.den)
 
 
-def most_partner(n: int) -> int:
-    return DEN * n // NUM
+def most_partner(n: int, rule: Rule = CONTRACT) -> int:
+    return rule.den * n // rule.num
 
 
-def subset_sizes(n: int) -> list[int]:
+def subset_sizes(n: int, rule: Rule = CONTRACT) -> list[int]:
     """Sizes of the subsets that a light set of ``n`` lists: what its partners can require."""
-    sizes = {required(n, m) for m in range(least_partner(n), most_partner(n) + 1)}
+    sizes = {required(n, m, rule) for m in range(least_partner(n, rule), most_partner(n, rule) + 1)}
     return sorted(c for c in sizes if c <= n)
 
 
-def subset_cost(n: int) -> int:
-    return sum(math.comb(n, c) for c in subset_sizes(n))
+def subset_cost(n: int, rule: Rule = CONTRACT) -> int:
+    return sum(math.comb(n, c) for c in subset_sizes(n, rule))
 
 
-def most_apart(total: int) -> int:
+def most_apart(total: int, rule: Rule = CONTRACT) -> int:
     """The largest symmetric difference of linking sets with ``total`` elements in all."""
-    return total * (DEN - NUM) // (DEN + NUM)
+    return total * (rule.den - rule.num) // (rule.den + rule.num)
 
 
 @cache
@@ -117,48 +142,48 @@ def class_border(c: int) -> int:
 
 
 @cache
-def levels(n: int) -> tuple[tuple[int, int], ...]:
+def levels(n: int, rule: Rule = CONTRACT) -> tuple[tuple[int, int], ...]:
     """(level, blocks) of a set of ``n``: its class, and each border that a partner may be beyond."""
     c = class_of(n)
     below, above = (class_border(c - 1) if c else 1), class_border(c)
-    out = [(2 * c, most_apart(2 * (above - 1)) + 2)]
-    if c and least_partner(n) < below:
-        out.append((2 * c - 1, most_apart(below - 1 + most_partner(below - 1)) + 2))
-    if most_partner(n) >= above:
-        out.append((2 * c + 1, most_apart(above - 1 + most_partner(above - 1)) + 2))
+    out = [(2 * c, most_apart(2 * (above - 1), rule) + 2)]
+    if c and least_partner(n, rule) < below:
+        out.append((2 * c - 1, most_apart(below - 1 + most_partner(below - 1, rule), rule) + 2))
+    if most_partner(n, rule) >= above:
+        out.append((2 * c + 1, most_apart(above - 1 + most_partner(above - 1, rule), rule) + 2))
     return tuple(out)
 
 
-def light_bound() -> int:
+def light_bound(rule: Rule = CONTRACT) -> int:
     """The largest size whose subsets cost no more than its list entries."""
     best = 0
     for n in range(1, MOST_LIGHT + 1):
-        if subset_cost(n) > ENTRY_COST * sum(blocks for _, blocks in levels(n)):
+        if subset_cost(n, rule) > ENTRY_COST * sum(blocks for _, blocks in levels(n, rule)):
             break
         best = n
     return best
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle, first shingle of each document), repeats included."""
     tokens = kernels.Tokens(data, offsets, kernels.SOLID_BYTES, lower="ascii")
     words, first = tokens.hashes(), tokens.first
     counts = np.diff(first)
-    n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
+    n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(starts[-1]) - np.repeat(starts[:-1], n) + np.repeat(first[:-1], n)
-    size = np.minimum(np.repeat(counts, n), SHINGLE)
+    size = np.minimum(np.repeat(counts, n), width)
     out = size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-    for k in range(SHINGLE):
+    for k in range(width):
         there = k < size
         word = words[np.minimum(at + k, max(0, len(words) - 1))] if len(words) else np.zeros(len(at), np.uint64)
         out = kernels.mix(out + np.where(there, word, np.uint64(0)) * np.uint64(2 * k + 1) + np.uint64(k))
     return out, starts
 
 
-def distinct_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(elements, first element of each document): distinct and sorted by hash."""
-    keys, starts = shingles(data, offsets)
+    keys, starts = shingles(data, offsets, width)
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         keys[a:b].sort()
     new = np.ones(len(keys), dtype=bool)
@@ -187,22 +212,22 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64)))
 
 
-def _subset_keys(elements: np.ndarray) -> np.ndarray:
+def _subset_keys(elements: np.ndarray, rule: Rule) -> np.ndarray:
     """A key for each subset of each listed size: size and sum of element hashes."""
     n = len(elements)
     each = kernels.mix(elements + np.uint64(0x5851F42D4C957F2D))
     out = []
-    for c in subset_sizes(n):
+    for c in subset_sizes(n, rule):
         salt = np.uint64(c * 0x2545F4914F6CDD1D & (2**64 - 1))
         gone = np.array(list(combinations(range(n), n - c)), dtype=np.int64).reshape(math.comb(n, c), n - c)
         out.append(kernels.mix(each.sum(dtype=np.uint64) - each[gone].sum(axis=1, dtype=np.uint64) + salt))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _block_keys(elements: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+def _block_keys(elements: np.ndarray, mixed: np.ndarray, rule: Rule) -> np.ndarray:
     """A key for each block of a set that has elements, and for each two empty blocks."""
     out = []
-    for level, blocks in levels(len(elements)):
+    for level, blocks in levels(len(elements), rule):
         block = (elements % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
@@ -218,25 +243,32 @@ def _block_keys(elements: np.ndarray, mixed: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def build_sets(docs: DataFrame) -> DataFrame:
+def _prefix_keys(elements: np.ndarray, rule: Rule) -> np.ndarray:
+    """The least elements: one of them is the least that the set shares with a partner."""
+    return elements[: len(elements) - least_partner(len(elements), rule) + 1]
+
+
+def build_sets(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """One row for each document: size, identity, parity sketch, join keys."""
-    bound = light_bound()
+    bound = light_bound(rule)
 
     def build(batches):
         for batch in batches:
             for rows, data, offsets in kernels.chunks(batch):
-                elements, first = distinct_sets(data, offsets)
+                elements, first = distinct_sets(data, offsets, rule.shingle)
                 n = np.diff(first)
                 mixed = kernels.mix(elements)
                 keys = []
                 for a, size in zip(first[:-1].tolist(), n.tolist(), strict=True):
                     own = elements[a : a + size]
                     found = []
-                    if 0 < size <= bound:
-                        found.append(_subset_keys(own))
+                    if rule.prefix:
+                        found.append(_prefix_keys(own, rule) if size else own)
+                    elif 0 < size <= bound:
+                        found.append(_subset_keys(own, rule))
                     # A light set also posts where a heavy partner is possible.
-                    if size and most_partner(size) > bound:
-                        found.append(_block_keys(own, mixed[a : a + size]))
+                    if size and not rule.prefix and most_partner(size, rule) > bound:
+                        found.append(_block_keys(own, mixed[a : a + size], rule))
                     keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
                 yield pa.record_batch(
                     [
@@ -253,7 +285,7 @@ def build_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernels.released(build), _SETS)
 
 
-def _fits(a: str, b: str, around: bool) -> Column:
+def _fits(a: str, b: str, around: bool, rule: Rule) -> Column:
     """Whether sizes, and the places of a shared difference, leave room for a link.
 
     ``pos`` counts the differences before the shared one, ``apart`` all of a set's
@@ -261,11 +293,11 @@ def _fits(a: str, b: str, around: bool) -> Column:
     sketches of the differences bound how far the sets are apart.
     """
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    sizes = (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+    sizes = (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num)
     if not around:
         return sizes
     d, e = F.col(f"{a}_apart"), F.col(f"{b}_apart")
-    most = F.floor((n + m) * (DEN - NUM) / (DEN + NUM))
+    most = F.floor((n + m) * (rule.den - rule.num) / (rule.den + rule.num))
     far = reduce(Column.__add__, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _SKETCH])
     return sizes & (2 * F.least(d - F.col(f"{a}_pos"), e - F.col(f"{b}_pos")) >= d + e - most) & (far <= most)
 
@@ -302,7 +334,7 @@ def around_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return told.join(open_, "g").select("a", F.col("doc").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, key: list[str], labels: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Distinct (a, b) of one list that are in different components and may link."""
     columns = [c for c in ("doc", "n", "apart", "pos", *_SKETCH, "label") if c in members.columns or c == "label"]
     found = labels.select(F.col("node").alias("_node"), "component")
@@ -310,29 +342,29 @@ def open_pairs(members: DataFrame, key: list[str], labels: DataFrame) -> DataFra
     mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
     left = told.join(mixed, key).select(*key, *columns)
     named = lambda x: left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b", "pos" in columns)
+    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b", "pos" in columns, rule)
     return named("a").join(named("b"), key).where(cross).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
 
 
-def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def close_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """The (a, b) whose parity sketches leave a link possible; no linking pair is lost."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_par"))
     far = F.aggregate(
         F.zip_with("a_par", "b_par", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, d: acc + d
     )
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return met.where(far * (NUM + DEN) <= (F.col("a_n") + F.col("b_n")) * (DEN - NUM)).select("a", "b").distinct()
+    return met.where(far * (rule.num + rule.den) <= (F.col("a_n") + F.col("b_n")) * (rule.den - rule.num)).select("a", "b").distinct()
 
 
-def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
-    sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c)))) for c in ("a_text", "b_text")]
+def _judge_rows(rows: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
+    sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c))), rule.shingle) for c in ("a_text", "b_text")]
     wanted = rows.column("long").to_pylist()
     ok, sizes, apart, early, sketch = [], [], [], [], []
     for r in range(rows.num_rows):
         x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
         shared = np.isin(y, x, assume_unique=True)
         both = int(shared.sum())
-        ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
+        ok.append(both > 0 and rule.den * both >= rule.num * (len(x) + len(y) - both))
         sizes.append(len(y))
         apart.append(len(x) + len(y) - 2 * both)
         if not wanted[r]:
@@ -341,7 +373,7 @@ def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
             continue
         differences = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]])
         # A partner shares this many at least, as it is not far from b either.
-        least = max(1, apart[-1] - most_apart(len(y) + most_partner(len(y))))
+        least = max(1, apart[-1] - most_apart(len(y) + most_partner(len(y), rule), rule))
         early.append(differences[: apart[-1] - least + 1].view(np.int64))
         sketch.append(_parities(differences, np.array([0, len(differences)]), len(_SKETCH))[0])
     return pa.record_batch(
@@ -351,7 +383,7 @@ def _judge_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(a, b, link, n, apart, early, sketch) by the texts themselves.
 
     ``n`` is the size of b's set, ``apart`` that of the symmetric difference, and
@@ -362,7 +394,7 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for some, _, _ in kernels.chunks(batch, "a_text", JUDGED_BYTES):
                 for rows, _, _ in kernels.chunks(some, "b_text", JUDGED_BYTES):
-                    yield _judge_rows(rows)
+                    yield _judge_rows(rows, rule)
 
     n = pairs.count()
     small = (lambda df: F.broadcast(df)) if n <= MOST_BROADCAST_IDS else (lambda df: df)
@@ -375,11 +407,11 @@ def judged(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, early array<long>, s1 long, s2 long, s3 long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``, linked by ``rule``."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    sets = materialize(build_sets(slim), "sets")
+    sets = materialize(build_sets(slim, rule), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
@@ -391,13 +423,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # Round one: every document against the pivot it meets most.
     first = materialize(pivot_pairs(members), "pairs")
-    near = materialize(close_pairs(first, reps).withColumn("long", F.lit(False)), "pairs")
-    links = materialize(judged(near, slim), "judged").where("link").select("a", "b")
+    near = materialize(close_pairs(first, reps, rule).withColumn("long", F.lit(False)), "pairs")
+    links = materialize(judged(near, slim, rule), "judged").where("link").select("a", "b")
     labels = components(links)
 
     # Round two: long lists that are still open, by differences from what stands for their pivot.
     round_ = materialize(around_pairs(members, labels).withColumn("long", F.lit(True)), "pairs")
-    told = materialize(judged(round_, slim), "judged")
+    told = materialize(judged(round_, slim, rule), "judged")
     links = links.unionByName(told.where("link and a <> b").select("a", "b"))
     around = told.where(F.size("early") > 0).select(
         F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", "apart", *_SKETCH, F.posexplode("early").alias("pos", "g")
@@ -406,9 +438,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # Round three: pairs that lists leave open between components.
     short = members.where(F.col("size") <= LONG_LIST)
-    rest = open_pairs(short, ["g"], labels).unionByName(open_pairs(around, ["pivot", "g"], labels)).distinct()
-    rest = close_pairs(rest, reps).withColumn("long", F.lit(False))
-    more = judged(materialize(rest, "pairs"), slim).where("link").select("a", "b")
+    rest = open_pairs(short, ["g"], labels, rule).unionByName(open_pairs(around, ["pivot", "g"], labels, rule)).distinct()
+    rest = close_pairs(rest, reps, rule).withColumn("long", F.lit(False))
+    more = judged(materialize(rest, "pairs"), slim, rule).where("link").select("a", "b")
 
     # Rows of one doc_id with different texts are one document.
     shared = usable.select("doc_id", "k1", "k2").distinct()

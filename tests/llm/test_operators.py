@@ -99,6 +99,53 @@ def test_jaccard_odd_ids(spark):
     assert setjoin.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def general_jaccard(docs: list[tuple]) -> dict:
+    """doc_id -> component over all pairs, for five words and 0.8."""
+    sets = {}
+    for d, text in docs:
+        w = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+    names = sorted(sets)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {d: min(x, y) if c in (x, y) else c for d, c in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("long_list", [64, 3])
+def test_jaccard_join_by_the_general_rule(spark, monkeypatch, long_list):
+    monkeypatch.setattr(setjoin, "LONG_LIST", long_list)
+    rng = random.Random(9)
+    small = "a b c d e f g h i j k l m n o p q r s t".split()
+    docs = odd_docs() + [(400 + k, " ".join(small[: 8 + k])) for k in range(12)]
+    for at, size in ((1000, 14), (1100, 40), (1200, 120), (1300, 700)):  # families whose members are edited more and more
+        base = [f"w{rng.randrange(400)}" for _ in range(size)]
+        for k in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(1 + max(3, size // 25))):
+                w[rng.randrange(size)] = f"edit{rng.randrange(100000)}"
+            docs.append((at + k, " ".join(w + base[: rng.randrange(3)])))
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_components(frame, setjoin.GENERAL).collect()}
+    want = general_jaccard(docs)
+    assert got == want and 40 < sum(c != d for d, c in want.items()) < len(docs) - 60
+
+
+def test_general_rule_shares_a_key():
+    """Linking sets of any sizes have one of their least elements in common."""
+    rule, rng = setjoin.GENERAL, np.random.default_rng(4)
+    for n in [*range(1, 60)] * 6 + [90, 200, 700, 3000] * 8:
+        m = int(rng.integers(n, setjoin.most_partner(n, rule) + 1))
+        both = min(n, setjoin.required(n, m, rule))
+        pool = rng.integers(0, 2**64, n + m - both, dtype=np.uint64)
+        x, y = (set(setjoin._prefix_keys(np.sort(own), rule).tolist()) for own in (pool[:n], pool[n - both :]))
+        assert x & y, (n, m)
+
+
 def test_subset_sizes_cover_all_partners():
     for n in range(1, 40):
         for m in range(setjoin.least_partner(n), setjoin.most_partner(n) + 1):

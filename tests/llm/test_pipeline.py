@@ -50,3 +50,12 @@ def test_run(spark, tmp_path):
     _tables(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"shard", "slot"} <= set(out.columns) and out.count() > 100
+
+
+def test_near_duplicates_by_five_words_and_08(spark):
+    base = [f"w{i}" for i in range(300)]
+    near = [f"edit{i}" if i % 50 == 20 else w for i, w in enumerate(base)]  # 5 words: 0.816, 3 words: 0.886
+    far = [f"edit{i}" if i % 40 == 20 else w for i, w in enumerate(base)]  # 5 words: 0.787 or less to either
+    rows = [(1, " ".join(base), "en", "s", 0), (2, " ".join(near), "en", "s", 0), (3, " ".join(far), "en", "s", 0)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, FULL), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
