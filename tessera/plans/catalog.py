@@ -424,6 +424,14 @@ def search_batch(spark, sf_dir):
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@_entry(_SQL["search_batch"].replace("array_to_string(string_split(text, ' ')[1:2], ' ')", "text"))
+def search_whole_batch(spark, sf_dir):
+    """Each benchmark text searched whole; ``search_batch`` searches the first two words only."""
+    log = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search_many(corpus_index(spark, sf_dir), log, 3)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @_entry()
 def query_shapes(spark, sf_dir):
     """Shape of each logged query; parsing is driver-side work on short strings."""
