@@ -631,10 +631,10 @@ def drop_reasons(spark, sf_dir):
 
 @_entry()
 def backfill(spark, sf_dir):
-    """The whole backfill of the landed pages, with a quota of each host."""
+    """The whole backfill of the landed pages."""
     pages = _pages(spark, sf_dir).select(urls.host(F.col("url")).alias("site"), "url", "html", F.col("page_id").alias("seq"))
     seen = spark.createDataFrame([], "doc_id string")
-    docs = ingest.backfilled(pages, seen, quota=50)
+    docs = ingest.backfilled(pages, seen)
     return docs.select("doc_id", "site", "url", "title", F.length("body").alias("body_chars"))
 
 

@@ -54,3 +54,10 @@ def test_whole_batch_reads_past_two_words(spark, tmp_path):
     found = catalog.queries()["search_whole_batch"](spark, str(tmp_path)).collect()
     assert "[1:2]" not in catalog.oracle_sql()["search_whole_batch"]
     assert sorted((r["query_id"], r["doc_id"]) for r in found) == [(7, 1), (7, 3)]
+
+
+def test_backfill_keeps_every_page_of_a_host(spark, tmp_path):
+    html = f"<title>t</title><p>{'some words of a page ' * 20}</p>"
+    pages = [(i, f"https://hot.example.org/stories/page-{i}", html) for i in range(60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalog.queries()["backfill"](spark, str(tmp_path)).count() == 60
