@@ -70,6 +70,14 @@ def blocks_for(rows: int, rows_per_block: int, least: int) -> int:
     return max(least, math.ceil(rows / max(1, rows_per_block)))
 
 
+def prime(least: int) -> int:
+    """The least odd prime from ``least`` on: a number of buckets that no stride of keys favours."""
+    n = least | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
 def ascii_lower(col):
     """Lower-case A-Z only.
 

@@ -105,8 +105,60 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
+def lanes_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+#: Keeps the first k bytes of a lane.
+_LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range.
+
+    Ranges are read eight bytes at a time and every step is mixed, so no structure
+    of the bytes cancels, as it can in polynomials modulo a power of two.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _BASE + np.uint64(seed))
+    if not len(size):
+        return out
+    lanes = lanes_at(data)
+    order = np.argsort(-size, kind="stable") if int(size.max()) > 8 else np.arange(len(size))
+    falling = -size[order]
+    k = 0
+    while True:
+        left = int(np.searchsorted(falling, -8 * k)) if k else int(np.count_nonzero(size)) if int(size.max()) > 8 else len(size)
+        if not left:
+            return out
+        at = order[:left]
+        lane = lanes[starts[at] + 8 * k] & _LANE_MASK[np.clip(size[at] - 8 * k, 0, 8)]
+        out[at] = mix((out[at] ^ lane) + np.uint64((k + 1) * 0x9FB21C651E98DF25 & _MASK))
+        k += 1
+        if 8 * k >= -int(falling[0]):
+            return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether ranges ``i`` and ``j`` hold the same bytes, pair by pair."""
+    size = (ends - starts)[i]
+    same = size == (ends - starts)[j]
+    lanes = lanes_at(data)
+    k, at = 0, np.flatnonzero(same)
+    while len(at):
+        mask = _LANE_MASK[np.clip(size[at] - 8 * k, 0, 8)]
+        equal = (lanes[starts[i[at]] + 8 * k] & mask) == (lanes[starts[j[at]] + 8 * k] & mask)
+        same[at[~equal]] = False
+        k += 1
+        at = at[equal]
+        at = at[size[at] > 8 * k]
+    return same
+
+
 class Tokens:
-    """The words of a chunk: byte ranges, document numbers and prefix-sum hashes.
+    """The words of a chunk: byte ranges, document numbers and hashes.
 
     ``lower`` folds A-Z and the Latin-1 capitals; ``"ascii"`` folds A-Z only.
     """
@@ -128,22 +180,18 @@ class Tokens:
         #: Tokens of document d are first[d] to first[d + 1].
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
         if lower is True and n:
             # Latin-1 capitals (two bytes, 0xC3 first) fold as A-Z do.
             capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
             if capital.any():
                 data = data.copy()
                 data[1:][capital] += 0x20
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values[data] * _power("up", _BASE, n), out=sums[1:])
-        self._sums = sums
+        self.data = LOWER[data] if lower else data
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word, or of its first ``most`` bytes."""
         ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
-        raw = (self._sums[ends] - self._sums[self.starts]) * _power("down", _INVERSE, len(self._sums))[self.starts]
-        return mix(raw + (ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, ends)
 
 
 def grams(data: np.ndarray, n: int, bits: int) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels, parse
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import materialize, prime, small_batches
 
 LENGTH = 100
 #: Phrases that a task gathers before it settles what it can.
@@ -364,13 +364,6 @@ def _cut_documents(docs: pa.Table, starts: pa.Table) -> pa.Table:
     return pa.table(dict(zip([n for n, _ in _DONE], _results(out), strict=True)))
 
 
-def _prime(least: int) -> int:
-    n = least | 1
-    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
-        n += 2
-    return n
-
-
 def _ordered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(rid, doc_id, text) with a unique rid in document order, and whether rid is doc_id itself."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -387,7 +380,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows, unique = _ordered(docs)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    groups = _prime(max(LEAST_GROUPS, size // GROUP_BYTES))
+    groups = prime(max(LEAST_GROUPS, size // GROUP_BYTES))
     sent = rows.select("rid", "text").mapInArrow(kernels.released(_parse_documents(groups)), "bucket int, phrases binary, docs binary, facts binary")
     # Written tables between the steps: each step's shuffle files go before the next one's come.
     facts = materialize(sent.groupBy("bucket").applyInArrow(_meet_phrases, "rid long, fact long"), "facts", release=True)

@@ -1,37 +1,45 @@
-"""N-gram Jaccard join: size-aware, light sets by subsets, heavy sets by lists.
+"""N-gram Jaccard join: size-aware, light sets by subsets, heavy sets by inverted lists.
 
 Two sets link when intersection / union reaches the threshold of a :class:`Rule`.
-Equal sets fold into one representative first.  What is left is joined on keys that every linking
-pair must share:
+Documents of one word sequence fold into one representative first.  What is left is
+joined on keys that every linking pair must share:
 
 * light sets (few elements) list their subsets of each size that an intersection
   with a partner can require; a linking pair of light sets shares one of them;
-* heavy sets scan inverted lists.  Their elements fall into blocks by hash, one
-  block more than a link leaves differences plus one, so a linking pair agrees in
-  two blocks at least.  A list is keyed by the whole content of a block: sets that
-  merely share a frequent passage do not meet.
-
-Where the rule says so, all sets post their least elements by hash instead: a set of n
-elements shares ceil(num / den * n) of them with any partner, so the least element
-that a linking pair shares is among the first n - ceil(num / den * n) + 1 of either.
-A low threshold would leave blocks of two or three elements, and many more of them.
-
-The size at which a set becomes heavy is where its subsets would cost more than
-its list entries.  Sets fall into size classes, and the number of blocks follows
-the class; sets near a border also post for the border.  Pairs meet a parity
-sketch, whose Hamming distance never exceeds the symmetric difference, before
-their texts are compared exactly.
-
-Lists do not pair all members.  Every document is first compared with the pivot
-(the least member) that most of its lists have; documents that are then connected
-need no further pair.  The members of a long list that is still open are described
-by how they differ from the set P that stands for its pivot's component: what they
-add to P, then what they lack of it.  If X does not link with P and links with Y,
-then X and Y share (|dX| + |dY| - most apart) / 2 of their differences at least, and
-that is more than none: otherwise |dX| + |dY| were within reach of |Y|, which exceeds
-|P| by |dY| at most.  So only pairs that share an early difference go on.
-
-Elements are 64-bit hashes of word n-grams.
+* heavy sets scan inverted lists.  A set of n elements shares t = ceil(num / den * n)
+  of them with any partner, so the i-th least element that a linking pair shares is
+  among the first n - t + i of either set.  Each set posts its first n - t + 1 + s
+  elements, so a linking pair meets on s + 1 elements at least, s the smaller spare
+  of the two; pairs that meet on fewer are dropped.
+
+The size at which a set becomes heavy is where its subsets would cost more than its
+list entries; light sets that may have a heavy partner post as heavy ones do, too.
+
+Keys travel packed, six bytes each, to buckets by key; only keys of two documents or
+more come back.  A key that many documents of one task hold goes there once, so no
+bucket gathers a frequent passage.
+
+Lists do not pair all members.  Every document is first compared with the pivot (the
+least member) that most of its lists have; documents that are then connected need no
+further pair.  Short lists pair their members.  A document that no more of its
+elements than its spare have in long lists meets all its partners in short ones.  The
+others, and they alone, meet in long lists that are still open: they are described by
+how they differ from the set P that stands for the list's pivot.  If X does not link
+with P and links with Y, then X and Y share (|dX| + |dY| - most apart) / 2 of their
+differences at least, and that is more than none: otherwise |dX| + |dY| were within
+reach of |Y|, which exceeds |P| by |dY| at most.  Differences are ordered from the
+rarest around P on.  The first one that X and Y share is then among the first
+most / 2 + 1 of the one that has fewer, where it probes, and among the first most + 1
+of the other.  So what a whole template has in common pairs nobody.  Where many
+documents probe one difference, the least member is the next P: what all of a list
+share is then no difference any more.  Pivots rise with each turn, so this ends.
+
+Candidates meet a parity sketch, whose Hamming distance never exceeds the symmetric
+difference, before their texts are compared; there, words of equal hash are compared
+byte by byte, and so are shingles word by word.
+
+Elements are 64-bit hashes of word n-grams.  Folding goes by a 128-bit BLAKE2 digest of
+the word sequence.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; rows that share a ``doc_id``
@@ -42,18 +50,20 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels
-from tessera.llm.common import materialize, small_batches
+from tessera.llm.common import materialize, prime, small_batches
 from tessera.llm.components import components
 
 #: The contract: link when 100 * intersection >= 90 * union, over 3-word shingles.
@@ -63,23 +73,17 @@ SHINGLE = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """When two sets link: ``den`` * intersection >= ``num`` * union, over shingles of ``shingle`` words.
-
-    ``prefix`` chooses lists of a set's least elements before subsets and blocks.
-    """
+    """When two sets link: ``den`` * intersection >= ``num`` * union, over shingles of ``shingle`` words."""
 
     shingle: int
     num: int
     den: int
-    prefix: bool = False
 
 
 #: What op10 is bound to.
 CONTRACT = Rule(SHINGLE, NUM, DEN)
 #: Near duplicates in general: five words, 0.8.
-GENERAL = Rule(5, 80, 100, prefix=True)
-#: Size classes grow by this factor.
-CLASS_GROWTH = 1.7
+GENERAL = Rule(5, 80, 100)
 #: What a list entry costs beside a subset: it is met by more sets.
 ENTRY_COST = 4
 #: Longs in a set's parity sketch.
@@ -90,12 +94,22 @@ _SKETCH = ("s1", "s2", "s3")
 MOST_LIGHT = 24
 #: Members of lists above this length meet by their differences from the pivot.
 LONG_LIST = 24
-#: Pairs of ids are broadcast up to this many (17 bytes each), else joined by shuffle.
+#: Small sides of joins are broadcast up to this many rows (17 bytes each), else joined by shuffle.
 MOST_BROADCAST_IDS = 300_000
 #: Text bytes of either side that are compared at once.
 JUDGED_BYTES = 1 << 19
+#: Keys that a task gathers before it sends them on.
+GATHER = 1_000_000
+#: Members of one key in a task from which on it is sent once.
+LOCAL_LIST = 8
+#: Text bytes whose keys meet in one bucket, on average, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 17
+#: Comparisons with one document that share a task.
+PER_HEAD = 256
 
-_SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>, keys array<long>"
+_SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>"
+_PACKED = "bucket int, asked binary, known binary"
+_MEMBERS = "g long, doc long, scope long"
 
 
 def required(n: int, m: int, rule: Rule = CONTRACT) -> int:
@@ -104,6 +118,7 @@ def required(n: int, m: int, rule: Rule = CONTRACT) -> int:
 
 
 def least_partner(n: int, rule: Rule = CONTRACT) -> int:
+    """The least size, and the least intersection, that a partner of a set of ``n`` has."""
     return -(-rule.num * n // rule.den)
 
 
@@ -111,6 +126,16 @@ def most_partner(n: int, rule: Rule = CONTRACT) -> int:
     return rule.den * n // rule.num
 
 
+def spare(n: int, rule: Rule = CONTRACT) -> int:
+    """Elements that a set of ``n`` posts beyond what a link needs."""
+    return (n - least_partner(n, rule)) // 2
+
+
+def entries(n: int, rule: Rule = CONTRACT) -> int:
+    """How many of its elements a set of ``n`` posts."""
+    return n - least_partner(n, rule) + 1 + spare(n, rule)
+
+
 def subset_sizes(n: int, rule: Rule = CONTRACT) -> list[int]:
     """Sizes of the subsets that a light set of ``n`` lists: what its partners can require."""
     sizes = {required(n, m, rule) for m in range(least_partner(n, rule), most_partner(n, rule) + 1)}
@@ -126,48 +151,18 @@ def most_apart(total: int, rule: Rule = CONTRACT) -> int:
     return total * (rule.den - rule.num) // (rule.den + rule.num)
 
 
-@cache
-def class_of(n: int) -> int:
-    """The size class of ``n``."""
-    c = 0
-    while class_border(c) <= n:
-        c += 1
-    return c
-
-
-@cache
-def class_border(c: int) -> int:
-    """The least size beyond class ``c``."""
-    return math.ceil(2 * CLASS_GROWTH**c)
-
-
-@cache
-def levels(n: int, rule: Rule = CONTRACT) -> tuple[tuple[int, int], ...]:
-    """(level, blocks) of a set of ``n``: its class, and each border that a partner may be beyond."""
-    c = class_of(n)
-    below, above = (class_border(c - 1) if c else 1), class_border(c)
-    out = [(2 * c, most_apart(2 * (above - 1), rule) + 2)]
-    if c and least_partner(n, rule) < below:
-        out.append((2 * c - 1, most_apart(below - 1 + most_partner(below - 1, rule), rule) + 2))
-    if most_partner(n, rule) >= above:
-        out.append((2 * c + 1, most_apart(above - 1 + most_partner(above - 1, rule), rule) + 2))
-    return tuple(out)
-
-
 def light_bound(rule: Rule = CONTRACT) -> int:
-    """The largest size whose subsets cost no more than its list entries."""
+    """The largest size whose subsets cost no more than its list entries; light sets have no spare."""
     best = 0
     for n in range(1, MOST_LIGHT + 1):
-        if subset_cost(n, rule) > ENTRY_COST * sum(blocks for _, blocks in levels(n, rule)):
+        if spare(n, rule) or subset_cost(n, rule) > ENTRY_COST * entries(n, rule):
             break
         best = n
     return best
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each shingle, first shingle of each document), repeats included."""
-    tokens = kernels.Tokens(data, offsets, kernels.SOLID_BYTES, lower="ascii")
-    words, first = tokens.hashes(), tokens.first
+def word_shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each shingle, first shingle of each document, first word of each shingle), repeats included."""
     counts = np.diff(first)
     n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(n)])
@@ -178,7 +173,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tup
         there = k < size
         word = words[np.minimum(at + k, max(0, len(words) - 1))] if len(words) else np.zeros(len(at), np.uint64)
         out = kernels.mix(out + np.where(there, word, np.uint64(0)) * np.uint64(2 * k + 1) + np.uint64(k))
-    return out, starts
+    return out, starts, at
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> kernels.Tokens:
+    return kernels.Tokens(data, offsets, kernels.SOLID_BYTES, lower="ascii")
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each shingle, first shingle of each document), repeats included."""
+    tokens = _tokens(data, offsets)
+    return word_shingles(tokens.hashes(), tokens.first, width)[:2]
 
 
 def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +197,6 @@ def distinct_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -
     return keys[new], np.concatenate([[0], np.cumsum(new)])[starts]
 
 
-def _wrapping_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
-
-
 def _parities(keys: np.ndarray, first: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """Per document ``words`` longs; each element flips one bit."""
     n, bits = len(first) - 1, words * 64
@@ -224,94 +223,209 @@ def _subset_keys(elements: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _block_keys(elements: np.ndarray, mixed: np.ndarray, rule: Rule) -> np.ndarray:
-    """A key for each block of a set that has elements, and for each two empty blocks."""
-    out = []
-    for level, blocks in levels(len(elements), rule):
-        block = (elements % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
-        ends = np.cumsum(np.bincount(block, minlength=blocks))
-        content = sums[ends] - np.concatenate([np.zeros(1, np.uint64), sums[ends[:-1]]])
-        sizes = np.diff(ends, prepend=0)
-        salt = np.uint64((level + 1) << 32)
-        out.append(kernels.mix(content + salt + np.arange(blocks, dtype=np.uint64))[sizes > 0])
-        void = np.flatnonzero(sizes == 0)
-        if len(void) > 1:
-            pairs = np.array(list(combinations(void.tolist(), 2)), dtype=np.uint64)
-            out.append(kernels.mix((pairs[:, 0] << np.uint64(20)) + pairs[:, 1] + salt + np.uint64(1 << 60)))
-    return np.concatenate(out)
-
-
-def _prefix_keys(elements: np.ndarray, rule: Rule) -> np.ndarray:
-    """The least elements: one of them is the least that the set shares with a partner."""
-    return elements[: len(elements) - least_partner(len(elements), rule) + 1]
+def join_keys(elements: np.ndarray, rule: Rule, bound: int) -> np.ndarray:
+    """The keys that a set posts: subsets of a light set, least elements where a heavy set is or may be met."""
+    n = len(elements)
+    if not n:
+        return elements
+    least = kernels.mix(elements[: entries(n, rule)]) if most_partner(n, rule) > bound else elements[:0]
+    return np.concatenate([_subset_keys(elements, rule), least]) if n <= bound else least
 
 
 def build_sets(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """One row for each document: size, identity, parity sketch, join keys."""
-    bound = light_bound(rule)
+    """One row for each document: size, digest of the word sequence, parity sketch."""
 
     def build(batches):
         for batch in batches:
             for rows, data, offsets in kernels.chunks(batch):
                 elements, first = distinct_sets(data, offsets, rule.shingle)
-                n = np.diff(first)
-                mixed = kernels.mix(elements)
-                keys = []
-                for a, size in zip(first[:-1].tolist(), n.tolist(), strict=True):
-                    own = elements[a : a + size]
-                    found = []
-                    if rule.prefix:
-                        found.append(_prefix_keys(own, rule) if size else own)
-                    elif 0 < size <= bound:
-                        found.append(_subset_keys(own, rule))
-                    # A light set also posts where a heavy partner is possible.
-                    if size and not rule.prefix and most_partner(size, rule) > bound:
-                        found.append(_block_keys(own, mixed[a : a + size], rule))
-                    keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
+                raw = data.tobytes()
+                digests = [
+                    hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest()
+                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+                ]
+                named = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 yield pa.record_batch(
                     [
                         rows.column("doc_id"),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(_wrapping_sums(mixed, first).view(np.int64)),
-                        pa.array(_wrapping_sums(kernels.mix(elements ^ np.uint64(0xA0761D6478BD642F)), first).view(np.int64)),
+                        pa.array(np.diff(first).astype(np.int32)),
+                        pa.array(np.ascontiguousarray(named[:, 0])),
+                        pa.array(np.ascontiguousarray(named[:, 1])),
                         _lists(list(_parities(elements, first))),
-                        _lists(keys),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "parity", "keys"],
+                    names=["doc_id", "n", "k1", "k2", "parity"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernels.released(build), _SETS)
 
 
-def _fits(a: str, b: str, around: bool, rule: Rule) -> Column:
-    """Whether sizes, and the places of a shared difference, leave room for a link.
+# Packed exchange of keys.
 
-    ``pos`` counts the differences before the shared one, ``apart`` all of a set's
-    differences; a linking pair passes at the first difference it shares.  Parity
-    sketches of the differences bound how far the sets are apart.
+_ENTRY = np.dtype([("key", "u8"), ("doc", "i8"), ("scope", "i8"), ("sent", "u1")])
+
+
+def _pack(rows: np.ndarray, buckets: int) -> bytes:
+    """Six bytes of what the bucket leaves open of a key; the rest as differences, byte planes compressed."""
+    rows = rows[np.lexsort((rows["doc"], rows["scope"]))]
+    rest = (rows["key"] // np.uint64(buckets)) & np.uint64((1 << 48) - 1)
+    raw = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    planes = [np.diff(rows[c].astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for c in ("doc", "scope")]
+    return len(rows).to_bytes(4, "little") + raw + zlib.compress(b"".join([*planes, rows["sent"].tobytes()]), 1)
+
+
+def _unpack(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.zeros(n, dtype=_ENTRY)
+    rest = np.zeros((n, 8), dtype=np.uint8)
+    rest[:, :6] = np.frombuffer(raw, dtype=np.uint8, count=6 * n, offset=4).reshape(-1, 6)
+    out["key"] = rest.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket)
+    flat = np.frombuffer(zlib.decompress(raw[4 + 6 * n :]), dtype=np.uint8)
+    for k, c in enumerate(("doc", "scope")):
+        planes = np.ascontiguousarray(flat[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T)
+        out[c] = np.cumsum(planes.view(np.int64).ravel())
+    out["sent"] = flat[16 * n :]
+    return out
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows sorted by key and document, length of the run that each row's key has)."""
+    rows = rows[np.lexsort((rows["doc"], rows["key"]))]
+    start = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(rows)))
+    return rows, np.repeat(size, size)
+
+
+def _by_bucket(rows: np.ndarray, bucket: np.ndarray):
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    for part, b in zip(np.split(rows, cut), bucket[np.concatenate([[0], cut])] if len(bucket) else (), strict=False):
+        if len(part):
+            yield int(b), part
+
+
+def _send(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys to their buckets.  Of many rows of one key, one is sent; all of them are known to be members."""
+    rows, run = _runs(rows)
+    hot = run > LOCAL_LIST
+    lead = hot & np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]) if len(rows) else hot
+    known, asked = rows[hot], rows[~hot | lead]
+    asked["sent"] = hot[~hot | lead]
+    out = [(b, _pack(part, buckets), None) for b, part in _by_bucket(asked, (asked["key"] % np.uint64(buckets)).astype(np.int64))]
+    for b, part in _by_bucket(known, (known["key"] % np.uint64(buckets)).astype(np.int64)):
+        # A member that is known need not go to its key's bucket: name it whole, send it anywhere.
+        out.append((int(part["doc"][0]) % buckets, None, b.to_bytes(4, "little") + _pack(part, buckets)))
+    cols = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "asked", "known"])
+
+
+def _meet(buckets: int):
+    """Reducer: the members of keys that two or more rows have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [np.zeros(0, dtype=_ENTRY)]
+        asked = [_unpack(x, b, buckets) for b, x in zip(table.column("bucket").to_pylist(), table.column("asked").to_pylist(), strict=True) if x is not None]
+        if asked:
+            rows, size = _runs(np.concatenate(asked))
+            out.append(rows[(size > 1) & (rows["sent"] == 0)])
+        out += [_unpack(x[4:], int.from_bytes(x[:4], "little"), buckets) for x in table.column("known").to_pylist() if x is not None]
+        rows = np.concatenate(out)
+        return pa.table({"g": rows["key"].view(np.int64) if len(rows) else pa.array([], pa.int64()), "doc": rows["doc"], "scope": rows["scope"]})
+
+    return run
+
+
+def shared_keys(rows: DataFrame, keys_of, buckets: int, label: str) -> DataFrame:
+    """(g, doc, scope): the entries whose key another row has too.
+
+    ``keys_of(batch)`` yields (keys, doc, scope) arrays of a record batch.
     """
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    sizes = (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num)
-    if not around:
-        return sizes
-    d, e = F.col(f"{a}_apart"), F.col(f"{b}_apart")
-    most = F.floor((n + m) * (rule.den - rule.num) / (rule.den + rule.num))
-    far = reduce(Column.__add__, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _SKETCH])
-    return sizes & (2 * F.least(d - F.col(f"{a}_pos"), e - F.col(f"{b}_pos")) >= d + e - most) & (far <= most)
 
+    def post(batches):
+        held, n = [], 0
+        for batch in batches:
+            for keys, doc, scope in keys_of(batch):
+                own = np.zeros(len(keys), dtype=_ENTRY)
+                own["key"], own["doc"], own["scope"] = keys, doc, scope
+                held.append(own)
+                n += len(own)
+                if n >= GATHER:
+                    yield _send(np.concatenate(held), buckets)
+                    held, n = [], 0
+        if n:
+            yield _send(np.concatenate(held), buckets)
+
+    met = rows.mapInArrow(kernels.released(post), _PACKED).groupBy("bucket").applyInArrow(_meet(buckets), _MEMBERS)
+    return materialize(met, label, release=label == "members")
+
+
+def set_members(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """Members of the lists of ``docs`` (doc_id, text)."""
+    bound = light_bound(rule)
+
+    def keys_of(batch):
+        for rows, data, offsets in kernels.chunks(batch):
+            elements, first = distinct_sets(data, offsets, rule.shingle)
+            keys = [join_keys(elements[a:b], rule, bound) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            doc = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            yield np.concatenate(keys) if keys else elements, doc, 0
+
+    return shared_keys(docs, keys_of, buckets, "members")
+
+
+def difference_members(told: DataFrame, buckets: int) -> DataFrame:
+    """Members of the lists of differences; ``scope`` is the document that they differ from."""
+
+    def keys_of(batch):
+        apart = batch.column(batch.schema.get_field_index("differences"))
+        size = np.asarray(apart.value_lengths().fill_null(0), dtype=np.int64)
+        flat = apart.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        a, b = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), size) for c in ("a", "b"))
+        yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a
+
+    return shared_keys(told.select("a", "b", "differences"), keys_of, buckets, "differences")
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for the small side of a join: broadcast only while ``rows`` is within the bound."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST_IDS else df
 
-def candidate_members(posted: DataFrame) -> DataFrame:
-    """(g, doc, n, size, pivot): members of lists with two or more, and the list's least document.
 
-    ``posted`` has (g, doc, n).  Lists are counted first, so only members of lists
-    that matter carry more than their key.
+def split_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(long, short): members with their list's ``size`` and ``pivot``; lists above LONG_LIST are long.
+
+    Where members have ``probe``, lists without a probe are dropped and the probes are
+    counted.  Long lists are few beside their members and are met by broadcast, as far
+    as their number allows; what is left for an exchange by list has short lists only.
+    """
+    probes = F.sum("probe") if "probe" in members.columns else F.count("*")
+    lists = members.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), probes.alias("probes"))
+    lists = materialize(lists.where("size > 1 and probes > 0"), "lists")
+    large = lists.where(F.col("probes") > LONG_LIST).select("g", "size", "pivot")
+    n = large.count()
+    long = members.join(sized(large, n), "g")
+    small = lists.where(F.col("probes") <= LONG_LIST).select("g", "size", "pivot")
+    short = members.join(sized(large.select("g"), n), "g", "left_anti").join(small, "g")
+    return materialize(long, "long"), materialize(short, "short")
+
+
+def ranked_differences(members: DataFrame, told: DataFrame) -> DataFrame:
+    """(g, doc, scope, pos, probe): the differences that may be the first shared one, rarest first.
+
+    Differences that nobody else around the same document has come before the others
+    and are only counted.
     """
-    several = posted.groupBy("g").count().where(F.col("count") > 1).select("g")
-    kept = materialize(posted.join(several, "g"), "members")
-    lists = kept.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"))
-    return kept.join(lists, "g").select("g", "doc", "n", "size", "pivot")
+    long, short = split_lists(members)
+    order = Window.partitionBy("scope", "doc")
+    facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "apart", "most")
+    placed = (
+        long.unionByName(short)
+        .withColumn("_place", F.row_number().over(order.orderBy("size", "g")))
+        .withColumn("_several", F.count("*").over(order))
+        .join(facts, ["scope", "doc"])
+        .withColumn("pos", (F.col("apart") - F.col("_several") + F.col("_place") - 1).cast("int"))
+    )
+    return placed.where("pos <= most").select("g", "doc", "scope", "pos", F.expr("int(pos <= most div 2)").alias("probe"))
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
@@ -321,29 +435,79 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return met.groupBy(F.col("doc").alias("b")).agg(best.alias("a")).select("a", "b")
 
 
-def around_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): members b of open long lists with the document a that stands for the list's pivot."""
-    long = members.where(F.col("size") > LONG_LIST)
-    named = lambda x: labels.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"{x}_label"))
-    told = (
-        long.join(named("doc"), F.col("doc") == F.col("_doc"), "left")
-        .join(named("pivot"), F.col("pivot") == F.col("_pivot"), "left")
-        .select("g", "doc", F.coalesce("doc_label", "doc").alias("label"), F.coalesce("pivot_label", "pivot").alias("a"))
-    )
-    open_ = told.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("g")
-    return told.join(open_, "g").select("a", F.col("doc").alias("b")).distinct()
+def labelled(members: DataFrame, labels: DataFrame, column: str = "doc", name: str = "label") -> DataFrame:
+    """``members`` with the component of a document, or the document itself."""
+    found = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return members.join(found, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", column)).drop("_node", "_component")
+
+
+def open_lists(told: DataFrame) -> DataFrame:
+    """(g) of the lists whose members, (g, label), are in several components."""
+    return told.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("g")
+
+
+def around_pairs(long: DataFrame, labels: DataFrame, by_component: bool) -> DataFrame:
+    """(a, b): members b of open long lists with the document a that they are described by."""
+    told = labelled(long, labels)
+    left = materialize(open_lists(told), "open")
+    met = told.join(sized(left, left.count()), "g")
+    if by_component:
+        return labelled(met, labels, "pivot", "a").select("a", F.col("doc").alias("b")).distinct()
+    return met.where(F.col("pivot") != F.col("doc")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+
+
+def short_pairs(short: DataFrame, columns: tuple[str, ...], labels: DataFrame) -> DataFrame:
+    """(g, a, b, a_*, b_*): pairs of one short list that are in different components."""
+    told = labelled(short, labels)
+    left = told.join(open_lists(told), "g").select("g", "doc", "label", *columns)
+    named = lambda x: left.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "label", *columns)])
+    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label"))
+    return named("a").join(named("b"), "g").where(cross).withColumnRenamed("a_doc", "a").withColumnRenamed("b_doc", "b")
 
 
-def open_pairs(members: DataFrame, key: list[str], labels: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """Distinct (a, b) of one list that are in different components and may link."""
-    columns = [c for c in ("doc", "n", "apart", "pos", *_SKETCH, "label") if c in members.columns or c == "label"]
-    found = labels.select(F.col("node").alias("_node"), "component")
-    told = members.join(found, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "doc"))
-    mixed = told.groupBy(*key).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select(*key)
-    left = told.join(mixed, key).select(*key, *columns)
-    named = lambda x: left.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label")) & _fits("a", "b", "pos" in columns, rule)
-    return named("a").join(named("b"), key).where(cross).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
+def _sql_spare(n: str, rule: Rule) -> Column:
+    """:func:`spare` of a column."""
+    return F.expr(f"({n} - ({rule.num} * {n} + {rule.den - 1}) div {rule.den}) div 2")
+
+
+def loads(long: DataFrame, short: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, hot, spare, clogged) of documents in lists.
+
+    ``hot`` counts a document's entries in long lists; it is clogged when these are more
+    than the spare of its least partner, so that a link may meet in long lists only.
+    """
+    seen = long.select("doc", F.lit(1).alias("hot")).unionByName(short.select("doc", F.lit(0).alias("hot")))
+    hot = seen.groupBy("doc").agg(F.sum("hot").alias("hot"))
+    size = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("n"))
+    told = hot.join(size, "doc").withColumn("least", F.expr(f"({rule.num} * n + {rule.den - 1}) div {rule.den}"))
+    return told.select("doc", "hot", _sql_spare("n", rule).alias("spare"), (F.col("hot") > _sql_spare("least", rule)).alias("clogged"))
+
+
+def element_pairs(short: DataFrame, load: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b) that meet often enough in short lists to link."""
+    often = short_pairs(short, (), labels).groupBy("a", "b").agg(F.count("*").alias("often"))
+    side = lambda x: load.select(F.col("doc").alias(x), F.col("hot").alias(f"{x}_hot"), F.col("spare").alias(f"{x}_spare"))
+    met = often.join(side("a"), "a").join(side("b"), "b")
+    least = F.least("a_spare", "b_spare") + 1 - F.least("a_hot", "b_hot")
+    return met.where(F.col("often") >= least).select("a", "b")
+
+
+def difference_pairs(short: DataFrame, told: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) that share an early difference and whose differences leave room for a link.
+
+    ``pos`` counts the differences before the shared one, ``apart`` all of a set's
+    differences; a linking pair passes at the first difference it shares, where the
+    set with fewer differences probes.  Parity sketches of the differences bound how
+    far the sets are apart.
+    """
+    facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "n", "apart", *_SKETCH)
+    met = short_pairs(short.join(facts, ["scope", "doc"]), ("n", "apart", "pos", "probe", *_SKETCH), labels)
+    n, m, d, e = (F.col(c) for c in ("a_n", "b_n", "a_apart", "b_apart"))
+    most = F.floor((n + m) * (rule.den - rule.num) / (rule.den + rule.num))
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH])
+    probing = ((F.col("a_probe") == 1) & (d <= e)) | ((F.col("b_probe") == 1) & (e <= d))
+    fits = probing & (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num) & (far <= most)
+    return met.where(fits & (2 * F.least(d - F.col("a_pos"), e - F.col("b_pos")) >= d + e - most)).select("a", "b").distinct()
 
 
 def close_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
@@ -356,38 +520,77 @@ def close_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule = CONTRACT) -> Dat
     return met.where(far * (rule.num + rule.den) <= (F.col("a_n") + F.col("b_n")) * (rule.den - rule.num)).select("a", "b").distinct()
 
 
+# Comparison of texts.
+
+
+def hashes_hold(sides: list[kernels.Tokens], words: list[np.ndarray], found: list[tuple], width: int) -> bool:
+    """Whether equal hashes mean equal bytes, for all words and shingles of ``sides``."""
+    data = np.concatenate([t.data for t in sides])
+    base = np.cumsum([0] + [len(t.data) for t in sides])
+    starts, ends = (np.concatenate([getattr(t, c) + o for t, o in zip(sides, base[:-1], strict=True)]) for c in ("starts", "ends"))
+    flat = np.concatenate(words)
+    order = np.argsort(flat, kind="stable")
+    i = np.flatnonzero(flat[order][1:] == flat[order][:-1])
+    if not kernels.same_bytes(data, starts, ends, order[i], order[i + 1]).all():
+        return False
+    # Words are told apart by their hashes now; shingles by their words.
+    ahead = np.cumsum([0] + [len(w) for w in words])
+    at = np.concatenate([s[2] + o for s, o in zip(found, ahead[:-1], strict=True)])
+    size = np.concatenate([np.minimum(np.repeat(np.diff(t.first), np.diff(s[1])), width) for t, s in zip(sides, found, strict=True)])
+    keys = np.concatenate([s[0] for s in found])
+    order = np.argsort(keys, kind="stable")
+    i = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    x, y = order[i], order[i + 1]
+    same = size[x] == size[y]
+    for k in range(width):
+        there = same & (k < size[x])
+        same[there] = flat[at[x[there]] + k] == flat[at[y[there]] + k]
+    return bool(same.all())
+
+
+def exact_set(text: bytes, width: int) -> set:
+    """The shingles of a text themselves."""
+    words = text.lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def _judge_rows(rows: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
-    sides = [shingles(*kernels.flat(rows.column(rows.schema.get_field_index(c))), rule.shingle) for c in ("a_text", "b_text")]
+    texts = [kernels.flat(rows.column(rows.schema.get_field_index(c))) for c in ("a_text", "b_text")]
+    tokens = [_tokens(*t) for t in texts]
+    words = [t.hashes() for t in tokens]
+    sides = [word_shingles(w, t.first, rule.shingle) for w, t in zip(words, tokens, strict=True)]
+    hold = hashes_hold(tokens, words, sides, rule.shingle)
     wanted = rows.column("long").to_pylist()
-    ok, sizes, apart, early, sketch = [], [], [], [], []
+    ok, sizes, apart, most, differences, sketch = [], [], [], [], [], []
     for r in range(rows.num_rows):
-        x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s in sides)
+        x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s, _ in sides)
         shared = np.isin(y, x, assume_unique=True)
         both = int(shared.sum())
-        ok.append(both > 0 and rule.den * both >= rule.num * (len(x) + len(y) - both))
+        if hold:
+            ok.append(both > 0 and rule.den * both >= rule.num * (len(x) + len(y) - both))
+        else:
+            p, q = (exact_set(d[o[r] : o[r + 1]].tobytes(), rule.shingle) for d, o in texts)
+            ok.append(bool(p & q) and rule.den * len(p & q) >= rule.num * len(p | q))
         sizes.append(len(y))
         apart.append(len(x) + len(y) - 2 * both)
-        if not wanted[r]:
-            early.append(y[:0].view(np.int64))
-            sketch.append(np.zeros(len(_SKETCH), dtype=np.int64))
-            continue
-        differences = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]])
-        # A partner shares this many at least, as it is not far from b either.
-        least = max(1, apart[-1] - most_apart(len(y) + most_partner(len(y), rule), rule))
-        early.append(differences[: apart[-1] - least + 1].view(np.int64))
-        sketch.append(_parities(differences, np.array([0, len(differences)]), len(_SKETCH))[0])
+        most.append(most_apart(len(y) + most_partner(len(y), rule), rule))
+        told = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]]) if wanted[r] else y[:0]
+        differences.append(told.view(np.int64))
+        sketch.append(_parities(told, np.array([0, len(told)]), len(_SKETCH))[0] if wanted[r] else [0] * len(_SKETCH))
+    whole = [pa.array(x, pa.int32()) for x in (sizes, apart, most)]
     return pa.record_batch(
-        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(apart, pa.int32()), _lists(early)]
+        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), *whole, _lists(differences)]
         + [pa.array([x[k] for x in sketch], pa.int64()) for k in range(len(_SKETCH))],
-        names=["a", "b", "link", "n", "apart", "early", *_SKETCH],
+        names=["a", "b", "link", "n", "apart", "most", "differences", *_SKETCH],
     )
 
 
-def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """(a, b, link, n, apart, early, sketch) by the texts themselves.
+def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: bool = False) -> DataFrame:
+    """(a, b, link, n, apart, most, differences, sketch) by the texts themselves.
 
-    ``n`` is the size of b's set, ``apart`` that of the symmetric difference, and
-    ``early``, where ``long``, its first elements: what b adds, then what it lacks.
+    ``n`` is the size of b's set, ``apart`` that of the symmetric difference, ``most``
+    how far a partner of b can be from it, and ``differences``, if ``describe``, what b
+    adds to a and what it lacks.
     """
 
     def judge(batches):
@@ -397,50 +600,71 @@ def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFram
                     yield _judge_rows(rows, rule)
 
     n = pairs.count()
-    small = (lambda df: F.broadcast(df)) if n <= MOST_BROADCAST_IDS else (lambda df: df)
+    # A document that very many are compared with goes to several tasks.
+    heads = pairs.groupBy("a").agg((F.count("*") / PER_HEAD).cast("int").alias("more"))
+    many = materialize(heads.where("more > 0").select(F.col("a").alias("_a"), "more"), "heads")
+    n_many = many.count()
+    met = pairs.join(sized(many, n_many), F.col("a") == F.col("_a"), "left").withColumn(
+        "part", F.pmod(F.xxhash64("b"), F.coalesce("more", F.lit(0)) + 1).cast("int")
+    ).select("a", "b", "part")
+    parts = heads.select("a", F.explode(F.sequence(F.lit(0), "more")).alias("part"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
     text = lambda x: texts.select(F.col("_doc").alias(x), F.col("_text").alias(f"{x}_text"))
     # Pairs are carried to b's text, then both to a's: with few pairs only the second moves texts.
-    first = text("b").join(small(pairs), "b")
-    heads = text("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
-    full = first.join(heads, "a").select("a", "b", "long", "a_text", "b_text")
-    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, early array<long>, s1 long, s2 long, s3 long")
+    first = text("b").join(sized(met, n), "b")
+    second = text("a").join(sized(parts, n), "a")
+    full = first.join(second, ["a", "part"]).select("a", "b", F.lit(describe).alias("long"), "a_text", "b_text")
+    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, most int, differences array<long>, s1 long, s2 long, s3 long")
+
+
+def links_around(long: DataFrame, labels: DataFrame, links: DataFrame, slim: DataFrame, rule: Rule, buckets: int):
+    """(labels, links, candidates): what open long lists add, turn by turn."""
+    round_ = materialize(around_pairs(long, labels, True), "pairs")
+    candidates = []
+    while round_.limit(1).count():
+        told = materialize(judged(round_, slim, rule, describe=True), "judged")
+        links = links.unionByName(told.where("link and a <> b").select("a", "b"))
+        labels = components(materialize(links, "links"))
+        members = difference_members(told.where("apart > 0"), buckets)
+        far, near = split_lists(materialize(ranked_differences(members, told), "ranked"))
+        candidates.append(materialize(difference_pairs(near, told, labels, rule), "pairs"))
+        round_ = materialize(around_pairs(far, labels, False), "pairs")
+    return labels, links, candidates
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``, linked by ``rule``."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = prime(max(LEAST_BUCKETS, size // BUCKET_BYTES))
     sets = materialize(build_sets(slim, rule), "sets")
     usable = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = classes.select(F.col("rep").alias("doc_id"), "k1", "k2")
-    reps = usable.dropDuplicates(["doc_id", "k1", "k2"]) if _repeats(usable) else usable
-    reps = reps.join(chosen, ["doc_id", "k1", "k2"], "left_semi")
-
-    posted = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("keys").alias("g"))
-    members = materialize(candidate_members(posted), "members")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    folded = materialize(usable.select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "folded")
+    n_folded = folded.count()
+    # Folded documents are left out by the shorter way.
+    chosen = slim.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = chosen.join(F.broadcast(folded), "doc_id", "left_anti") if n_folded <= MOST_BROADCAST_IDS else chosen.join(reps, "doc_id", "left_semi")
+    long, short = split_lists(set_members(chosen, rule, buckets))
 
     # Round one: every document against the pivot it meets most.
-    first = materialize(pivot_pairs(members), "pairs")
-    near = materialize(close_pairs(first, reps, rule).withColumn("long", F.lit(False)), "pairs")
+    first = materialize(pivot_pairs(long.unionByName(short)), "pairs")
+    near = materialize(close_pairs(first, usable, rule), "pairs")
     links = materialize(judged(near, slim, rule), "judged").where("link").select("a", "b")
     labels = components(links)
 
-    # Round two: long lists that are still open, by differences from what stands for their pivot.
-    round_ = materialize(around_pairs(members, labels).withColumn("long", F.lit(True)), "pairs")
-    told = materialize(judged(round_, slim, rule), "judged")
-    links = links.unionByName(told.where("link and a <> b").select("a", "b"))
-    around = told.where(F.size("early") > 0).select(
-        F.col("a").alias("pivot"), F.col("b").alias("doc"), "n", "apart", *_SKETCH, F.posexplode("early").alias("pos", "g")
-    )
-    labels = components(materialize(links, "links"))
+    # Round two: clogged documents of long lists that are still open.
+    load = materialize(loads(long, short, usable, rule), "loads")
+    clogged = load.where("clogged").select("doc")
+    stuck = materialize(long.join(sized(clogged, clogged.count()), "doc", "left_semi"), "clogged")
+    labels, links, candidates = links_around(stuck, labels, links, slim, rule, buckets)
 
-    # Round three: pairs that lists leave open between components.
-    short = members.where(F.col("size") <= LONG_LIST)
-    rest = open_pairs(short, ["g"], labels, rule).unionByName(open_pairs(around, ["pivot", "g"], labels, rule)).distinct()
-    rest = close_pairs(rest, reps, rule).withColumn("long", F.lit(False))
-    more = judged(materialize(rest, "pairs"), slim, rule).where("link").select("a", "b")
+    # Round three: pairs that short lists leave open between components.
+    rest = reduce(DataFrame.unionByName, [*candidates, element_pairs(short, load, labels)]).distinct()
+    rest = materialize(close_pairs(rest, usable, rule), "pairs")
+    more = judged(rest, slim, rule).where("link").select("a", "b")
 
     # Rows of one doc_id with different texts are one document.
     shared = usable.select("doc_id", "k1", "k2").distinct()
@@ -457,8 +681,3 @@ def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     return placed.join(labels, F.col("rep") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
-
-
-def _repeats(usable: DataFrame) -> bool:
-    """Whether some row of (doc_id, set) is there twice."""
-    return usable.groupBy("doc_id", "k1", "k2").count().where(F.col("count") > 1).limit(1).count() > 0

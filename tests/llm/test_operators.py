@@ -99,6 +99,54 @@ def test_jaccard_odd_ids(spark):
     assert setjoin.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def thue_morse(n: int, flip: int = 0) -> str:
+    """A word whose polynomial hashes modulo powers of two equal those of its complement."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_jaccard_join_tells_structured_words_apart(spark):
+    docs = [(k, thue_morse(n, k % 2)) for k, n in enumerate((1024, 1024, 2048, 2048, 4096, 4096))] + [(9, thue_morse(2048))]
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(frame).collect()}
+    assert got == brute.jaccard(docs) and got[9] == (1, 2)
+
+
+def test_texts_decide_where_hashes_collide(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "span_hashes", lambda data, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    rows = pa.record_batch([[1, 1], [2, 3], ["aa bb cc dd"] * 2, ["ee ff gg hh", "AA bb cc dd"], [False, False]], names=["a", "b", "a_text", "b_text", "long"])
+    assert setjoin._judge_rows(rows, setjoin.CONTRACT).column("link").to_pylist() == [False, True]
+
+
+def template_pages(n: int, anywhere: bool) -> list[tuple]:
+    """Pages that differ from the first one alike, and each in words of its own, so that none link."""
+    rng = random.Random(17)
+    frame, new = [f"t{i}" for i in range(400)], [f"n{i}" for i in range(40)]
+    out = [(0, " ".join(frame))]
+    for k in range(1, n):
+        w = frame[:360] + new
+        for at in rng.sample(range(400), 24) if anywhere else range(0, 400, 20):
+            w[at] = f"own{k}x{rng.randrange(10**9)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("rule, anywhere", [(setjoin.CONTRACT, True), (setjoin.GENERAL, True), (setjoin.GENERAL, False)])
+def test_template_pages_make_few_pairs(spark, rule, anywhere):
+    met = {}
+    for n in (60, 240):
+        frame = spark.createDataFrame(template_pages(n, anywhere), DOCS)
+        long, short = setjoin.split_lists(setjoin.set_members(frame, rule, 5))
+        labels = spark.createDataFrame([], "node long, component long")
+        load = setjoin.loads(long, short, setjoin.build_sets(frame, rule), rule)
+        stuck = long.join(load.where("clogged").select("doc"), "doc", "left_semi")
+        _, links, found = setjoin.links_around(stuck, labels, spark.createDataFrame([], "a long, b long"), frame, rule, 5)
+        met[n] = sum(x.count() for x in found) + setjoin.element_pairs(short, load, labels).count()
+        assert long.count() and not links.count() and len(found) < 4
+    assert met[240] <= 5 * met[60] + 50, met
+
+
 def general_jaccard(docs: list[tuple]) -> dict:
     """doc_id -> component over all pairs, for five words and 0.8."""
     sets = {}
@@ -135,15 +183,27 @@ def test_jaccard_join_by_the_general_rule(spark, monkeypatch, long_list):
     assert got == want and 40 < sum(c != d for d, c in want.items()) < len(docs) - 60
 
 
-def test_general_rule_shares_a_key():
-    """Linking sets of any sizes have one of their least elements in common."""
-    rule, rng = setjoin.GENERAL, np.random.default_rng(4)
+@pytest.mark.parametrize("rule", [setjoin.CONTRACT, setjoin.GENERAL])
+def test_linking_sets_share_keys(rule):
+    """Linking sets of any sizes share a subset, or one more least element than the smaller spare."""
+    rng, bound = np.random.default_rng(4), setjoin.light_bound(rule)
+    assert bound > 4
     for n in [*range(1, 60)] * 6 + [90, 200, 700, 3000] * 8:
         m = int(rng.integers(n, setjoin.most_partner(n, rule) + 1))
         both = min(n, setjoin.required(n, m, rule))
         pool = rng.integers(0, 2**64, n + m - both, dtype=np.uint64)
-        x, y = (set(setjoin._prefix_keys(np.sort(own), rule).tolist()) for own in (pool[:n], pool[n - both :]))
-        assert x & y, (n, m)
+        x, y = (set(setjoin.join_keys(np.sort(own), rule, bound).tolist()) for own in (pool[:n], pool[n - both :]))
+        assert len(x & y) > (0 if m <= bound else min(setjoin.spare(n, rule), setjoin.spare(m, rule))), (n, m)
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(8)
+    rows = np.zeros(500, dtype=setjoin._ENTRY)
+    rows["key"] = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    rows["doc"], rows["scope"] = rng.integers(-(2**63), 2**63, 500), rng.integers(-5, 5, 500)
+    rows["key"] = rows["key"] // np.uint64(61 << 20) * np.uint64(61) + np.uint64(7)
+    back = setjoin._unpack(setjoin._pack(rows, 61), 7, 61)
+    assert sorted(back.tolist()) == sorted(rows.tolist())
 
 
 def test_subset_sizes_cover_all_partners():
@@ -152,14 +212,7 @@ def test_subset_sizes_cover_all_partners():
             c = setjoin.required(n, m)
             assert c * 100 >= 90 * (n + m - c) and (c - 1) * 100 < 90 * (n + m - c + 1)
             assert c > min(n, m) or c in setjoin.subset_sizes(n)
-    assert 9 < setjoin.light_bound() < setjoin.MOST_LIGHT
-
-
-def test_linking_sizes_share_a_level():
-    for n in range(1, 400):
-        for m in range(n, setjoin.most_partner(n) + 1):
-            shared = set(setjoin.levels(n)) & set(setjoin.levels(m))
-            assert any(blocks >= setjoin.most_apart(n + m) + 2 for _, blocks in shared), (n, m)
+    assert 8 < setjoin.light_bound() < setjoin.MOST_LIGHT
 
 
 def test_decontamination(spark):
