@@ -4,13 +4,15 @@ Canonical form: NFKC normalisation and full case folding (both by the ICU
 library on the Spark class path), then every run of white space becomes one
 blank and outer blanks go.  The digest is two xxhash64 values with different
 seeds, 128 bits in hex.  Documents are grouped by digest and the canonical bytes
-inside each bucket are compared; where a bucket holds different bytes, the
-digest of each of its texts is extended by the SHA-256 of the canonical text, so
-equal fingerprints mean equal canonical texts.
+inside each bucket of several are compared; edited texts, which are no documents,
+are held against all others of their digest by the SHA-256 of the canonical text.
+Where a bucket holds different texts, the digest of each is extended by that
+SHA-256, so equal fingerprints mean equal canonical texts.
 
 Defined results: a null text counts as empty; empty texts share one digest;
-repeated rows and ties keep one row each; a null ``doc_id`` sorts first; columns
-other than ``doc_id`` and ``text`` are ignored by the query.
+repeated rows keep one row each; rows of one ``doc_id`` follow each other by a hash of
+the text, then by the text; a null ``doc_id`` sorts first; columns other than
+``doc_id`` and ``text`` are ignored by the query.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from tessera.llm.common import materialize, shuffle_partitions
 _SEED_WORD = "tessera-fingerprint"
 #: Range buckets per shuffle partition when neighbours in doc_id order are paired.
 BUCKETS_PER_PARTITION = 8
-#: Relative error of the bucket borders; it moves borders, never rows.
-BORDER_ERROR = 0.001
+#: Ids of documents that share a digest are broadcast up to this many, else joined by shuffle.
+MOST_BROADCAST_IDS = 300_000
 #: Collided digests are broadcast up to this many (32 bytes each), else joined by shuffle.
 MOST_BROADCAST_DIGESTS = 100_000
 
@@ -64,9 +66,13 @@ def collided_digests(canon: DataFrame) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``fingerprint`` to ``docs``; equal canonical texts, and only they, share one."""
-    held = docs.withColumn("_canon", canonical(F.col(text))).withColumn("_digest", digest(F.col("_canon")))
+    # Canonical text stands in a projection of its own: ICU calls are not deterministic to
+    # the optimizer, so they are neither merged nor repeated there.
+    held = docs.select(F.struct("*").alias("_row"), canonical(F.col(text)).alias("_canon"))
+    held = held.select("_row", "_canon", digest(F.col("_canon")).alias("_digest"))
     bad = _bad_table(held.select(F.col("_digest").alias("digest"), F.col("_canon").alias("canon")))
-    return _resolve(held.withColumn("_sha", F.sha2("_canon", 256)), bad, {"_digest": ("fingerprint", "_sha")}).drop("_canon", "_sha")
+    told = _resolve(held.withColumn("_sha", F.unhex(F.sha2("_canon", 256))), bad, {"_digest": ("fingerprint", "_sha")})
+    return told.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "fingerprint"], "fingerprint")
 
 
 def _bad_table(canon: DataFrame) -> tuple[DataFrame, int]:
@@ -85,78 +91,120 @@ def _resolve(df: DataFrame, bad: tuple[DataFrame, int], names: dict[str, tuple[s
         side = found.select(F.col("digest").alias("_bad"))
         side = F.broadcast(side) if n <= MOST_BROADCAST_DIGESTS else side
         df = df.join(side, F.col(name) == F.col("_bad"), "left")
-        told = F.when(F.col("_bad").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, sha))
+        told = F.when(F.col("_bad").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, F.lower(F.hex(sha))))
         df = df.withColumn(out, told).drop("_bad", name)
     return df
 
 
-def with_next_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) with the neighbour in ascending doc_id, cyclic.
+def _bucketed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` (doc_id, text) with ``_bucket``, in document order, and the first row of each bucket for the one before.
 
-    Range buckets with borders at doc_id quantiles carry each text once; every
-    bucket also gets a copy of the first row of the bucket that follows, so the
-    window never spans the whole table.
+    Borders are doc_ids that a range exchange of the ids alone finds.  An id, null included,
+    that would fill a bucket by itself gets buckets of its own, by ranges of the hash
+    that orders its rows.  Borders are compared as doubles, which keeps the order of
+    longs and only puts neighbours together; first rows are found by exact ids.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(2**53))).cast("double"))
+    spark = rows.sparkSession
     n = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
-    found = keyed.stat.approxQuantile("_key", [i / n for i in range(1, n)], BORDER_ERROR)
-    inner = sorted(set(found))
+    ids = rows.select("doc_id")
+    cuts = ids.where(F.col("doc_id").isNotNull()).repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p"))
+    # One row for each range: at most n rows on the driver, whatever the input.
+    told = cuts.agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).collect()
+    total = sum(r["rows"] for r in told)
+    most = max(1, total // n) * 4
+    # Ids with so many rows are n / 4 at most, and the null one.
+    hot = {r["doc_id"]: r["count"] for r in ids.groupBy("doc_id").count().where(F.col("count") > most).collect()}
+    inner = sorted({float(r["low"]) for r in told})[1:]
     splits = [float("-inf"), *inner, float("inf")] if inner else [float("-inf"), 0.0, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_cut")
-    bucketed = cut.transform(keyed).withColumn("_bucket", F.col("_cut").cast("int")).drop("_cut")
-    # One row for each bucket: at most n rows on the driver, whatever the input.
-    heads = sorted(
-        (r["_bucket"], r["first"]) for r in bucketed.groupBy("_bucket").agg(F.min("_key").alias("first")).collect()
-    )
+    keyed = rows.withColumn("_h", F.xxhash64("text")).withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_cut").transform(keyed)
+    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_cut").cast("int"))
+    place, own, piece = F.lit(0), F.lit(False), F.lit(0)
+    for one in sorted(k for k in hot if k is not None):
+        # Rows of a cut fall before, into or behind its hot ids.
+        place = place + F.when(F.col("doc_id") >= one, 1).otherwise(0) + F.when(F.col("doc_id") > one, 1).otherwise(0)
+    for one, rows_of in hot.items():
+        here = F.col("doc_id").isNull() if one is None else F.col("doc_id") == one
+        width = max(1, rows_of // most)
+        own = own | F.coalesce(here, F.lit(False))
+        piece = F.when(here, F.floor((F.shiftrightunsigned(F.col("_h"), 33).bitwiseXOR(F.lit(1 << 30)) * F.lit(width)) / (1 << 31))).otherwise(piece)
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
+    out = cut.withColumn("_bucket", F.struct(part.alias("cut"), place.cast("long").alias("place"), piece.cast("long").alias("piece"))).withColumn("_own", own)
+    firsts = out.groupBy("_bucket").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("_own"), F.col("_h"))).alias("h")).collect()
+    heads = sorted((tuple(r["_bucket"]), r["id"], r["h"]) for r in firsts)
+    slim = out.select("doc_id", "text", "_h", "_bucket")
     if not heads:
-        return rows.withColumn("next_text", F.col("text"))
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    turn = spark.createDataFrame([(first, before[b]) for b, first in heads], "_first double, _to int")
-    guests = (
-        bucketed.join(F.broadcast(turn), F.col("_key") == F.col("_first"))
-        .groupBy("_to")
-        .agg(F.min("text").alias("text"))
-        .select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("double").alias("_key"), F.col("_to").alias("_bucket"))
-        .withColumn("_guest", F.lit(1))
+        return slim, None
+    turn = spark.createDataFrame(
+        [(b, i, h, heads[k - 1][0]) for k, (b, i, h) in enumerate(heads)],
+        "_at struct<cut int, place long, piece long>, _id long, _least long, _to struct<cut int, place long, piece long>",
     )
-    both = bucketed.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "text")
-    out = both.withColumn("next_text", F.lead("text").over(order))
-    return out.where(F.col("_guest") == 0).select("doc_id", "text", "next_text")
+    same = (F.col("_bucket") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")) & ((F.col("_h") == F.col("_least")) | F.col("_least").isNull())
+    first = F.min_by("text", F.struct("_h", "text"))
+    return slim, slim.join(F.broadcast(turn), same).groupBy("_to").agg(first.alias("text"))
+
+
+def with_next_text(docs: DataFrame, marks=()) -> DataFrame:
+    """(doc_id, text, next_text) with the neighbour in ascending doc_id, cyclic.
+
+    Every bucket carries its texts once and gets a copy of the first row of the bucket
+    that follows, so the window never spans the whole table.  ``marks`` are functions
+    that add columns to a (text) row; each comes with a ``next_`` twin.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    slim, guests = _bucketed(rows)
+    held = slim.select("doc_id", "text", "_h", "_bucket", F.lit(0).alias("_guest"))
+    if guests is not None:
+        none = F.lit(None).cast("long")
+        held = held.unionByName(guests.select(none.alias("doc_id"), "text", none.alias("_h"), F.col("_to").alias("_bucket"), F.lit(1).alias("_guest")))
+    for mark in marks:
+        held = mark(held)
+    told = [c for c in held.columns if c not in ("doc_id", "_h", "_bucket", "_guest")]
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "_h", "text")
+    out = held.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in told])
+    return out.where(F.col("_guest") == 0).select("doc_id", *told, *[f"next_{c}" for c in told])
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Digest and SHA-256 of each canonical text, which is made once."""
+    canon = rows.select("*", canonical(F.col("text")).alias("_canon"))
+    return canon.select(*rows.columns, digest(F.col("_canon")).alias("own"), F.unhex(F.sha2("_canon", 256)).alias("own_sha"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The digest report: fingerprints of each text, of its edited text, and their likeness.
 
-    An exact digest is either equal or not, so likeness is 1.0 or 0.0; it is
-    decided on canonical bytes.
+    An exact digest is either equal or not, so likeness is 1.0 or 0.0.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    paired = with_next_text(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = paired.withColumn(
-        "_edited",
-        F.concat(
-            F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
-            F.substring(F.col("next_text"), F.lit(1), half),
-        ),
+    paired = with_next_text(docs, (_marked,)).withColumn("n_chars", F.char_length("text").cast("long"))
+    text = F.concat(
+        F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")),
+        F.substring(F.col("next_text"), F.lit(1), half),
     )
-    own, new, nxt = (canonical(F.col(c)) for c in ("text", "_edited", "next_text"))
+    edited = paired.select("doc_id", "n_chars", "own", "own_sha", "next_own", "next_own_sha", text.alias("_edited"))
+    edited = edited.select("*", canonical(F.col("_edited")).alias("_canon"))
     slim = edited.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("_edited", 256).alias("edited_sha256"),
-        digest(own).alias("_own"),
-        digest(new).alias("_new"),
-        F.sha2(own, 256).alias("_own_sha"),
-        F.sha2(new, 256).alias("_new_sha"),
-        (own == new).cast("double").alias("near_edited"),
-        (own == nxt).cast("double").alias("near_next"),
+        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "own", "own_sha",
+        digest(F.col("_canon")).alias("new"), F.unhex(F.sha2("_canon", 256)).alias("new_sha"),
+        ((F.col("own") == F.col("next_own")) & (F.col("own_sha") == F.col("next_own_sha"))).cast("double").alias("near_next"),
+    )
+    slim = materialize(slim, "digests")
+    # By SHA-256 over all texts, and by the bytes of the documents whose digest is not alone.
+    every = slim.select(F.col("own").alias("digest"), F.col("own_sha").alias("canon")).unionByName(
+        slim.select(F.col("new").alias("digest"), F.col("new_sha").alias("canon"))
+    )
+    several = slim.groupBy(F.col("own").alias("digest")).count().where(F.col("count") > 1).select("digest")
+    named = materialize(slim.join(several, F.col("own") == F.col("digest"), "left_semi").select("doc_id").distinct(), "several")
+    few = F.broadcast(named) if named.count() <= MOST_BROADCAST_IDS else named
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(
+        few.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi"
     )
-    canon = docs.select(canonical(F.col("text")).alias("canon"))
-    bad = _bad_table(canon.select(digest(F.col("canon")).alias("digest"), "canon"))
-    told = _resolve(slim, bad, {"_own": ("fingerprint", "_own_sha"), "_new": ("edited_fingerprint", "_new_sha")})
+    canon = again.select(canonical(F.col("text")).alias("canon"))
+    found = collided_digests(every).unionByName(collided_digests(canon.select(digest(F.col("canon")).alias("digest"), "canon")))
+    bad = materialize(found.distinct(), "collided")
+    near = ((F.col("own") == F.col("new")) & (F.col("own_sha") == F.col("new_sha"))).cast("double")
+    told = _resolve(slim.withColumn("near_edited", near), (bad, bad.count()), {"own": ("fingerprint", "own_sha"), "new": ("edited_fingerprint", "new_sha")})
     return told.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
