@@ -29,27 +29,72 @@ class Phrases:
     trigger: np.ndarray
     key: np.ndarray
     content: np.ndarray
+    again: np.ndarray
+
+
+_P = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: Bases of the two independent hash families.
+_BASES = (0x0A3C5E9F17B2D468, 0x13D7F0A96C8E2B51)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Product modulo 2**61 - 1 of numbers below it."""
+    a1, a0 = a >> np.uint64(31), a & _LOW31
+    b1, b0 = b >> np.uint64(31), b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * (a1 * b1) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+def _power(family: int, down: bool, n: int) -> np.ndarray:
+    """Powers of a family's base, or of its inverse."""
+    held = _powers.get((family, down))
+    if held is None or len(held) < n:
+        base = pow(_BASES[family], -1 if down else 1, int(_P))
+        held = np.ones(1, dtype=np.uint64)
+        while len(held) < max(n, 1 << 12):
+            held = np.concatenate([held, times(held, np.uint64(pow(base, len(held), int(_P))))])
+        _powers[family, down] = held
+    return held[:n]
 
 
 class Rolling:
-    """Prefix-sum hashes of a chunk: any substring in constant time."""
+    """Prefix-sum hashes of a chunk: any substring in constant time.
+
+    Polynomials modulo the prime 2**61 - 1, where no structure of a text cancels as it
+    does modulo a power of two.  Families differ in base and byte values.
+    """
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
         n = len(data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(kernels.BYTE_VALUES[data] * kernels._power("up", kernels._BASE, n), out=sums[1:])
-        self.sums = sums
-        self.down = kernels._power("down", kernels._INVERSE, n + 1)
+        values = kernels.mix(kernels.BYTE_VALUES + np.uint64(family)) & np.uint64((1 << 60) - 1)
+        terms = times(values[data], _power(family, False, n)) if n else np.zeros(0, np.uint64)
+        # In two halves, so that plain sums do not overflow.
+        self.low, self.high = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(terms & np.uint64((1 << 32) - 1), out=self.low[1:])
+        np.cumsum(terms >> np.uint64(32), out=self.high[1:])
+        self.down = _power(family, True, n + 1)
+
+    def _named(self, low: np.ndarray, high: np.ndarray, down: np.ndarray) -> np.ndarray:
+        whole = _reduced(times(_reduced(high), np.uint64(1 << 32)) + _reduced(low))
+        return kernels.mix(times(whole, down))
 
     def of(self, starts: np.ndarray, size) -> np.ndarray:
-        return kernels.mix((self.sums[starts + size] - self.sums[starts]) * self.down[starts])
+        ends = starts + size
+        return self._named(self.low[ends] - self.low[starts], self.high[ends] - self.high[starts], self.down[starts])
 
     def all(self, size: int) -> np.ndarray:
         """The hash at every position that has ``size`` bytes after it."""
-        n = len(self.sums) - size
+        n = len(self.low) - size
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        return kernels.mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+        return self._named(self.low[size:] - self.low[:n], self.high[size:] - self.high[:n], self.down[:n])
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,8 +111,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int) -> Phrases:
-    """Parse every document of a chunk; windows never cross documents."""
+def phrases(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int, second: Rolling | None = None) -> Phrases:
+    """Parse every document of a chunk; windows never cross documents.
+
+    ``content`` and ``again`` name a phrase's bytes by ``rolling`` and ``second``.
+    """
+    second = second or Rolling(data, 1)
     span = length - GRAM + 1
     grams = rolling.all(GRAM)
     ranked = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
@@ -75,7 +124,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int
     n = len(least)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return Phrases(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Phrases(none, none, none, none, *[none.astype(np.uint64)] * 3)
     trigger = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # A window that runs over the end of its document is none.
     inside = np.ones(n, dtype=bool)
@@ -93,7 +142,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int
     at = trigger[low]
     doc = np.searchsorted(offsets, low, side="right") - 1
     content = rolling.of(low, high - low + length) + (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return Phrases(doc, low, high, at, grams[at], kernels.mix(content))
+    return Phrases(doc, low, high, at, grams[at], kernels.mix(content), second.of(low, high - low + length))
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:

@@ -15,7 +15,7 @@ Strings are judged on the input.
 3. *Order.*  The windows in question are ranked by the dictionary's suffix array
    cut off at ``LENGTH``: equal ranks are equal strings.  The first of each class
    stays, the rest is repeated.  Classes of different parts of the corpus meet
-   under a hash of the window and its trigger.
+   under two independent 61-bit hashes of the window.
 4. *Cut.*  Documents meet their repeated windows and lose the covered bytes.
 
 Within a task, occurrences that the task itself shows to be repeated are settled
@@ -52,9 +52,9 @@ RANGES = 4
 _WIDTH = -(-(LENGTH - parse.GRAM + 1) // RANGES)
 
 _PHRASE = np.dtype(
-    [("key", "u8"), ("content", "u8"), ("doc", "i8"), ("low", "u4"), ("size", "u1"), ("off", "u1"), ("sub", "u4"), ("mask", "u1")]
+    [("key", "u8"), ("content", "u8"), ("again", "u8"), ("doc", "i8"), ("low", "u4"), ("size", "u1"), ("off", "u1"), ("sub", "u4"), ("mask", "u1")]
 )
-_WINDOW = np.dtype([("hash", "u8"), ("key", "u4"), ("doc", "i8"), ("start", "u4")])
+_WINDOW = np.dtype([("hash", "u8"), ("again", "u8"), ("doc", "i8"), ("start", "u4")])
 REPEATED = 0x80
 
 
@@ -113,10 +113,10 @@ def _shared_ranges(rows: np.ndarray) -> np.ndarray:
 
 def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first occurrence of each phrase, by key; their range masks; the repeated rest)."""
-    order = np.lexsort((rows["low"], rows["doc"], rows["content"], rows["key"]))
+    order = np.lexsort((rows["low"], rows["doc"], rows["again"], rows["content"], rows["key"]))
     rows = rows[order]
     first = np.ones(len(rows), dtype=bool)
-    first[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["content"][1:] != rows["content"][:-1])
+    first[1:] = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("key", "content", "again")])
     reps = rows[first]
     # What other rows of the phrase knew holds for the first one too.
     known = np.bitwise_or.reduceat(rows["mask"], np.flatnonzero(first)) if len(rows) else rows["mask"]
@@ -184,7 +184,7 @@ def _parse_documents(groups: int):
                 rolling = parse.Rolling(data)
                 p = parse.phrases(data, offsets, rolling, LENGTH)
                 out = np.zeros(len(p.low), dtype=_PHRASE)
-                out["key"], out["content"] = p.key, p.content
+                out["key"], out["content"], out["again"] = p.key, p.content, p.again
                 out["doc"] = rows.column("rid").to_numpy(zero_copy_only=False)[p.doc]
                 out["low"] = p.low - offsets[p.doc]
                 out["size"], out["off"] = p.high - p.low + 1, p.trigger - p.low
@@ -269,15 +269,15 @@ def _order_windows(groups: int):
                         done.append(_result(rid, own, gone))
                         continue
                     if rolling is None:
-                        rolling = parse.Rolling(data)
+                        rolling, second = parse.Rolling(data), parse.Rolling(data, 1)
                     low, size, off, status = (x[~whole] for x in (low, size, off, status))
                     start = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     trigger = np.repeat(low + off, size)
                     keep = (np.repeat(status, size) >> ((trigger - start) // _WIDTH)) & 1 > 0
-                    start, trigger = start[keep], trigger[keep]
+                    start = start[keep]
                     w = np.zeros(len(start), dtype=_WINDOW)
                     base = int(offsets[d])
-                    w["hash"], w["key"] = rolling.of(start + base, LENGTH), rolling.of(trigger + base, parse.GRAM) >> np.uint64(32)
+                    w["hash"], w["again"] = rolling.of(start + base, LENGTH), second.of(start + base, LENGTH)
                     w["doc"], w["start"] = rid, start
                     asked.append(w)
                     books.append(_dictionary(own, start))
@@ -344,10 +344,10 @@ def _local_repeats(windows: np.ndarray, books: list[tuple[np.ndarray, np.ndarray
 def _meet_windows(table: pa.Table) -> pa.Table:
     """Reducer: windows of one hash bucket; all but the first of a class are repeated."""
     rows = np.concatenate([_unpack(x, _WINDOW) for x in table.column("payload").to_pylist()])
-    order = np.lexsort((rows["start"], rows["doc"], rows["key"], rows["hash"]))
+    order = np.lexsort((rows["start"], rows["doc"], rows["again"], rows["hash"]))
     rows = rows[order]
     again = np.zeros(len(rows), dtype=bool)
-    again[1:] = (rows["hash"][1:] == rows["hash"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
+    again[1:] = (rows["hash"][1:] == rows["hash"][:-1]) & (rows["again"][1:] == rows["again"][:-1])
     return pa.table({"rid": pa.array(rows["doc"][again]), "start": pa.array(rows["start"][again].astype(np.int64))})
 
 
