@@ -97,9 +97,9 @@ LONG_LIST = 24
 #: Small sides of joins are broadcast up to this many rows (17 bytes each), else joined by shuffle.
 MOST_BROADCAST_IDS = 300_000
 #: Text bytes of either side that are compared at once.
-JUDGED_BYTES = 1 << 19
+JUDGED_BYTES = 1 << 18
 #: Keys that a task gathers before it sends them on.
-GATHER = 1_000_000
+GATHER = 250_000
 #: Members of one key in a task from which on it is sent once.
 LOCAL_LIST = 8
 #: Text bytes whose keys meet in one bucket, on average, and the least number of buckets.
@@ -330,6 +330,7 @@ def _meet(buckets: int):
             out.append(rows[(size > 1) & (rows["sent"] == 0)])
         out += [_unpack(x[4:], int.from_bytes(x[:4], "little"), buckets) for x in table.column("known").to_pylist() if x is not None]
         rows = np.concatenate(out)
+        kernels.give_back()
         return pa.table({"g": rows["key"].view(np.int64) if len(rows) else pa.array([], pa.int64()), "doc": rows["doc"], "scope": rows["scope"]})
 
     return run
@@ -377,11 +378,14 @@ def difference_members(told: DataFrame, buckets: int) -> DataFrame:
     """Members of the lists of differences; ``scope`` is the document that they differ from."""
 
     def keys_of(batch):
-        apart = batch.column(batch.schema.get_field_index("differences"))
-        size = np.asarray(apart.value_lengths().fill_null(0), dtype=np.int64)
-        flat = apart.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        a, b = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), size) for c in ("a", "b"))
-        yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a
+        # A few rows at a time: each may have thousands of differences.
+        for at in range(0, batch.num_rows, 50):
+            rows = batch.slice(at, 50)
+            apart = rows.column(rows.schema.get_field_index("differences"))
+            size = np.asarray(apart.value_lengths().fill_null(0), dtype=np.int64)
+            flat = apart.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            a, b = (np.repeat(rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False), size) for c in ("a", "b"))
+            yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a
 
     return shared_keys(told.select("a", "b", "differences"), keys_of, buckets, "differences")
 
