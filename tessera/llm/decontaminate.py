@@ -15,6 +15,8 @@ items count once for each ``item_id``; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,11 +124,21 @@ def _covered(hits: str) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    """(row, doc_id, text, key): the caller's columns in one struct, so that none clashes."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
+@dataclass(frozen=True)
+class Found:
+    """hits (doc_id, key, hits), and the index and lists that they came from."""
+
+    hits: DataFrame
+    index: DataFrame
+    lists: DataFrame
 
 
-def window_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, key, hits): the true occurrences in each document that has any.
+def window_hits(docs: DataFrame, found: DataFrame) -> Found:
+    """The true occurrences in each document that has any.
 
     ``docs`` has (doc_id, text, key), ``found`` the windows; hits are structs
     (start, size, win) in order.
@@ -143,8 +155,9 @@ def window_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_lists = lists.count()
     index = build_index(docs, lists.select("term").distinct(), min(n_terms, n_lists))
     starts = materialize(phrase_starts(index, lists, n_lists), "starts")
+    # A window's name is its words with blanks between, and no word holds a blank.
     named = starts.join(sized(wins, n_lists), "win").groupBy("key").agg(
-        F.collect_list(F.struct("start", F.size("terms").alias("size"), "win", "terms")).alias("_cand")
+        F.collect_list(F.struct("start", F.size("terms").alias("size"), "win")).alias("_cand")
     )
     named = materialize(named, "candidates")
     # Words are compared here: each candidate against its own document.
@@ -152,20 +165,35 @@ def window_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
     near = docs.join(sized(named.select("key"), named.count()), "key", "left_semi")
     # Words are made below the join, so once a document and not once a candidate.
     own = near.select("doc_id", "key", words(F.col("text")).alias("_words")).join(named, "key")
-    true = F.filter("_cand", lambda c: F.slice(F.col("_words"), c["start"] + 1, c["size"]) == c["terms"])
-    kept = F.transform(true, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), c["win"].alias("win")))
-    hits = own.select("doc_id", "key", F.sort_array(kept).alias("hits")).where(F.size("hits") > 0)
-    return materialize(hits.dropDuplicates(["doc_id", "key"]), "hits")
+    true = F.filter("_cand", lambda c: F.array_join(F.slice(F.col("_words"), c["start"] + 1, c["size"]), " ") == c["win"])
+    hits = own.select("doc_id", "key", F.sort_array(true).alias("hits")).where(F.size("hits") > 0)
+    return Found(materialize(hits.dropDuplicates(["doc_id", "key"]), "hits"), index, lists)
+
+
+def near_terms(found: Found, width: int = WINDOW) -> DataFrame:
+    """(key, n_near): how many windows' pairs of rarest terms stand within a window's width of each other."""
+    term = lambda k: found.lists.where(F.col("role") == k).select("win", F.col("term").alias(f"t{k}"))
+    both = term(1).join(term(2), "win").where("t1 <> t2").select(F.least("t1", "t2").alias("term_a"), F.greatest("t1", "t2").alias("term_b")).distinct()
+    pairs = materialize(both.withColumn("pair", F.concat_ws(" ", "term_a", "term_b")), "near")
+    met = proximity_matches(found.index, sized(pairs, pairs.count()), width - 1)
+    return materialize(met.select("pair", "key").distinct().groupBy("key").agg(F.count("*").alias("n_near")), "near")
+
+
+#: What :func:`contamination` adds, in place of columns of these names.
+TOLD = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and n_near.
 
-    A document word is hit when it lies in any occurrence of any window.
+    A document word is hit when it lies in any occurrence of any window.  ``n_near`` counts
+    proximity matches: pairs of the two rarest terms of a window that stand within a
+    window's width of each other, in either order.
     """
     keyed = _keyed(docs)
     found = materialize(windows(benchmark, width), "windows")
-    hits = window_hits(keyed.select("doc_id", "text", "key"), found)
+    told = window_hits(keyed.select("doc_id", "text", "key"), found)
+    hits, near = told.hits, near_terms(told, width)
     items = found.groupBy("win").agg(F.collect_set("item_id").alias("items"))
     per_doc = (
         hits.select("doc_id", "key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["win"]))).alias("win"))
@@ -184,33 +212,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     told = materialize(told, "told")
     all_docs = keyed.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
     out = all_docs.alias("d").join(sized(told, told.count()).alias("h"), same("d"), "left")
+    out = out.join(sized(near, near.count()).alias("n"), F.col("d.key") == F.col("n.key"), "left")
     return out.select(
-        *[F.col(f"d.{c}").alias(c) for c in docs.columns],
+        *[F.col("d.row")[c].alias(c) for c in docs.columns if c not in TOLD],
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.col("h.key").isNotNull().alias("contaminated"),
+        F.coalesce("n.n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 
 def contaminated_keys(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, key) of the documents with any true occurrence."""
     found = materialize(windows(benchmark, width), "windows")
-    return window_hits(_keyed(docs.select("doc_id", "text")), found).select("doc_id", "key")
+    return window_hits(_keyed(docs.select("doc_id", "text")), found).hits.select("doc_id", "key")
 
 
 def without(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` but for the rows that ``hits`` (doc_id, key) names."""
-    bad = sized(hits.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), hits.count())
-    same = (F.xxhash64("doc_id", "text") == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-    return docs.join(bad, same, "left_anti")
+    bad = sized(hits.select("doc_id", "key"), hits.count()).alias("bad")
+    same = (F.col("d.key") == F.col("bad.key")) & F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id"))
+    kept = _keyed(docs).alias("d").join(bad, same, "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest report: one row for each document."""
     told = contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 ORACLE = """
@@ -233,9 +264,27 @@ n_hit AS (
     SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+tc AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+wt AS (
+  SELECT win, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS o, unnest(t) AS term
+  FROM (SELECT DISTINCT win, string_split(win, ' ') AS t FROM bw)),
+live AS (SELECT win FROM wt LEFT JOIN tc USING (term) GROUP BY win HAVING bool_and(n IS NOT NULL)),
+rare AS (
+  SELECT win, term, row_number() OVER (PARTITION BY win ORDER BY n, o, term) AS k
+  FROM wt JOIN tc USING (term) SEMI JOIN live USING (win) QUALIFY k <= 2),
+near_pairs AS (
+  SELECT DISTINCT least(a.term, b.term) AS ta, greatest(a.term, b.term) AS tb
+  FROM rare a JOIN rare b ON a.win = b.win AND a.k = 1 AND b.k = 2 WHERE a.term <> b.term),
+places AS (
+  SELECT doc_id, p, term FROM (SELECT doc_id, CAST(generate_subscripts(w, 1) AS INTEGER) AS p, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM rare)),
+near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT DISTINCT x.doc_id, ta, tb FROM near_pairs JOIN places x ON x.term = ta
+    JOIN places y ON y.doc_id = x.doc_id AND y.term = tb AND abs(x.p - y.p) <= 9) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN found USING (doc_id)
+  coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """

@@ -74,3 +74,27 @@ def contamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str
         told = ",".join(sorted(map(str, found)))
         out[name] = (len(w), len(hit), len(found), hashlib.sha256(told.encode()).hexdigest(), bool(hit))
     return out
+
+
+def near_terms(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = 10) -> dict:
+    """doc_id -> how many pairs of the two rarest terms of a window stand within ``width`` words."""
+    counts = {}
+    for _, text in docs:
+        for w in words(text):
+            counts[w] = counts.get(w, 0) + 1
+    pairs = set()
+    for _, text in items:
+        w = words(text)
+        for i in range(max(0, len(w) - width) + 1) if w else ():
+            part = w[i : i + width]
+            if all(t in counts for t in part):
+                best = sorted((counts[t], k, t) for k, t in enumerate(part))[:2]
+                if len(best) == 2 and best[0][2] != best[1][2]:
+                    pairs.add(tuple(sorted((best[0][2], best[1][2]))))
+    out = {}
+    for name, text in docs:
+        at = {}
+        for k, t in enumerate(words(text)):
+            at.setdefault(t, []).append(k)
+        out[name] = sum(any(abs(p - q) < width for p in at.get(a, ()) for q in at.get(b, ())) for a, b in pairs)
+    return out

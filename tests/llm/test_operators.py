@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -73,6 +75,21 @@ def test_phrases_hold_every_window_once():
     assert ((p.trigger >= p.high) & (p.trigger + parse.GRAM <= p.low + 100)).all()
 
 
+def test_rolling_hashes():
+    """Equal bytes have equal hashes anywhere; products are those of whole numbers; structured strings differ."""
+    rng = np.random.default_rng(3)
+    p = (1 << 61) - 1
+    a, b = rng.integers(0, p, 500, dtype=np.uint64), rng.integers(0, p, 500, dtype=np.uint64)
+    a[:3], b[:3] = p - 1, [p - 1, 0, 1]
+    assert parse.times(a, b).tolist() == [x * y % p for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    data = np.frombuffer(b"abcabcabc" * 50 + (thue_morse(4096) + thue_morse(4096, 1)).encode(), np.uint8)
+    for family in (0, 1):
+        r = parse.Rolling(data, family)
+        at = np.arange(0, 300, 3)
+        assert len(set(r.of(at, 40).tolist())) == 1 and r.all(40)[:300:3].tolist() == r.of(at, 40).tolist()
+        assert len(set(r.of(np.array([450, 4546]), 4096).tolist())) == 2
+
+
 def test_suffix_ranks_follow_bytes():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     order = parse.suffix_array(data).tolist()
@@ -224,7 +241,10 @@ def test_decontamination(spark):
     frame = spark.createDataFrame([(d, t, "k", 1) for d, t in docs], "doc_id long, text string, key string, n_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in decontaminate.decontamination_report(frame, bench).collect()}
-    assert got == brute.contamination(docs, items)
+    assert {d: v[:5] for d, v in got.items()} == brute.contamination(docs, items)
+    assert {d: v[5] for d, v in got.items()} == brute.near_terms(docs, items) and any(v[5] for v in got.values())
+    wide = decontaminate.contamination(frame, bench)
+    assert wide.columns == ["doc_id", "text", "key", *decontaminate.TOLD] and {r["key"] for r in wide.collect()} == {"k"}
     kept = decontaminate.without(frame, decontaminate.contaminated_keys(frame, bench))
     assert kept.columns == frame.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, v in got.items() if not v[4]}
@@ -257,12 +277,64 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(frame.limit(0)).count() == 0
 
 
+def _next_texts(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, text, next text) in document order, by the definition; ties need not be told apart."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    return [(*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)]
+
+
 def test_fingerprint_neighbours_over_many_buckets(spark):
     rng = random.Random(4)
     ids = sorted(rng.sample(range(10**9), 300))
-    frame = spark.createDataFrame([(i, f"t{i}") for i in ids], DOCS).repartition(7)
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next_text(frame).collect()}
-    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    cases = [ids, [2**60 + k for k in range(40)], [None, -(2**60), 5], [2**63 - 1, 2**63 - 2, -(2**63), -(2**63) + 1, 0, None, *range(9)], [7]]
+    for case in cases:
+        rows = [(i, f"t{i}") for i in case]
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, DOCS).repartition(7)
+        assert {tuple(r) for r in fingerprint.with_next_text(frame).collect()} == set(_next_texts(rows)), case
+
+
+def test_fingerprint_neighbours_of_hot_ids(spark):
+    """An id, or the null one, that fills many buckets: all its rows form one chain between their neighbours."""
+    rows = [(k, f"t{k}") for k in range(40)] + [(7, f"x{k}") for k in range(300)] + [(None, f"n{k}") for k in range(300)]
+    got = [tuple(r) for r in fingerprint.with_next_text(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
+    after = {t: n for _, t, n in got}
+    assert len(got) == len(rows) == len(after) and sorted(after.values()) == sorted(after)
+    name = {t: (i is not None, i or 0) for i, t in rows}
+    falls = [t for t, n in after.items() if name[t] > name[n]]
+    assert len(falls) == 1 and name[falls[0]] == (True, 39) and name[after[falls[0]]] == (False, 0)
+    at, seen = falls[0], 0
+    while seen == 0 or at != falls[0]:
+        at, seen = after[at], seen + 1
+    assert seen == len(rows)
+
+
+def test_fingerprint_rows_by_brute_force(spark):
+    docs = [(i * 3, t) for i, t in enumerate(prose(31, 60))] + [(1, None), (2, ""), (4, "ＡＢＣ ﬁ\u00a0x"), (5, "abc fi x"), (2**62, "Ab c"), (None, "AB  C")]
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(docs, DOCS)).collect()}
+    assert len(got) == len(docs)
+    chain = _next_texts([(d, t or "") for d, t in docs])
+    canon = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+    names = {}
+    for d, t, after in chain:
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = got[d]
+        assert r["near_edited"] == float(canon(t) == canon(new)) and r["near_next"] == float(canon(t) == canon(after))
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        for c, f in ((canon(t), r["fingerprint"]), (canon(new), r["edited_fingerprint"])):
+            assert names.setdefault(c, f) == f
+    assert len(set(names.values())) == len(names)
+
+
+def test_fingerprint_collisions_through_the_query(spark, monkeypatch):
+    """With digests of the text's length only, different texts still get different fingerprints."""
+    monkeypatch.setattr(fingerprint, "digest", lambda c: F.length(c).cast("string"))
+    docs = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "abcd"), (5, "abxy")]
+    r = {x["doc_id"]: x for x in fingerprint.edited_fingerprints(spark.createDataFrame(docs, DOCS)).collect()}
+    assert r[1]["fingerprint"] == r[3]["fingerprint"] != r[2]["fingerprint"]
+    assert len({r[k]["fingerprint"] for k in r} | {r[k]["edited_fingerprint"] for k in r}) == len({"aa", "bb", "abcd", "abxy", "ab", "ba", "abab", "abaa"})
+    told = fingerprint.fingerprint_documents(spark.createDataFrame([(1, "aa", 0), (2, "bb", 0), (3, "aa", 0)], "doc_id long, text string, fingerprint int"))
+    assert told.columns == ["doc_id", "text", "fingerprint"] and len({x[2] for x in told.collect()}) == 2
 
 
 def test_fingerprint_collisions_are_told_apart(spark):
@@ -273,7 +345,7 @@ def test_fingerprint_collisions_are_told_apart(spark):
 def test_sharding(spark):
     docs = odd_docs() + [(1, "same"), (1, "same"), (None, "n")]
     frame = spark.createDataFrame([(d, t, 3) for d, t in docs], "doc_id long, text string, shard int")
-    rows = sharding.shard_documents(frame.select("doc_id", "text")).collect()
+    rows = sharding.shard_documents(frame).collect()
     assert len(rows) == len(docs)
     by_shard = {}
     for r in rows:
@@ -288,6 +360,23 @@ def test_sharding(spark):
     assert sharding.shard_documents(frame.limit(0).select("doc_id", "text")).count() == 0
 
 
+CLASHES = ("row", "one", "two", "block", "rank", "run", "to", "ends", "s", "r", "start", "at", "slot", "source", "tokens", "turn", "cell", "begin",
+           "size", "copies", "extra", "blocks", "passes", "rest", "h", "b", "_one", "_run", "_turn", "_tokens", "_block", "_source")
+
+
+def test_clashing_columns_are_kept(spark):
+    """Columns that are named as any working column pass through sharding and mixing unharmed."""
+    rows = [(k, f"t {k % 7} " * (k % 5), *[k * 100 + j for j in range(len(CLASHES))]) for k in range(60)]
+    frame = spark.createDataFrame(rows, DOCS + "".join(f", {c} long" for c in CLASHES))
+    want = {r[0]: r for r in rows}
+    sharded = sharding.shard_rows(frame, 4, [F.col("doc_id"), F.col("text")])
+    assert sorted(r["slot"] for r in sharded.collect() if r["shard"] == 0) == list(range(15))
+    for r in sharded.drop("shard", "slot").collect():
+        assert tuple(r) == tuple(x for x, c in zip(want[r["doc_id"]], frame.columns, strict=True) if c != "slot")
+    mixed = mixing.mixed_copies(frame, budget=mixing.WHOLE)
+    assert mixed.columns == frame.columns and {tuple(r) for r in mixed.collect()} == set(rows)
+
+
 def test_communication_matrix():
     rng = np.random.default_rng(0)
     m = sharding.communication_matrix([10, 0, 25, 7], sharding.even_sizes(42, 5), 3)
@@ -298,33 +387,79 @@ def test_communication_matrix():
     assert abs(big - 300_000) < 5_000
 
 
+def test_communication_matrix_over_many_tasks():
+    """Parts drawn apart have the margins together, at populations of any size, and the law of a shuffle."""
+    rows = np.random.default_rng(1).integers(0, 90, 5000).tolist()
+    m = sharding.communication_matrix(rows, sharding.even_sizes(sum(rows), 40), 5, per_task=64)
+    assert (m >= 0).all() and m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == sharding.even_sizes(sum(rows), 40)
+    wide = sharding.communication_matrix([3 * 10**9] * 8, sharding.even_sizes(24 * 10**9, 6), 5, per_task=2)
+    assert (wide.sum(axis=1) == 3 * 10**9).all() and (wide.sum(axis=0) == 4 * 10**9).all() and len(set(wide.ravel().tolist())) > 30
+    cells = np.array([sharding.communication_matrix([6, 9, 5, 10], [15, 15], k, per_task=2)[1, 0] for k in range(3000)])
+    assert abs(cells.mean() - 4.5) < 0.1 and abs(cells.var() - 9 * 0.25 * 21 / 29) < 0.15
+
+
+def test_blocks_are_dealt_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCKS_PER_TASK", 16)
+    rows = np.random.default_rng(2).integers(1, 50, 128).tolist()
+    sizes = spark.createDataFrame(list(enumerate(rows)), "block int, count long")
+    got = {r["block"]: r["ends"] for r in sharding.dealt_blocks(sizes, 128, 7, sum(rows), 9).collect()}
+    want = sharding.communication_matrix(rows, sharding.even_sizes(sum(rows), 7), 9, per_task=16).cumsum(axis=1)
+    assert [got[b] for b in range(128)] == want.tolist()
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 30), "s" + str(min(3, i % 9)), i) for i in range(900)] + [(-1, None, "s0", 0), (-2, "  a\n b ", None, 0)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _tokens long").drop("_tokens")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _tokens long")
     got = mixing.mixing_report(frame).collect()
     tokens = {r[0]: len((r[1] or "").split()) for r in rows}
     assert all(r["n_tokens"] == tokens[r["doc_id"]] for r in got)
-    total, sizes = {}, {}
+    total, sizes, turns = {}, {}, {}
     for r in rows:
         sizes[r[2]] = sizes.get(r[2], 0) + tokens[r[0]]
-    names = sorted(sizes, key=lambda s: (s is not None, str(s)))
-    plan = mixing.plan_mix(names, [sizes[n] for n in names], sum(sizes.values()))
+    shares = mixing.listed_shares(list(sizes.values()))
+    plan = mixing.plan_mix(shares, shares.total)
     for r in got:
         total[r["source"]] = total.get(r["source"], 0) + r["n_tokens"]
-    for name, budget in zip(names, plan.budgets, strict=True):
+        turns.setdefault(r["doc_id"], []).append(r["copy"])
+    # Every turn of a document is there once, and documents of a source differ by one turn at most.
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in turns.values())
+    for name, own in sizes.items():
+        budget = round((own / shares.total) ** plan.alpha / plan.norm * plan.budget)
         assert budget <= total.get(name, 0) <= budget + 30
+        lengths = {len(turns.get(r[0], [])) for r in rows if r[2] == name}
+        assert max(lengths) - min(lengths) <= 1 and min(lengths) == budget // own
     every = {r["doc_id"] for r in mixing.mixed_copies(frame, budget=mixing.WHOLE).collect()}
     assert every == {r[0] for r in rows}
     assert mixing.mixing_report(frame.limit(0)).count() == 0
 
 
-def test_mixing_plan():
-    plan = mixing.plan_mix(["a", "b", "c"], [800, 150, 50], 1000, target=0.9, repeats=10)
-    assert abs(mixing.entropy(plan.weights) - 0.9 * np.log(3)) < 1e-6 and 0 < plan.alpha < 1
-    tight = mixing.plan_mix(["a", "b", "c"], [900, 99, 1], 1000, target=0.99, repeats=2)
-    assert mixing.most_repeats(tight.tokens, tight.alpha, 1000) <= 2 + 1e-6 and tight.alpha > plan.alpha
-    assert mixing.plan_mix(["a"], [10], 10).budgets == [10] and mixing.plan_mix([], [], 0).budgets == []
+def test_block_sums_run_up_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS_PER_CELL", 4)
+    rows = [(s, b, 50, b * 3 + len(s or "")) for s in ("x", "yy", None) for b in range(50)]
+    got = mixing.block_begins(spark.createDataFrame(rows, "to string, block int, blocks int, size long"), 5).collect()
+    for s in ("x", "yy", None):
+        own = sorted((r["begin"], r["size"]) for r in got if r["s"] == s)
+        assert len(own) == 50 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0
+
+
+def test_mixing_plan(spark):
+    def weights(tokens, plan):
+        w = [(t / sum(tokens)) ** plan.alpha / plan.norm for t in tokens if t]
+        assert abs(sum(w) - 1) < 1e-9
+        return w
+
+    tokens = [800, 150, 50]
+    plan = mixing.plan_mix(mixing.listed_shares(tokens), 1000, target=0.9, repeats=10)
+    assert abs(-sum(w * np.log(w) for w in weights(tokens, plan)) - 0.9 * np.log(3)) < 1e-6 and 0 < plan.alpha < 1
+    thin = [900, 99, 1, 0]
+    tight = mixing.plan_mix(mixing.listed_shares(thin), 1000, target=0.99, repeats=2)
+    assert max(w * 1000 / t for w, t in zip(weights(thin, tight), thin)) <= 2 + 1e-6 and tight.alpha > plan.alpha
+    whole = mixing.plan_mix(mixing.listed_shares(thin), mixing.WHOLE, target=0.9)
+    assert abs(whole.budget - max(t / w for t, w in zip(thin, weights(thin, whole)))) < 1e-6 * whole.budget
+    table = spark.createDataFrame([(str(t), t, 1) for t in thin], "source string, tokens long, rows long")
+    assert abs(mixing.plan_mix(mixing.table_shares(table), mixing.WHOLE, target=0.9).alpha - whole.alpha) < 1e-9
+    assert mixing.plan_mix(mixing.listed_shares([10]), 10).budget == 10 and mixing.plan_mix(mixing.listed_shares([]), 0).budget == 0
 
 
 def test_url_rules(spark):
@@ -356,6 +491,52 @@ def test_mined_url_rules(spark):
     assert all((v == "block") == (i % 5 == 0) for i, v in verdicts if i < 1000)
 
 
+def brute_rules(rows: list[tuple], size: int) -> dict:
+    """{tokens: confidence} of the rules that the limits and more general rules leave, over all token sets."""
+    bad, n = sum(b for _, b in rows), len(rows)
+    least = max(1, -(-n * urlrules.MIN_SUPPORT // 1))
+    seen, hits = {}, {}
+    for tokens, blocked in rows:
+        for k in range(1, size + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                seen[part] = seen.get(part, 0) + 1
+                hits[part] = hits.get(part, 0) + blocked
+    sure = {p: hits[p] / seen[p] for p in seen if hits[p] >= least}
+    kept = {p: c for p, c in sure.items() if c >= urlrules.MIN_CONFIDENCE and c / (bad / n) >= urlrules.MIN_LIFT}
+    return {p: c for p, c in kept.items() if not any(kept.get(p[:k] + p[k + 1 :], -1) >= c for k in range(len(p)))}
+
+
+@pytest.mark.parametrize("most_items", [30, 2])
+def test_mined_rules_by_brute_force(spark, monkeypatch, most_items):
+    """By FP-growth and by PrefixSpan alike, with tokens that always stand together."""
+    monkeypatch.setattr(urlrules, "MOST_ITEMS", most_items)
+    rng, names = random.Random(3), "abcdefgh"
+    rows = []
+    for _ in range(300):
+        tokens = {t for t in names if rng.random() < 0.35}
+        tokens |= {"x", "y", "z"} if "a" in tokens else set()
+        rows.append((sorted(tokens), ("b" in tokens and "c" in tokens) or ("a" in tokens and rng.random() < 0.8) or rng.random() < 0.05))
+    mined = urlrules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    want = brute_rules(rows, urlrules.MAX_RULE_TOKENS)
+    assert want and mined.n_rules
+    urls = [(f"u{k}", [t for t in [*names, "x", "y", "z"] if rng.random() < 0.4]) for k in range(80)]
+    got = {r["_url"]: r["confidence"] for r in urlrules.matched_urls(spark.createDataFrame(urls, "url string, tokens array<string>"), mined).collect()}
+    for url, tokens in urls:
+        fits = [c for p, c in want.items() if set(p) <= set(tokens)]
+        assert got.get(url) == (pytest.approx(max(fits)) if fits else None), (url, tokens)
+
+
+def test_deep_urls_are_mined(spark):
+    """Thirty segments that are the same everywhere, and thirty nested ones, make no explosion."""
+    rng = random.Random(5)
+    fixed, nested = "/".join(f"f{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)), [f"n{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)]
+    rows = [(k, f"https://{'spam' if k % 3 == 0 else 'good'}.site.io/{fixed}/{'/'.join(nested[: rng.randint(1, 30)])}") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(pages, labels).collect()}
+    assert got == {k: "block" if k % 3 == 0 else "allow" for k in range(300)}
+
+
 def _languages(spark):
     rng = random.Random(10)
     syllables = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["schr", "ung", "heit", "ich"], "cc": ["ção", "nho", "lha", "ei"]}

@@ -59,3 +59,13 @@ def test_near_duplicates_by_five_words_and_08(spark):
     rows = [(1, " ".join(base), "en", "s", 0), (2, " ".join(near), "en", "s", 0), (3, " ".join(far), "en", "s", 0)]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, FULL), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """Different texts of one id stay; of equal rows and linked texts one stays."""
+    a, b, c = prose(33, 3)
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, a), (4, c), (4, None), (None, c), (5, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], FULL)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (4, c), (4, None), (None, c), (5, "")], key=str)
