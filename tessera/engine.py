@@ -2,7 +2,10 @@
 
 Each ingest appends one batch folder to every table and then publishes it by one
 row in ``manifest``; readers take the batches that the manifest names, so they see
-whole batches only.  Nothing is rewritten when documents arrive.
+whole batches only.  Nothing is rewritten when documents arrive.  A writer claims the
+version after the one it has read by creating a file that must not exist yet; if
+another writer was first, it deduplicates against the new state and tries again.
+Compaction publishes one batch for all before it (``floor``).
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from tessera.plans.compile import match
 
 DOCS = "doc_id string, title string, body string, url string, timestamp string, lang string, ingest_seq long"
 RESULT = "doc_id string, title string, snippet string, score double, url string, timestamp string, lang string"
-MANIFEST = "batch string, version int, docs long, tokens long"
+MANIFEST = "batch string, version int, docs long, tokens long, floor int"
+#: Seconds that a writer waits for the batch of another that was first.
+CLAIM_WAIT_S = 60
 POSTINGS = "term string, doc_id string, tf int, positions array<int>, dl int"
 STATS = "doc_id string, doc_len int"
 
@@ -33,7 +38,7 @@ Feedback = Callable[[DataFrame, DataFrame, list[str]], list[str]]
 
 @dataclass(frozen=True)
 class Request:
-    """One search.  ``now`` fixes the time that freshness is measured from."""
+    """One search.  ``sort`` "freshness" boosts recent documents; ``now`` fixes the time that they are measured from."""
 
     query: str
     top_k: int = 10
@@ -78,10 +83,13 @@ class SearchEngine:
     # Tables.
 
     def _manifest(self) -> DataFrame:
+        """Rows of the visible batches: those that no compaction has replaced."""
         try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
         except AnalysisException:
             return self.spark.createDataFrame([], MANIFEST)
+        floor = rows.agg(F.coalesce(F.max("floor"), F.lit(0))).first()[0]  # one row a batch
+        return rows.where(F.col("version") > floor)
 
     def _table(self, name: str, schema: str) -> DataFrame:
         batches = [r["batch"] for r in self._manifest().select("batch").collect()]
@@ -101,8 +109,16 @@ class SearchEngine:
     def _version(self) -> int:
         return self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def _publish(self, docs: DataFrame, version: int) -> int:
-        """Write one batch of new documents and make it visible; returns how many there were."""
+    def _claim(self, version: int) -> bool:
+        """Whether this writer is the first to want ``version``; the file system decides."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/v{version:08d}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path)
+
+    def _publish(self, docs: DataFrame, version: int, floor: int = 0) -> int | None:
+        """Write one batch of new documents and make it visible; returns how many there were.
+
+        None when another writer has published ``version`` meanwhile.
+        """
         batch = f"v{version:08d}-{time.time_ns()}"
         docs.select(*[c.split()[0] for c in DOCS.split(", ")]).write.parquet(f"{self.path}/docs/{batch}")
         stored = self.spark.read.schema(DOCS).parquet(f"{self.path}/docs/{batch}")
@@ -112,7 +128,9 @@ class SearchEngine:
         sums = self.spark.read.schema(STATS).parquet(f"{self.path}/doc_stats/{batch}").agg(
             F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")
         ).first()
-        row = self.spark.createDataFrame([(batch, version, sums["n"], sums["t"])], MANIFEST)
+        if not self._claim(version):
+            return None
+        row = self.spark.createDataFrame([(batch, version, sums["n"], sums["t"], floor)], MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return sums["n"]
 
@@ -121,11 +139,48 @@ class SearchEngine:
     def ingest(self, batch: DataFrame) -> Ingested:
         """Add documents whose id is new; the first of a batch wins."""
         rows = batch if "ingest_seq" in batch.columns else batch.withColumn("ingest_seq", F.monotonically_increasing_id())
-        fresh = store_dedup(rows, self.docs, "ingest_seq")
-        version = self._version()
-        if fresh.isEmpty():
-            return Ingested(0, False, str(version or 1))
-        return Ingested(self._publish(fresh, version + 1), True, str(version + 1))
+        while True:
+            version = self._version()
+            fresh = store_dedup(rows, self.docs, "ingest_seq")
+            if fresh.isEmpty():
+                return Ingested(0, False, str(version or 1))
+            n = self._publish(fresh, version + 1)
+            if n is not None:
+                return Ingested(n, True, str(version + 1))
+            self._await(version + 1)
+
+    def _await(self, version: int) -> None:
+        """Wait until another writer's ``version`` can be read."""
+        for _ in range(CLAIM_WAIT_S):
+            if self._version() >= version:
+                return
+            time.sleep(1)
+        raise RuntimeError(f"version {version} is claimed but was never published")
+
+    def compact(self) -> int:
+        """One batch for all; readers see the same documents.  Returns how many there are.
+
+        Folders of replaced batches stay for readers that began before; :meth:`vacuum` drops them.
+        """
+        while True:
+            version = self._version()
+            if self._manifest().count() < 2:
+                return self._manifest().agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+            n = self._publish(self.docs, version + 1, floor=version)
+            if n is not None:
+                return n
+            self._await(version + 1)
+
+    def vacuum(self) -> int:
+        """Remove the folders of batches that no reader of the present state needs; returns how many."""
+        paths, kept, gone = self.spark._jvm.org.apache.hadoop.fs.Path, {r["batch"] for r in self._manifest().select("batch").collect()}, 0
+        for name in ("docs", "postings", "doc_stats"):
+            folder = paths(f"{self.path}/{name}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in files.listStatus(folder) if files.exists(folder) else []:
+                if status.getPath().getName() not in kept:
+                    gone += files.delete(status.getPath(), True)
+        return gone
 
     def rebuild(self, path: str) -> SearchEngine:
         """A fresh engine over all documents at ``path``; versions begin at 1 again."""
@@ -211,15 +266,17 @@ def scored_hits(index: ix.Index, docs: DataFrame, request: Request, feedback: Fe
 
 def result_page(scored: DataFrame, docs: DataFrame, request: Request, analyzer: str = "standard") -> DataFrame:
     """The k results of a request.  Texts are joined to the k best rows only."""
-    filtered = request.lang or request.time_from or request.time_to or request.now
+    fresh = request.sort == "freshness"
+    filtered = request.lang or request.time_from or request.time_to or fresh
     rows = scored
     if filtered:
         meta = docs.select("doc_id", "lang", "timestamp")
         rows = rows.join(meta, "doc_id").where(
             rank.language_filter(request.lang) & rank.time_filter(F.col("timestamp"), request.time_from, request.time_to)
         )
-        if request.now:
-            rows = rows.withColumn("score", rank.fresh_score(F.col("score"), F.col("timestamp"), request.now))
+        if fresh:
+            now = request.now or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+            rows = rows.withColumn("score", rank.fresh_score(F.col("score"), F.col("timestamp"), now))
         rows = rows.select("doc_id", "score")
     best = rank.top(rows.where(rank.after_cursor(request.last_score, request.last_id)), request.top_k)
     terms = lang.scoring_terms(request.query, lambda text: analyze_query_text(text, analyzer))

@@ -18,6 +18,7 @@ BAD_ROUTES = (
     "/login", "/signin", "/sign-in", "/signup", "/register", "/account", "/settings", "/profile", "/cart", "/checkout",
     "/search", "/results", "/static/", "/assets/", "/media/", "/api/", "/graphql", "/admin/",
 )
+# Last parts, and path beginnings of sites, that decide what an article is.
 BAD_SLUGS = ("home", "index", "search", "login", "signup", "admin")
 NASA_PATHS = (
     "/news/", "/press-release/", "/feature/", "/history/", "/missions/", "/earth/", "/solar-system/", "/universe/",
@@ -32,6 +33,12 @@ WORLD_BANK_PATHS = (
 )
 TECHCRUNCH_DROPS = ("/events/", "/about/", "/advertising/", "/contact/")
 
+# Schemes whose URLs name an authority, as the standard URL library lists them.
+NETLOC_SCHEMES = (
+    "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero", "rtsp",
+    "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
+)
+
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -83,13 +90,20 @@ def sorted_query(text: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """Normal form for hashing; empty for null and blank."""
+    """Normal form for hashing; empty for null and blank.
+
+    Without an authority, two slashes stand only before a path that begins with a slash,
+    in schemes that have authorities, or with two.
+    """
     s = F.when(scheme(url) == "", "http").otherwise(scheme(url))
     h = F.when((s == "http") & host(url).endswith(":80"), F.regexp_replace(host(url), ":80$", ""))
     h = h.when((s == "https") & host(url).endswith(":443"), F.regexp_replace(host(url), ":443$", "")).otherwise(host(url))
     p = F.when(path(url).isin("", "/"), "/").otherwise(F.regexp_replace(path(url), "/$", ""))
     q = sorted_query(query(url))
-    whole = F.concat(s, F.lit("://"), h, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    located = F.when(h != "", F.concat(F.lit("//"), h)).when(
+        p.startswith("//") | (s.isin(*NETLOC_SCHEMES) & p.startswith("/")), "//"
+    ).otherwise("")
+    whole = F.concat(s, F.lit(":"), located, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
     return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "").otherwise(whole)
 
 

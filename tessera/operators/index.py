@@ -32,6 +32,11 @@ class Index:
     analyzer: str = "standard"
     totals: DataFrame | None = None
 
+    @property
+    def positional(self) -> bool:
+        """Whether postings hold positions."""
+        return "positions" in self.postings.columns
+
     @property
     def stats(self) -> DataFrame:
         """One row: n_docs (at least 1) and avgdl."""
@@ -57,9 +62,7 @@ def analyzed(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
 
 def token_positions(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
     """(doc_id, pos, term, dl): one row for each kept token; positions ignore what was dropped."""
-    # An inner generator would make the optimizer analyze every text a second time, to drop empty arrays first.
-    each = analyzed(docs, analyzer).select("doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
-    each = each.where(F.col("term").isNotNull())
+    each = _exploded(docs, "standard" if analyzer == "english" else analyzer)
     if analyzer != "english":
         return each
     # Each distinct word is stemmed once, whatever its number of occurrences.
@@ -67,22 +70,36 @@ def token_positions(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
     return each.join(stems, F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
 
 
+def _exploded(docs: DataFrame, analyzer: str) -> DataFrame:
+    # An inner generator would make the optimizer analyze every text a second time, to drop empty arrays first.
+    each = analyzed(docs, analyzer).select("doc_id", F.size("tokens").alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
+    return each.where(F.col("term").isNotNull())
+
+
 def build_index(docs: DataFrame, analyzer: str = "standard") -> Index:
     """Index documents whose ids are unique (see :func:`first_of_each`)."""
     return Index(build_postings(docs, analyzer), build_doc_stats(docs, analyzer), analyzer)
 
 
 def build_postings(docs: DataFrame, analyzer: str = "standard") -> DataFrame:
-    return (
-        token_positions(docs, analyzer)
-        .groupBy("doc_id", "term")
-        .agg(
-            F.count("*").cast("int").alias("tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-            F.max("dl").alias("dl"),
-        )
-        .select("term", "doc_id", "tf", "positions", "dl")
+    """One row for each (term, document).
+
+    Documents are dealt by doc_id before they are taken apart, so tokens are grouped where
+    they arise: texts cross the network once and tokens never do.
+    """
+    base = "standard" if analyzer == "english" else analyzer
+    each = _exploded(docs.select("doc_id", "title", "body").repartition("doc_id"), base)
+    grouped = each.groupBy("doc_id", "term").agg(
+        F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl")
     )
+    if analyzer == "english":
+        # Each distinct word is stemmed once; words of one stem join their lists.
+        stems = stem_vocabulary(grouped.select(F.col("term").alias("word")).distinct())
+        named = grouped.join(stems, F.col("term") == F.col("word"))
+        grouped = named.groupBy("doc_id", F.col("stem").alias("term")).agg(
+            F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("dl").alias("dl")
+        )
+    return grouped.select("term", "doc_id", "tf", "positions", "dl")
 
 
 def build_doc_stats(docs: DataFrame, analyzer: str = "standard") -> DataFrame:

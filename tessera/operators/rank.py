@@ -13,6 +13,7 @@ from tessera.operators.index import Index, analyzed
 from tessera.plans.compile import predicate
 from tessera.plans.lang import Node, leaf_terms
 
+# The constants of the ranking formula.
 K1, B = 1.2, 0.75
 # Words that feedback never adds (18).
 FEEDBACK_STOP = (
@@ -53,11 +54,12 @@ def ranked_matches(index: Index, node: Node, terms: list[str]) -> DataFrame:
     words = list(dict.fromkeys(leaf_terms(node) + terms))
     rows = index.postings.where(F.col("term").isin(*words) if words else F.lit(False))
     scored = rows.join(F.broadcast(idf(index, words)), "term")
+    positions = F.col("positions") if index.positional else F.lit(None).cast("array<int>")
     gathered = scored.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists"),
+        F.map_from_entries(F.collect_list(F.struct("term", positions.alias("positions")))).alias("lists"),
         F.sum(F.when(F.col("term").isin(*terms), _weight()).otherwise(0.0) if terms else F.lit(0.0)).alias("score"),
     )
-    return gathered.where(predicate(node, F.col("lists")) & (F.col("score") > 0)).select("doc_id", "score")
+    return gathered.where(predicate(node, F.col("lists"), index.positional) & (F.col("score") > 0)).select("doc_id", "score")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

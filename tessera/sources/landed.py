@@ -78,16 +78,24 @@ def sitemap_entries(text: Column) -> Column:
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kind, loc, lastmod) of landed sitemap files, packed or not."""
-    files = spark.read.format("binaryFile").load(path)
-    texts = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), _xml_text("content").alias("text"))
+    """(file, kind, loc, lastmod) of landed sitemap files, packed or not.
+
+    ``file`` is the place below ``path``: ``name.xml``, or ``host/a/name.xml`` where files
+    were landed under host and path, so maps of one name do not clash.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = F.lit("/" + path.split("://")[-1].strip("/") + "/")
+    below = F.substring("path", F.instr("path", root) + F.length(root), F.length("path"))
+    name = F.when(F.contains("path", root), below).otherwise(F.element_at(F.split("path", "/"), -1))
+    texts = files.select(name.alias("file"), _xml_text("content").alias("text"))
     return texts.select("file", F.explode(sitemap_entries(F.coalesce("text", F.lit("")))).alias("e")).select("file", "e.*")
 
 
 def sitemap_urls(entries: DataFrame, root: str, most: int | None = None) -> DataFrame:
     """(loc, lastmod) below ``root``; each of at most six levels is one join.
 
-    ``entries`` are (file, kind, loc, lastmod); a child map is known by its file name.
+    ``entries`` are (file, kind, loc, lastmod).  A child map is known by its whole address
+    without the scheme, where files were landed under host and path, else by its file name.
     """
     spark = entries.sparkSession
     level = spark.createDataFrame([(root,)], "file string")
@@ -96,7 +104,8 @@ def sitemap_urls(entries: DataFrame, root: str, most: int | None = None) -> Data
         here = entries.join(level, "file")
         pages = here.where("kind = 'page'").select("loc", "lastmod")
         found = pages if found is None else found.unionByName(pages)
-        level = here.where("kind = 'map'").select(F.element_at(F.split("loc", "/"), -1).alias("file")).distinct()
+        names = F.array(F.regexp_replace("loc", "^[A-Za-z][A-Za-z0-9+.-]*://", ""), F.element_at(F.split("loc", "/"), -1))
+        level = here.where("kind = 'map'").select(F.explode(names).alias("file")).distinct()
     return found if most is None else found.limit(most)
 
 

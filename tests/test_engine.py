@@ -118,6 +118,63 @@ def test_stored_engine(spark, tmp_path):
         en.Request("aa", top_k=0)
 
 
+def test_freshness_follows_sort(spark, tmp_path):
+    engine = en.SearchEngine(spark, str(tmp_path / "e"), analyzer="standard")
+    stamps = ["2024-01-01T00:00:00Z", "2024-01-30T00:00:00Z"]
+    engine.ingest(spark.createDataFrame([(f"d{i}", "", "aa bb", None, s, "en", i) for i, s in enumerate(stamps)], SCHEMA))
+    scores = lambda **options: {r["doc_id"]: r["score"] for r in engine.search(en.Request("aa", **options)).results}
+    plain = scores()
+    assert plain["d0"] == plain["d1"] and scores(now="2024-02-01T00:00:00Z") == plain
+    fresh = scores(sort="freshness", now="2024-02-01T00:00:00Z")
+    assert plain["d0"] < fresh["d0"] < fresh["d1"]
+    assert all(s >= plain[d] for d, s in scores(sort="freshness").items())
+
+
+def test_writers_that_meet_lose_nothing(spark, tmp_path, monkeypatch):
+    """A writer that read the state before another one published deduplicates again."""
+    engine = en.SearchEngine(spark, str(tmp_path / "e"), analyzer="standard")
+    docs = spark.createDataFrame(model_docs(n=20), SCHEMA)
+    engine.ingest(docs.where("ingest_seq < 5"))
+    publish, rival = en.SearchEngine._publish, []
+
+    def meet(self, rows, version, floor=0):
+        if not rival:
+            rival.append(True)
+            assert en.SearchEngine(spark, self.path, "standard").ingest(docs.where("ingest_seq < 12")).ingested == 7
+        return publish(self, rows, version, floor)
+
+    monkeypatch.setattr(en.SearchEngine, "_publish", meet)
+    told = engine.ingest(docs)
+    assert (told.ingested, told.index_version) == (8, "3") and engine.health().first()["docs_count"] == 20
+    assert engine.docs.count() == engine.docs.select("doc_id").distinct().count() == 20
+
+
+def test_compaction_changes_no_result(spark, tmp_path):
+    engine = en.SearchEngine(spark, str(tmp_path / "e"), analyzer="standard")
+    docs = spark.createDataFrame(model_docs(n=30), SCHEMA)
+    for k in range(3):
+        engine.ingest(docs.where(f"ingest_seq % 3 = {k}"))
+    found = lambda: [tuple(r) for r in engine.search(en.Request("aa OR bb", top_k=50)).results]
+    before = found()
+    assert engine.compact() == 30 and engine._manifest().count() == 1 and found() == before
+    assert engine.vacuum() > 0 and found() == before and engine.compact() == 30
+    assert engine.ingest(docs) == en.Ingested(0, False, "4") and engine.health().first()["docs_count"] == 30
+
+
+def test_phrases_without_positions_ask_for_all_words(spark):
+    docs = spark.createDataFrame([("a", "", "xx yy", None, None, "en"), ("b", "", "yy zz xx", None, None, "en"), ("c", "", "xx", None, None, "en")],
+                                 "doc_id string, title string, body string, url string, timestamp string, lang string")
+    built = ix.build_index(docs)
+    bare = ix.Index(built.postings.drop("positions"), built.doc_stats)
+    for query, whole in (('"xx yy"', {"a"}), ("#1(xx,yy)", {"a"}), ('NOT "xx yy"', {"b", "c"})):
+        node = lang.simplify(lang.parse(query, analyze_query_text))
+        assert {r["doc_id"] for r in match(built, node).collect()} == whole
+        plain = {"c"} if query.startswith("NOT") else {"a", "b"}
+        assert {r["doc_id"] for r in match(bare, node).collect()} == plain
+        if not query.startswith("NOT"):
+            assert {r["doc_id"] for r in rank.ranked_matches(bare, node, ["xx", "yy"]).collect()} == plain
+
+
 def test_sql_function(spark):
     en.register_functions(spark)
     assert spark.sql("SELECT analyze_text('The cat, C 42') AS t").first()["t"] == ["cat", "42"]

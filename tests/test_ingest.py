@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import json
+from html import unescape
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pytest
@@ -25,6 +26,7 @@ def _one(spark, column, **values):
 URLS = [
     "HTTP://Example.COM:80/a/", "https://example.com:443", "https://example.com:8443/", "http://e.com/a/?b=2&a=1&a=&c#f", "",
     "  http://e.com/x//  ", "http://e.com/?q=a b*~%41é&x", "http://e.com/?=&a=%zz", "http://e.com/?a=1+2",
+    "mailto:a@b", "example.com/x", "/a/b/", "//e.com/x/", "urn:x:y", "http:///x", "ab:/", "ab:", "?b=1&a", "ab://h/x", "http:x/y", "ab:///x//",
 ]
 
 
@@ -80,7 +82,10 @@ def test_articles(spark):
 
 def test_html(spark):
     page = "<html><title> A &amp; B </title><!-- no --><script>var x='</p>';</script><style>p{}</style><p>One <b>two</b>\n three&nbsp;&lt;4</p></html>"
-    assert _one(spark, html.html_text(F.col("h")), h=page) == "A & B One two three <4"
+    assert _one(spark, html.html_text(F.col("h")), h=page) == "A & B One two three\u00a0<4"
+    refs = "a&#8217;b &mdash; &#x41;&#150;&copy;&nosuch; & &amp;lt; &#0;&NotEqualTilde;&;"
+    assert _one(spark, html.html_text(F.col("h")), h=f"<i>{refs}</i>") == unescape(refs.replace("&nosuch;", "&amp;nosuch;"))
+    assert _one(spark, html.html_text(F.col("h")), h="<p> a  b\n c&nbsp;</p>&nbsp;<p>d<!-- x -->e") == "a  b\n c d e"
     assert _one(spark, html.html_title(F.col("h")), h=page) == "A & B"
     assert _one(spark, html.html_title(F.col("h"), F.lit("bbc"), F.lit("u")), h="<p>") == "[BBC] u"
     assert _one(spark, html.html_text(F.col("h")), h=None) == ""
@@ -247,3 +252,12 @@ def test_page_bytes_and_audit(spark, tmp_path):
     assert frame.select(ingest.page_text(F.col("content"))).first()[0] == "ok é"
     ingest.append_audit(spark.createDataFrame([("d1",)], "doc_id string"), str(tmp_path / "a"))
     assert spark.read.json(str(tmp_path / "a")).first()["doc_id"] == "d1"
+
+
+def test_sitemaps_of_one_name_do_not_clash(spark, tmp_path):
+    for place, loc in (("a.org/x/1.xml", "https://a.org/p"), ("a.org/y/1.xml", "https://a.org/q")):
+        (tmp_path / place).parent.mkdir(parents=True)
+        (tmp_path / place).write_text(f"<urlset><url><loc>{loc}</loc></url></urlset>")
+    (tmp_path / "root.xml").write_text("<sitemapindex><sitemap><loc>https://a.org/y/1.xml</loc></sitemap></sitemapindex>")
+    found = landed.sitemap_urls(landed.read_sitemap_files(spark, str(tmp_path)), "root.xml")
+    assert [r["loc"] for r in found.collect()] == ["https://a.org/q"]
