@@ -30,20 +30,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group that the n-gram Jaccard join links: the least doc_id.
 
     The rule is the general one of five words and 0.8; three words and 0.9 bind op10 only.
-    Documents without words, and rows without doc_id, link with nothing and stay.
+    Documents without words, and rows without doc_id, link with nothing and stay.  Where
+    rows share a doc_id, a row is judged by its id and text: different texts of one id
+    are different documents, and of equal rows one stays.
     """
-    found = setjoin.jaccard_components(docs, setjoin.GENERAL).where(F.col("component_id") == F.col("doc_id"))
-    kept = materialize(found.select("doc_id").distinct(), "kept")
     named = docs.where(F.col("doc_id").isNotNull())
-    # Rows of one doc_id are one document; the first text stands for it.
-    held = named.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if held.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        held = held.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_order"), *rest)).alias("_one"))
-        held = held.select("doc_id", *[F.col("_one")[c].alias(c) for c in rest]).select(*docs.columns)
+    if named.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
+        rows = named.select(F.struct("*").alias("row"), "doc_id", "text").dropDuplicates(["doc_id", "text"])
+        turn = rows.orderBy("doc_id", F.xxhash64("text"), "text").select("row", F.monotonically_increasing_id().alias("rid"))
+        rows = materialize(turn, "rows")
+        kept = _first_of_groups(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")))
+        held = rows.join(kept.withColumnRenamed("doc_id", "rid"), "rid", "left_semi")
+        held = held.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    else:
+        held = named.join(_first_of_groups(named), "doc_id", "left_semi").select(*docs.columns)
     return held.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def _first_of_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the least document of each linked group."""
+    found = setjoin.jaccard_components(docs, setjoin.GENERAL)
+    return materialize(found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct(), "kept")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     hits = decontaminate.contaminated_keys(docs, table(spark, sf_dir, "benchmark"))
