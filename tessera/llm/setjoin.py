@@ -21,10 +21,13 @@ bucket gathers a frequent passage.
 
 Lists do not pair all members.  Every document is first compared with the pivot (the
 least member) that most of its lists have; documents that are then connected need no
-further pair.  Short lists pair their members.  A document that no more of its
-elements than its spare have in long lists meets all its partners in short ones.  The
-others, and they alone, meet in long lists that are still open: they are described by
-how they differ from the set P that stands for the list's pivot.  If X does not link
+further pair.  Short lists pair their members.  Long lists matter while they are open,
+with members in several components.  Each document may pass over as many entries in
+them as half the spare of its least partner: of the s + 1 elements that a linking pair
+meets on, one is then left that is in a short list, or that neither passes over.  It
+passes over those of the pivots that it shares least with, as a frequent passage.  In
+what is left, documents are described by how they differ from the set P that stands for
+the list's pivot.  If X does not link
 with P and links with Y, then X and Y share (|dX| + |dY| - most apart) / 2 of their
 differences at least, and that is more than none: otherwise |dX| + |dY| were within
 reach of |Y|, which exceeds |P| by |dY| at most.  Differences are ordered from the
@@ -450,13 +453,25 @@ def open_lists(told: DataFrame) -> DataFrame:
     return told.groupBy("g").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("g")
 
 
-def around_pairs(long: DataFrame, labels: DataFrame, by_component: bool) -> DataFrame:
-    """(a, b): members b of open long lists with the document a that they are described by."""
+def open_entries(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, doc, a, pivot): members of open long lists; ``a`` stands for the pivot's component."""
     told = labelled(long, labels)
     left = materialize(open_lists(told), "open")
     met = told.join(sized(left, left.count()), "g")
-    if by_component:
-        return labelled(met, labels, "pivot", "a").select("a", F.col("doc").alias("b")).distinct()
+    return labelled(met, labels, "pivot", "a").select("g", "doc", "a", "pivot")
+
+
+def first_pairs(entries: DataFrame, load: DataFrame) -> DataFrame:
+    """(a, b): the documents b that are described by a, but for what b may pass over."""
+    each = entries.groupBy("doc", "a").count()
+    upto = F.sum("count").over(Window.partitionBy("doc").orderBy("count", "a"))
+    kept = each.join(load.select("doc", "allowance"), "doc").withColumn("upto", upto).where(F.col("upto") > F.col("allowance"))
+    return kept.select("a", F.col("doc").alias("b"))
+
+
+def next_pairs(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): members b of open long lists of differences with the list's least member a."""
+    met = open_entries(long, labels)
     return met.where(F.col("pivot") != F.col("doc")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
 
 
@@ -474,17 +489,17 @@ def _sql_spare(n: str, rule: Rule) -> Column:
     return F.expr(f"({n} - ({rule.num} * {n} + {rule.den - 1}) div {rule.den}) div 2")
 
 
-def loads(long: DataFrame, short: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, hot, spare, clogged) of documents in lists.
+def loads(entries: DataFrame, short: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, hot, spare, allowance) of documents in short or open long lists.
 
-    ``hot`` counts a document's entries in long lists; it is clogged when these are more
-    than the spare of its least partner, so that a link may meet in long lists only.
+    ``hot`` counts a document's ``entries`` in open long lists, ``allowance`` how many of
+    them it may pass over.
     """
-    seen = long.select("doc", F.lit(1).alias("hot")).unionByName(short.select("doc", F.lit(0).alias("hot")))
+    seen = entries.select("doc", F.lit(1).alias("hot")).unionByName(short.select("doc", F.lit(0).alias("hot")))
     hot = seen.groupBy("doc").agg(F.sum("hot").alias("hot"))
     size = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("n"))
     told = hot.join(size, "doc").withColumn("least", F.expr(f"({rule.num} * n + {rule.den - 1}) div {rule.den}"))
-    return told.select("doc", "hot", _sql_spare("n", rule).alias("spare"), (F.col("hot") > _sql_spare("least", rule)).alias("clogged"))
+    return told.select("doc", "hot", _sql_spare("n", rule).alias("spare"), F.floor(_sql_spare("least", rule) / 2).alias("allowance"))
 
 
 def element_pairs(short: DataFrame, load: DataFrame, labels: DataFrame) -> DataFrame:
@@ -621,9 +636,9 @@ def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: b
     return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, most int, differences array<long>, s1 long, s2 long, s3 long")
 
 
-def links_around(long: DataFrame, labels: DataFrame, links: DataFrame, slim: DataFrame, rule: Rule, buckets: int):
-    """(labels, links, candidates): what open long lists add, turn by turn."""
-    round_ = materialize(around_pairs(long, labels, True), "pairs")
+def links_around(round_: DataFrame, labels: DataFrame, links: DataFrame, slim: DataFrame, rule: Rule, buckets: int):
+    """(labels, links, candidates): what open long lists add, turn by turn, from the pairs (a, b) on."""
+    round_ = materialize(round_, "pairs")
     candidates = []
     while round_.limit(1).count():
         told = materialize(judged(round_, slim, rule, describe=True), "judged")
@@ -632,7 +647,7 @@ def links_around(long: DataFrame, labels: DataFrame, links: DataFrame, slim: Dat
         members = difference_members(told.where("apart > 0"), buckets)
         far, near = split_lists(materialize(ranked_differences(members, told), "ranked"))
         candidates.append(materialize(difference_pairs(near, told, labels, rule), "pairs"))
-        round_ = materialize(around_pairs(far, labels, False), "pairs")
+        round_ = materialize(next_pairs(far, labels), "pairs")
     return labels, links, candidates
 
 
@@ -659,11 +674,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     links = materialize(judged(near, slim, rule), "judged").where("link").select("a", "b")
     labels = components(links)
 
-    # Round two: clogged documents of long lists that are still open.
-    load = materialize(loads(long, short, usable, rule), "loads")
-    clogged = load.where("clogged").select("doc")
-    stuck = materialize(long.join(sized(clogged, clogged.count()), "doc", "left_semi"), "clogged")
-    labels, links, candidates = links_around(stuck, labels, links, slim, rule, buckets)
+    # Round two: long lists that are still open.
+    entries = materialize(open_entries(long, labels), "entries")
+    load = materialize(loads(entries, short, usable, rule), "loads")
+    labels, links, candidates = links_around(first_pairs(entries, load), labels, links, slim, rule, buckets)
 
     # Round three: pairs that short lists leave open between components.
     rest = reduce(DataFrame.unionByName, [*candidates, element_pairs(short, load, labels)]).distinct()

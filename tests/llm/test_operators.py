@@ -156,9 +156,10 @@ def test_template_pages_make_few_pairs(spark, rule, anywhere):
         frame = spark.createDataFrame(template_pages(n, anywhere), DOCS)
         long, short = setjoin.split_lists(setjoin.set_members(frame, rule, 5))
         labels = spark.createDataFrame([], "node long, component long")
-        load = setjoin.loads(long, short, setjoin.build_sets(frame, rule), rule)
-        stuck = long.join(load.where("clogged").select("doc"), "doc", "left_semi")
-        _, links, found = setjoin.links_around(stuck, labels, spark.createDataFrame([], "a long, b long"), frame, rule, 5)
+        entries = setjoin.open_entries(long, labels)
+        load = setjoin.loads(entries, short, setjoin.build_sets(frame, rule), rule)
+        first = setjoin.first_pairs(entries, load)
+        _, links, found = setjoin.links_around(first, labels, spark.createDataFrame([], "a long, b long"), frame, rule, 5)
         met[n] = sum(x.count() for x in found) + setjoin.element_pairs(short, load, labels).count()
         assert long.count() and not links.count() and len(found) < 4
     assert met[240] <= 5 * met[60] + 50, met
