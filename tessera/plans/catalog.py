@@ -505,12 +505,13 @@ def url_host(spark, sf_dir):
 _BAD = "|".join(urls.BAD_ROUTES)
 
 
-@_entry(
-    f"""SELECT page_id, starts_with(url, 'http') AND NOT regexp_matches(p, '\\.(jpg|jpeg|png|gif|svg|pdf|zip|mp4|mp3|webm|css|js|ico|woff|woff2)$')
+_ARTICLE = f"""starts_with(url, 'http') AND NOT regexp_matches(p, '\\.(jpg|jpeg|png|gif|svg|pdf|zip|mp4|mp3|webm|css|js|ico|woff|woff2)$')
   AND NOT regexp_matches(lower(p), '{_BAD}') AND len(seg) > 0
-  AND CASE WHEN len(seg) = 1 THEN lower(seg[1]) NOT IN ('home', 'index', 'search', 'login', 'signup', 'admin') ELSE length(p) >= 8 END AS article
-FROM (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM ({_U}))"""
-)
+  AND CASE WHEN len(seg) = 1 THEN lower(seg[1]) NOT IN ('home', 'index', 'search', 'login', 'signup', 'admin') ELSE length(p) >= 8 END"""
+_SEGMENTS = f"(SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM ({_U}))"
+
+
+@_entry(f"SELECT page_id, {_ARTICLE} AS article FROM {_SEGMENTS}")
 def url_is_article(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.is_article_url(F.col("url"), F.lit("other")).alias("article"))
 
@@ -646,7 +647,19 @@ def drop_reasons(spark, sf_dir):
     return ingest.drop_reasons(rows, "site", "reason").select("site", "reason", "n", "place")
 
 
-@_entry()
+_TITLE = _run_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+
+
+@_entry(
+    f"""WITH k AS (
+  SELECT page_id, html, h AS site, regexp_replace(url, '[?#].*$', '') AS url,
+    'u-' || sha1(lower(s) || '://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END)[1:16] AS doc_id
+  FROM {_SEGMENTS} WHERE {_ARTICLE}),
+t AS (SELECT doc_id, site, url, {_TITLE} AS title, length({_TEXT}) AS chars FROM k
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_id) = 1)
+SELECT doc_id, site, url, CASE WHEN title = '' THEN '[' || upper(site) || '] ' || url ELSE title END AS title,
+  CAST(chars AS INTEGER) AS body_chars FROM t WHERE chars >= 200"""
+)
 def backfill(spark, sf_dir):
     """The whole backfill of the landed pages."""
     pages = _pages(spark, sf_dir).select(urls.host(F.col("url")).alias("site"), "url", "html", F.col("page_id").alias("seq"))
