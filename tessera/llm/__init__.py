@@ -4,6 +4,6 @@ import sys
 
 from pyspark import cloudpickle
 
-# Python workers get these modules inside the pickled function, so a cluster
-# needs no installed copy of the package.
+# Functions of this package travel to Python workers by value.  Modules that they name
+# are imported there, so workers need the package on their path (PYTHONPATH, --py-files).
 cloudpickle.register_pickle_by_value(sys.modules["tessera.llm"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kernels import released
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a session of one machine names no shared folder, as in local tests.
 FALLBACK_SHARED_DIR = "/tmp/checkpoints"
 
 
@@ -25,19 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, as the session or its context names it.
+
+    Fails on a cluster that names none: a local folder would lose tables.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = FALLBACK_SHARED_DIR
+    return named.rstrip("/")
+
+
+def _own_prefix(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; ``release`` frees its shuffle files at once.
 
     Cuts the lineage at a table that survives lost executors.  The folder is
-    named ``tessera-<label>-<uuid>``; whoever owns the shared folder may drop
-    such folders once the result that was built on them has been written.
+    named ``tessera-<application>-<label>-<uuid>``; whoever owns the shared folder may
+    drop such folders once the result that was built on them has been written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    path = f"{_own_prefix(spark)}-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     if release:
@@ -51,9 +67,9 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
 
 
 def drop_intermediates(spark: SparkSession) -> int:
-    """Remove the folders that :func:`materialize` left; only when no result that builds on them is still wanted."""
+    """Remove the folders that :func:`materialize` left in this application; only when no result that builds on them is still wanted."""
     paths = spark._jvm.org.apache.hadoop.fs.Path
-    pattern = paths(f"{shared_dir(spark)}/tessera-*")
+    pattern = paths(f"{_own_prefix(spark)}-*")
     files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     found = files.globStatus(pattern) or []
     for status in found:
