@@ -30,12 +30,13 @@ what is left, documents are described by how they differ from the set P that sta
 the list's pivot.  If X does not link
 with P and links with Y, then X and Y share (|dX| + |dY| - most apart) / 2 of their
 differences at least, and that is more than none: otherwise |dX| + |dY| were within
-reach of |Y|, which exceeds |P| by |dY| at most.  Differences are ordered from the
-rarest around P on.  The first one that X and Y share is then among the first
-most / 2 + 1 of the one that has fewer, where it probes, and among the first most + 1
-of the other.  So what a whole template has in common pairs nobody.  Where many
-documents probe one difference, the least member is the next P: what all of a list
-share is then no difference any more.  Pivots rise with each turn, so this ends.
+reach of |Y|, which exceeds |P| by |dY| at most.  Differences are ordered, those last
+that many of a few documents around P have (which ones is only a matter of order, so
+the few decide about no result).  The first one that X and Y share is then among the
+first most / 2 + 1 of the one that has fewer, where it probes, and among the first
+most + 1 of the other.  So what a whole template has in common pairs nobody.  Where
+many documents probe one difference, the least member is the next P: what all of a
+list share is then no difference any more.  Pivots rise with each turn, so this ends.
 
 Candidates meet a parity sketch, whose Hamming distance never exceeds the symmetric
 difference, before their texts are compared; there, words of equal hash are compared
@@ -107,12 +108,14 @@ GATHER = 250_000
 LOCAL_LIST = 8
 #: Text bytes whose keys meet in one bucket, on average, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 17
+#: Documents around a pivot that show which differences are common there: those of so many of them.
+FEW, OFTEN = 16, 4
 #: Comparisons with one document that share a task.
 PER_HEAD = 256
 
 _SETS = "doc_id long, n int, k1 long, k2 long, parity array<long>"
 _PACKED = "bucket int, asked binary, known binary"
-_MEMBERS = "g long, doc long, scope long"
+_MEMBERS = "g long, doc long, scope long, pos int"
 
 
 def required(n: int, m: int, rule: Rule = CONTRACT) -> int:
@@ -264,7 +267,7 @@ def build_sets(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
 
 # Packed exchange of keys.
 
-_ENTRY = np.dtype([("key", "u8"), ("doc", "i8"), ("scope", "i8"), ("sent", "u1")])
+_ENTRY = np.dtype([("key", "u8"), ("doc", "i8"), ("scope", "i8"), ("pos", "i4"), ("sent", "u1")])
 
 
 def _pack(rows: np.ndarray, buckets: int) -> bytes:
@@ -272,7 +275,7 @@ def _pack(rows: np.ndarray, buckets: int) -> bytes:
     rows = rows[np.lexsort((rows["doc"], rows["scope"]))]
     rest = (rows["key"] // np.uint64(buckets)) & np.uint64((1 << 48) - 1)
     raw = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    planes = [np.diff(rows[c].astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for c in ("doc", "scope")]
+    planes = [np.diff(rows[c].astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for c in ("doc", "scope", "pos")]
     return len(rows).to_bytes(4, "little") + raw + zlib.compress(b"".join([*planes, rows["sent"].tobytes()]), 1)
 
 
@@ -283,10 +286,10 @@ def _unpack(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
     rest[:, :6] = np.frombuffer(raw, dtype=np.uint8, count=6 * n, offset=4).reshape(-1, 6)
     out["key"] = rest.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket)
     flat = np.frombuffer(zlib.decompress(raw[4 + 6 * n :]), dtype=np.uint8)
-    for k, c in enumerate(("doc", "scope")):
+    for k, c in enumerate(("doc", "scope", "pos")):
         planes = np.ascontiguousarray(flat[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T)
         out[c] = np.cumsum(planes.view(np.int64).ravel())
-    out["sent"] = flat[16 * n :]
+    out["sent"] = flat[24 * n :]
     return out
 
 
@@ -334,23 +337,23 @@ def _meet(buckets: int):
         out += [_unpack(x[4:], int.from_bytes(x[:4], "little"), buckets) for x in table.column("known").to_pylist() if x is not None]
         rows = np.concatenate(out)
         kernels.give_back()
-        return pa.table({"g": rows["key"].view(np.int64) if len(rows) else pa.array([], pa.int64()), "doc": rows["doc"], "scope": rows["scope"]})
+        return pa.table({"g": rows["key"].view(np.int64) if len(rows) else pa.array([], pa.int64()), "doc": rows["doc"], "scope": rows["scope"], "pos": rows["pos"]})
 
     return run
 
 
 def shared_keys(rows: DataFrame, keys_of, buckets: int, label: str) -> DataFrame:
-    """(g, doc, scope): the entries whose key another row has too.
+    """(g, doc, scope, pos): the entries whose key another row has too.
 
-    ``keys_of(batch)`` yields (keys, doc, scope) arrays of a record batch.
+    ``keys_of(batch)`` yields (keys, doc, scope, pos) arrays of a record batch.
     """
 
     def post(batches):
         held, n = [], 0
         for batch in batches:
-            for keys, doc, scope in keys_of(batch):
+            for keys, doc, scope, pos in keys_of(batch):
                 own = np.zeros(len(keys), dtype=_ENTRY)
-                own["key"], own["doc"], own["scope"] = keys, doc, scope
+                own["key"], own["doc"], own["scope"], own["pos"] = keys, doc, scope, pos
                 held.append(own)
                 n += len(own)
                 if n >= GATHER:
@@ -372,25 +375,26 @@ def set_members(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
             elements, first = distinct_sets(data, offsets, rule.shingle)
             keys = [join_keys(elements[a:b], rule, bound) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             doc = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-            yield np.concatenate(keys) if keys else elements, doc, 0
+            yield np.concatenate(keys) if keys else elements, doc, 0, 0
 
     return shared_keys(docs, keys_of, buckets, "members")
 
 
 def difference_members(told: DataFrame, buckets: int) -> DataFrame:
-    """Members of the lists of differences; ``scope`` is the document that they differ from."""
+    """Members of the lists of early differences; ``scope`` is the document that they differ from."""
 
     def keys_of(batch):
         # A few rows at a time: each may have thousands of differences.
         for at in range(0, batch.num_rows, 50):
             rows = batch.slice(at, 50)
-            apart = rows.column(rows.schema.get_field_index("differences"))
+            apart = rows.column(rows.schema.get_field_index("early"))
             size = np.asarray(apart.value_lengths().fill_null(0), dtype=np.int64)
             flat = apart.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             a, b = (np.repeat(rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False), size) for c in ("a", "b"))
-            yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a, pos
 
-    return shared_keys(told.select("a", "b", "differences"), keys_of, buckets, "differences")
+    return shared_keys(told.select("a", "b", "early"), keys_of, buckets, "differences")
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -416,23 +420,10 @@ def split_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(long, "long"), materialize(short, "short")
 
 
-def ranked_differences(members: DataFrame, told: DataFrame) -> DataFrame:
-    """(g, doc, scope, pos, probe): the differences that may be the first shared one, rarest first.
-
-    Differences that nobody else around the same document has come before the others
-    and are only counted.
-    """
-    long, short = split_lists(members)
-    order = Window.partitionBy("scope", "doc")
-    facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "apart", "most")
-    placed = (
-        long.unionByName(short)
-        .withColumn("_place", F.row_number().over(order.orderBy("size", "g")))
-        .withColumn("_several", F.count("*").over(order))
-        .join(facts, ["scope", "doc"])
-        .withColumn("pos", (F.col("apart") - F.col("_several") + F.col("_place") - 1).cast("int"))
-    )
-    return placed.where("pos <= most").select("g", "doc", "scope", "pos", F.expr("int(pos <= most div 2)").alias("probe"))
+def probing(members: DataFrame, told: DataFrame) -> DataFrame:
+    """``members`` with ``probe``: whether a set with no more differences than its partner meets it here."""
+    facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "most")
+    return members.join(facts, ["scope", "doc"]).select("g", "doc", "scope", "pos", F.expr("int(pos <= most div 2)").alias("probe"))
 
 
 def pivot_pairs(members: DataFrame) -> DataFrame:
@@ -580,7 +571,8 @@ def _judge_rows(rows: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
     sides = [word_shingles(w, t.first, rule.shingle) for w, t in zip(words, tokens, strict=True)]
     hold = hashes_hold(tokens, words, sides, rule.shingle)
     wanted = rows.column("long").to_pylist()
-    ok, sizes, apart, most, differences, sketch = [], [], [], [], [], []
+    ok, sizes, apart, most, early, sketch = [], [], [], [], [], []
+    common = rows.column("common").to_pylist()
     for r in range(rows.num_rows):
         x, y = (np.unique(h[s[r] : s[r + 1]]) for h, s, _ in sides)
         shared = np.isin(y, x, assume_unique=True)
@@ -594,22 +586,25 @@ def _judge_rows(rows: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
         apart.append(len(x) + len(y) - 2 * both)
         most.append(most_apart(len(y) + most_partner(len(y), rule), rule))
         told = np.concatenate([y[~shared], x[~np.isin(x, y, assume_unique=True)]]) if wanted[r] else y[:0]
-        differences.append(told.view(np.int64))
+        if wanted[r]:
+            late = np.isin(told, np.array(common[r] or [], dtype=np.int64).view(np.uint64))
+            told = told[np.lexsort((told, late))]
+        early.append(told[: len(told) if wanted[r] == 2 else most[-1] + 1].view(np.int64))
         sketch.append(_parities(told, np.array([0, len(told)]), len(_SKETCH))[0] if wanted[r] else [0] * len(_SKETCH))
     whole = [pa.array(x, pa.int32()) for x in (sizes, apart, most)]
     return pa.record_batch(
-        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), *whole, _lists(differences)]
+        [rows.column("a"), rows.column("b"), pa.array(ok, pa.bool_()), *whole, _lists(early)]
         + [pa.array([x[k] for x in sketch], pa.int64()) for k in range(len(_SKETCH))],
-        names=["a", "b", "link", "n", "apart", "most", "differences", *_SKETCH],
+        names=["a", "b", "link", "n", "apart", "most", "early", *_SKETCH],
     )
 
 
-def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: bool = False) -> DataFrame:
-    """(a, b, link, n, apart, most, differences, sketch) by the texts themselves.
+def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: int = 0, common: DataFrame | None = None) -> DataFrame:
+    """(a, b, link, n, apart, most, early, sketch) by the texts themselves.
 
     ``n`` is the size of b's set, ``apart`` that of the symmetric difference, ``most``
-    how far a partner of b can be from it, and ``differences``, if ``describe``, what b
-    adds to a and what it lacks.
+    how far a partner of b can be from it.  ``early``, with ``describe`` 1, has the first
+    differences, those of ``common`` (a, common) last; with 2 it has all.
     """
 
     def judge(batches):
@@ -632,8 +627,24 @@ def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: b
     # Pairs are carried to b's text, then both to a's: with few pairs only the second moves texts.
     first = text("b").join(sized(met, n), "b")
     second = text("a").join(sized(parts, n), "a")
-    full = first.join(second, ["a", "part"]).select("a", "b", F.lit(describe).alias("long"), "a_text", "b_text")
-    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, most int, differences array<long>, s1 long, s2 long, s3 long")
+    late = F.lit(None).cast("array<long>").alias("common")
+    if common is not None:
+        second, late = second.join(common, "a", "left"), "common"
+    full = first.join(second, ["a", "part"]).select("a", "b", F.lit(describe).alias("long"), late, "a_text", "b_text")
+    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, most int, early array<long>, s1 long, s2 long, s3 long")
+
+
+def common_differences(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, common): the differences that a share of a few documents around ``a`` have.
+
+    They are put last in the order of differences.  Any order serves; this one keeps what
+    a template has in common from pairing all its pages.
+    """
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    few = pairs.withColumn("_place", place).where(F.col("_place") <= FEW).select("a", "b")
+    told = judged(materialize(few, "few"), docs, rule, 2).select("a", F.explode("early").alias("e"))
+    often = told.groupBy("a", "e").count().where(F.col("count") >= OFTEN)
+    return materialize(often.groupBy("a").agg(F.collect_list("e").alias("common")), "common")
 
 
 def links_around(round_: DataFrame, labels: DataFrame, links: DataFrame, slim: DataFrame, rule: Rule, buckets: int):
@@ -641,11 +652,11 @@ def links_around(round_: DataFrame, labels: DataFrame, links: DataFrame, slim: D
     round_ = materialize(round_, "pairs")
     candidates = []
     while round_.limit(1).count():
-        told = materialize(judged(round_, slim, rule, describe=True), "judged")
+        told = materialize(judged(round_, slim, rule, 1, common_differences(round_, slim, rule)), "judged")
         links = links.unionByName(told.where("link and a <> b").select("a", "b"))
         labels = components(materialize(links, "links"))
         members = difference_members(told.where("apart > 0"), buckets)
-        far, near = split_lists(materialize(ranked_differences(members, told), "ranked"))
+        far, near = split_lists(materialize(probing(members, told), "probing"))
         candidates.append(materialize(difference_pairs(near, told, labels, rule), "pairs"))
         round_ = materialize(next_pairs(far, labels), "pairs")
     return labels, links, candidates

@@ -132,7 +132,7 @@ def test_texts_decide_where_hashes_collide(spark, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(kernels, "span_hashes", lambda data, starts, ends, seed=0: (ends - starts).astype(np.uint64))
-    rows = pa.record_batch([[1, 1], [2, 3], ["aa bb cc dd"] * 2, ["ee ff gg hh", "AA bb cc dd"], [False, False]], names=["a", "b", "a_text", "b_text", "long"])
+    rows = pa.record_batch([[1, 1], [2, 3], ["aa bb cc dd"] * 2, ["ee ff gg hh", "AA bb cc dd"], [0, 0], pa.nulls(2, pa.list_(pa.int64()))], names=["a", "b", "a_text", "b_text", "long", "common"])
     assert setjoin._judge_rows(rows, setjoin.CONTRACT).column("link").to_pylist() == [False, True]
 
 
@@ -218,7 +218,7 @@ def test_packed_keys_come_back():
     rng = np.random.default_rng(8)
     rows = np.zeros(500, dtype=setjoin._ENTRY)
     rows["key"] = rng.integers(0, 2**64, 500, dtype=np.uint64)
-    rows["doc"], rows["scope"] = rng.integers(-(2**63), 2**63, 500), rng.integers(-5, 5, 500)
+    rows["doc"], rows["scope"], rows["pos"] = rng.integers(-(2**63), 2**63, 500), rng.integers(-5, 5, 500), rng.integers(0, 9, 500)
     rows["key"] = rows["key"] // np.uint64(61 << 20) * np.uint64(61) + np.uint64(7)
     back = setjoin._unpack(setjoin._pack(rows, 61), 7, 61)
     assert sorted(back.tolist()) == sorted(rows.tolist())
