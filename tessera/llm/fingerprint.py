@@ -17,6 +17,8 @@ the text, then by the text; a null ``doc_id`` sorts first; columns other than
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,18 +121,26 @@ def _bucketed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     keyed = rows.withColumn("_h", F.xxhash64("text")).withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_cut").transform(keyed)
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("_cut").cast("int"))
-    place, own, piece = F.lit(0), F.lit(False), F.lit(0)
+    cut = cut.withColumn("_part", part)
+    # Rows of a range fall before, into or behind its hot ids.
+    by_cut: dict[int, list] = {}
     for one in sorted(k for k in hot if k is not None):
-        # Rows of a cut fall before, into or behind its hot ids.
-        place = place + F.when(F.col("doc_id") >= one, 1).otherwise(0) + F.when(F.col("doc_id") > one, 1).otherwise(0)
-    for one, rows_of in hot.items():
-        here = F.col("doc_id").isNull() if one is None else F.col("doc_id") == one
-        width = max(1, rows_of // most)
-        own = own | F.coalesce(here, F.lit(False))
-        piece = F.when(here, F.floor((F.shiftrightunsigned(F.col("_h"), 33).bitwiseXOR(F.lit(1 << 30)) * F.lit(width)) / (1 << 31))).otherwise(piece)
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
+        by_cut.setdefault(bisect.bisect_right(splits, float(one)) - 1, []).append((one, max(1, hot[one] // most)))
+    held = spark.createDataFrame(list(by_cut.items()), "_at int, _hot array<struct<id: long, width: long>>")
+    cut = cut.join(F.broadcast(held), F.col("_part") == F.col("_at"), "left").drop("_at")  # n / 4 ids at most
+    upto = lambda fits: F.coalesce(F.size(F.filter("_hot", fits)), F.lit(0))
+    place = F.when(F.col("_hot").isNull(), 0).otherwise(upto(lambda h: h["id"] <= F.col("doc_id")) + upto(lambda h: h["id"] < F.col("doc_id")))
+    wide = F.try_element_at(F.filter("_hot", lambda h: h["id"] == F.col("doc_id")), F.lit(1))["width"]
+    if None in hot:
+        wide = F.when(F.col("doc_id").isNull(), F.lit(max(1, hot[None] // most))).otherwise(wide)
+    own = wide.isNotNull()
+    leading = F.shiftrightunsigned(F.col("_h"), 33).bitwiseXOR(F.lit(1 << 30))
+    piece = F.floor(leading * F.coalesce(wide, F.lit(1)) / (1 << 31))
+    part = F.col("_part")
     out = cut.withColumn("_bucket", F.struct(part.alias("cut"), place.cast("long").alias("place"), piece.cast("long").alias("piece"))).withColumn("_own", own)
-    firsts = out.groupBy("_bucket").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("_own"), F.col("_h"))).alias("h")).collect()
+    # Without hot ids no text is read here.
+    least = F.min(F.when(F.col("_own"), F.col("_h"))) if hot else F.lit(None).cast("long")
+    firsts = out.groupBy("_bucket").agg(F.min("doc_id").alias("id"), least.alias("h")).collect()
     heads = sorted((tuple(r["_bucket"]), r["id"], r["h"]) for r in firsts)
     slim = out.select("doc_id", "text", "_h", "_bucket")
     if not heads:
