@@ -36,7 +36,9 @@ the few decide about no result).  The first one that X and Y share is then among
 first most / 2 + 1 of the one that has fewer, where it probes, and among the first
 most + 1 of the other.  So what a whole template has in common pairs nobody.  Where
 many documents probe one difference, the least member is the next P: what all of a
-list share is then no difference any more.  Pivots rise with each turn, so this ends.
+list share is then no difference any more.  Groups whose members are all just short of
+the threshold from each other gain little by that, so what counts as a long list grows
+by ``LONGER`` with each turn: few turns are made, and smaller lists pair their members.
 
 Candidates meet a parity sketch, whose Hamming distance never exceeds the symmetric
 difference, before their texts are compared; there, words of equal hash are compared
@@ -98,6 +100,8 @@ _SKETCH = ("s1", "s2", "s3")
 MOST_LIGHT = 24
 #: Members of lists above this length meet by their differences from the pivot.
 LONG_LIST = 24
+#: How much longer lists of differences may be with each turn before they get a pivot.
+LONGER = 4
 #: Small sides of joins are broadcast up to this many rows (17 bytes each), else joined by shuffle.
 MOST_BROADCAST_IDS = 300_000
 #: Text bytes of either side that are compared at once.
@@ -402,20 +406,21 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST_IDS else df
 
 
-def split_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(long, short): members with their list's ``size`` and ``pivot``; lists above LONG_LIST are long.
+def split_lists(members: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(long, short): members with their list's ``size`` and ``pivot``; lists above ``most`` (LONG_LIST) are long.
 
     Where members have ``probe``, lists without a probe are dropped and the probes are
     counted.  Long lists are few beside their members and are met by broadcast, as far
     as their number allows; what is left for an exchange by list has short lists only.
     """
+    most = LONG_LIST if most is None else most
     probes = F.sum("probe") if "probe" in members.columns else F.count("*")
     lists = members.groupBy("g").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), probes.alias("probes"))
     lists = materialize(lists.where("size > 1 and probes > 0"), "lists")
-    large = lists.where(F.col("probes") > LONG_LIST).select("g", "size", "pivot")
+    large = lists.where(F.col("probes") > most).select("g", "size", "pivot")
     n = large.count()
     long = members.join(sized(large, n), "g")
-    small = lists.where(F.col("probes") <= LONG_LIST).select("g", "size", "pivot")
+    small = lists.where(F.col("probes") <= most).select("g", "size", "pivot")
     short = members.join(sized(large.select("g"), n), "g", "left_anti").join(small, "g")
     return materialize(long, "long"), materialize(short, "short")
 
@@ -656,7 +661,8 @@ def links_around(round_: DataFrame, labels: DataFrame, links: DataFrame, slim: D
         links = links.unionByName(told.where("link and a <> b").select("a", "b"))
         labels = components(materialize(links, "links"))
         members = difference_members(told.where("apart > 0"), buckets)
-        far, near = split_lists(materialize(probing(members, told), "probing"))
+        most = LONG_LIST * LONGER ** (len(candidates) + 1)
+        far, near = split_lists(materialize(probing(members, told), "probing"), most)
         candidates.append(materialize(difference_pairs(near, told, labels, rule), "pairs"))
         round_ = materialize(next_pairs(far, labels), "pairs")
     return labels, links, candidates
