@@ -22,12 +22,18 @@ bucket gathers a frequent passage.
 Lists do not pair all members.  Every document is first compared with the pivot (the
 least member) that most of its lists have; documents that are then connected need no
 further pair.  Short lists pair their members.  Long lists matter while they are open,
-with members in several components.  Each document may pass over as many entries in
-them as half the spare of its least partner: of the s + 1 elements that a linking pair
-meets on, one is then left that is in a short list, or that neither passes over.  It
-passes over those of the pivots that it shares least with, as a frequent passage.  In
-what is left, documents are described by how they differ from the set P that stands for
-the list's pivot.  If X does not link
+with members in several components.  A document with no more entries in them than the
+spare of its least partner is settled: of the s + 1 elements that it meets a partner on,
+one is in a short list.  The others post again, among themselves only and with the
+elements that are frequent among them put last: any common order of elements serves, and
+this one has frequent elements posted only by sets that have little else (counts come from
+a bounded sample, as they decide about nothing but the order).  That is repeated while it
+settles at least half.  Of the few documents that are left, each may pass over as many
+entries in open long lists as half the spare of its least partner: of the s + 1 elements
+that a linking pair meets on, one is then left that is in a short list, or that neither
+passes over.  It passes over those of the pivots that it shares least with, as a frequent
+passage.  In what is left, documents are described by how they differ from the set P that
+stands for the list's pivot.  If X does not link
 with P and links with Y, then X and Y share (|dX| + |dY| - most apart) / 2 of their
 differences at least, and that is more than none: otherwise |dX| + |dY| were within
 reach of |Y|, which exceeds |P| by |dY| at most.  Differences are ordered, those last
@@ -95,13 +101,15 @@ ENTRY_COST = 4
 #: Longs in a set's parity sketch.
 PARITY_WORDS = 16
 #: Longs in the parity sketch of a set's differences from a pivot.
-_SKETCH = ("s1", "s2", "s3")
+_SKETCH = tuple(f"s{k}" for k in range(1, 9))
 #: Light sets never have more elements than this, whatever the cost estimate says.
 MOST_LIGHT = 24
 #: Members of lists above this length meet by their differences from the pivot.
 LONG_LIST = 24
 #: How much longer lists of differences may be with each turn before they get a pivot.
 LONGER = 4
+#: Documents whose elements are counted before they post again, and the most elements that are put last: a matter of order only.
+SAMPLED, MOST_LATE = 20_000, 500_000
 #: Small sides of joins are broadcast up to this many rows (17 bytes each), else joined by shuffle.
 MOST_BROADCAST_IDS = 300_000
 #: Text bytes of either side that are compared at once.
@@ -233,12 +241,18 @@ def _subset_keys(elements: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def join_keys(elements: np.ndarray, rule: Rule, bound: int) -> np.ndarray:
-    """The keys that a set posts: subsets of a light set, least elements where a heavy set is or may be met."""
+def join_keys(elements: np.ndarray, rule: Rule, bound: int, late=None) -> np.ndarray:
+    """The keys that a set posts: subsets of a light set, least elements where a heavy set is or may be met.
+
+    ``late(keys)`` ranks elements that come last in the order; the others have 0.
+    """
     n = len(elements)
     if not n:
         return elements
-    least = kernels.mix(elements[: entries(n, rule)]) if most_partner(n, rule) > bound else elements[:0]
+    least = elements[:0]
+    if most_partner(n, rule) > bound:
+        least = kernels.mix(elements)
+        least = (least if late is None else least[np.argsort(late(least), kind="stable")])[: entries(n, rule)]
     return np.concatenate([_subset_keys(elements, rule), least]) if n <= bound else least
 
 
@@ -283,6 +297,12 @@ def _pack(rows: np.ndarray, buckets: int) -> bytes:
     return len(rows).to_bytes(4, "little") + raw + zlib.compress(b"".join([*planes, rows["sent"].tobytes()]), 1)
 
 
+def key_names(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What is left of keys once they were packed: the ``g`` of their lists."""
+    keys = keys.astype(np.uint64)
+    return (((keys // np.uint64(buckets)) & np.uint64((1 << 48) - 1)) * np.uint64(buckets) + keys % np.uint64(buckets)).view(np.int64)
+
+
 def _unpack(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
     n = int.from_bytes(raw[:4], "little")
     out = np.zeros(n, dtype=_ENTRY)
@@ -370,18 +390,43 @@ def shared_keys(rows: DataFrame, keys_of, buckets: int, label: str) -> DataFrame
     return materialize(met, label, release=label == "members")
 
 
-def set_members(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Members of the lists of ``docs`` (doc_id, text)."""
+def frequent_elements(docs: DataFrame, n: int, rule: Rule, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, ranks) of elements that some of the ``n`` ``docs`` have, by name; the rank grows with how many."""
+
+    def count(batches):
+        for batch in batches:
+            for _, data, offsets in kernels.chunks(batch):
+                names, often = np.unique(key_names(kernels.mix(distinct_sets(data, offsets, rule.shingle)[0]), buckets), return_counts=True)
+                yield pa.record_batch([pa.array(names), pa.array(often.astype(np.int64))], names=["g", "often"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // SAMPLED))) == 0)
+    met = some.mapInArrow(kernels.released(count), "g long, often long").groupBy("g").agg(F.sum("often").alias("often"))
+    most = met.where(F.col("often") >= OFTEN).orderBy(F.desc("often"), "g").limit(MOST_LATE).toArrow()
+    names, often = (most.column(c).to_numpy() for c in ("g", "often"))
+    order = np.argsort(names)
+    return names[order], np.log2(often[order]).astype(np.int8)
+
+
+def set_members(docs: DataFrame, rule: Rule, buckets: int, last: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Members of the lists of ``docs`` (doc_id, text); elements of ``last`` (names, ranks) are posted last."""
     bound = light_bound(rule)
 
+    def late(keys):
+        names, ranks = last
+        if not len(names):
+            return np.zeros(len(keys), np.int8)
+        own = key_names(keys, buckets)
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        return np.where(names[at] == own, ranks[at], 0)
+
     def keys_of(batch):
         for rows, data, offsets in kernels.chunks(batch):
             elements, first = distinct_sets(data, offsets, rule.shingle)
-            keys = [join_keys(elements[a:b], rule, bound) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            keys = [join_keys(elements[a:b], rule, bound, None if last is None else late) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             doc = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
             yield np.concatenate(keys) if keys else elements, doc, 0, 0
 
-    return shared_keys(docs, keys_of, buckets, "members")
+    return shared_keys(docs, keys_of, buckets, "members" if last is None else "again")
 
 
 def difference_members(told: DataFrame, buckets: int) -> DataFrame:
@@ -458,10 +503,10 @@ def open_entries(long: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def first_pairs(entries: DataFrame, load: DataFrame) -> DataFrame:
-    """(a, b): the documents b that are described by a, but for what b may pass over."""
+    """(a, b): the unsettled documents b that are described by a, but for what b may pass over."""
     each = entries.groupBy("doc", "a").count()
     upto = F.sum("count").over(Window.partitionBy("doc").orderBy("count", "a"))
-    kept = each.join(load.select("doc", "allowance"), "doc").withColumn("upto", upto).where(F.col("upto") > F.col("allowance"))
+    kept = each.join(load.where("hot > slack").select("doc", "allowance"), "doc").withColumn("upto", upto).where(F.col("upto") > F.col("allowance"))
     return kept.select("a", F.col("doc").alias("b"))
 
 
@@ -486,16 +531,36 @@ def _sql_spare(n: str, rule: Rule) -> Column:
 
 
 def loads(entries: DataFrame, short: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, hot, spare, allowance) of documents in short or open long lists.
+    """(doc, hot, spare, slack, allowance) of documents in short or open long lists.
 
-    ``hot`` counts a document's ``entries`` in open long lists, ``allowance`` how many of
-    them it may pass over.
+    ``hot`` counts a document's ``entries`` in open long lists.  Up to ``slack`` of them it
+    is settled by its short lists; beyond, it may pass over ``allowance`` of them.
     """
     seen = entries.select("doc", F.lit(1).alias("hot")).unionByName(short.select("doc", F.lit(0).alias("hot")))
     hot = seen.groupBy("doc").agg(F.sum("hot").alias("hot"))
     size = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("n"))
     told = hot.join(size, "doc").withColumn("least", F.expr(f"({rule.num} * n + {rule.den - 1}) div {rule.den}"))
-    return told.select("doc", "hot", _sql_spare("n", rule).alias("spare"), F.floor(_sql_spare("least", rule) / 2).alias("allowance"))
+    told = told.withColumn("slack", _sql_spare("least", rule))
+    return told.select("doc", "hot", _sql_spare("n", rule).alias("spare"), "slack", F.floor(F.col("slack") / 2).alias("allowance"))
+
+
+def post_again(entries: DataFrame, load: DataFrame, docs: DataFrame, sets: DataFrame, labels: DataFrame, rule: Rule, buckets: int):
+    """(entries, load, lists): what is left of open long lists, and each level's (short, load).
+
+    Unsettled documents post among themselves, frequent elements last.  A linking pair
+    meets in short lists at the level where either is settled.
+    """
+    levels, before, live = [], None, docs
+    while True:
+        open_ = materialize(load.where("hot > slack").select(F.col("doc").alias("doc_id")), "unsettled")
+        n = open_.count()
+        if not n or (before is not None and 2 * n > before):
+            return entries, load, levels
+        before, live = n, materialize(live.join(sized(open_, n), "doc_id", "left_semi"), "live")
+        long, short = split_lists(set_members(live, rule, buckets, frequent_elements(live, n, rule, buckets)))
+        entries = materialize(open_entries(long, labels), "entries")
+        load = materialize(loads(entries, short, sets, rule), "loads")
+        levels.append((short, load))
 
 
 def element_pairs(short: DataFrame, load: DataFrame, labels: DataFrame) -> DataFrame:
@@ -636,7 +701,7 @@ def judged(pairs: DataFrame, docs: DataFrame, rule: Rule = CONTRACT, describe: i
     if common is not None:
         second, late = second.join(common, "a", "left"), "common"
     full = first.join(second, ["a", "part"]).select("a", "b", F.lit(describe).alias("long"), late, "a_text", "b_text")
-    return full.mapInArrow(kernels.released(judge), "a long, b long, link boolean, n int, apart int, most int, early array<long>, s1 long, s2 long, s3 long")
+    return full.mapInArrow(kernels.released(judge), f"a long, b long, link boolean, n int, apart int, most int, early array<long>, {', '.join(f'{c} long' for c in _SKETCH)}")
 
 
 def common_differences(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -694,10 +759,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     # Round two: long lists that are still open.
     entries = materialize(open_entries(long, labels), "entries")
     load = materialize(loads(entries, short, usable, rule), "loads")
+    levels = [(short, load)]
+    entries, load, again = post_again(entries, load, chosen, usable, labels, rule, buckets)
+    levels += again
     labels, links, candidates = links_around(first_pairs(entries, load), labels, links, slim, rule, buckets)
 
     # Round three: pairs that short lists leave open between components.
-    rest = reduce(DataFrame.unionByName, [*candidates, element_pairs(short, load, labels)]).distinct()
+    rest = reduce(DataFrame.unionByName, [*candidates, *(element_pairs(*lists, labels) for lists in levels)]).distinct()
     rest = materialize(close_pairs(rest, usable, rule), "pairs")
     more = judged(rest, slim, rule).where("link").select("a", "b")
 

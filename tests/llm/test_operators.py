@@ -165,6 +165,17 @@ def test_template_pages_make_few_pairs(spark, rule, anywhere):
     assert met[240] <= 5 * met[60] + 50, met
 
 
+def test_pages_with_words_of_their_own_are_settled_by_posting_again(spark, monkeypatch):
+    """Only documents with little but a frequent passage are described around a pivot, and links stay whole."""
+    described, around = [], setjoin.links_around
+    monkeypatch.setattr(setjoin, "links_around", lambda first, *rest: described.append(first.count()) or around(first, *rest))
+    docs = template_pages(80, True)
+    docs += [(100 + d, f"{t} more") for d, t in docs[:40]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == brute.jaccard(docs) and got[139][1] == 39
+    assert described[0] <= 8, described
+
+
 def general_jaccard(docs: list[tuple]) -> dict:
     """doc_id -> component over all pairs, for five words and 0.8."""
     sets = {}
