@@ -65,7 +65,7 @@ def _power(family: int, down: bool, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Prefix-sum hashes of a chunk: any substring in constant time.
+    """Prefix-sum hashes of a chunk: any substring of up to 4 MB in constant time.
 
     Polynomials modulo the prime 2**61 - 1, where no structure of a text cancels as it
     does modulo a power of two.  Families differ in base and byte values.
@@ -73,17 +73,19 @@ class Rolling:
 
     def __init__(self, data: np.ndarray, family: int = 0):
         n = len(data)
-        values = kernels.mix(kernels.BYTE_VALUES + np.uint64(family)) & np.uint64((1 << 60) - 1)
-        terms = times(values[data], _power(family, False, n)) if n else np.zeros(0, np.uint64)
-        # In two halves, so that plain sums do not overflow.
+        # Values are a permutation of 1 to 256, so a product with half a power has 41 bits
+        # and the sum over a substring 63: nothing is reduced before a hash is asked for.
+        values = np.argsort(kernels.mix(kernels.BYTE_VALUES + np.uint64(family))).astype(np.uint64) + np.uint64(1)
+        own, power = values[data], _power(family, False, n)
         self.low, self.high = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(terms & np.uint64((1 << 32) - 1), out=self.low[1:])
-        np.cumsum(terms >> np.uint64(32), out=self.high[1:])
+        np.cumsum(own * (power & np.uint64((1 << 32) - 1)), out=self.low[1:])
+        np.cumsum(own * (power >> np.uint64(32)), out=self.high[1:])
         self.down = _power(family, True, n + 1)
 
     def _named(self, low: np.ndarray, high: np.ndarray, down: np.ndarray) -> np.ndarray:
-        whole = _reduced(times(_reduced(high), np.uint64(1 << 32)) + _reduced(low))
-        return kernels.mix(times(whole, down))
+        # high * 2**32, where 2**61 is 1
+        high = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+        return kernels.mix(times(_reduced(high + _reduced(low)), down))
 
     def of(self, starts: np.ndarray, size) -> np.ndarray:
         ends = starts + size
@@ -97,6 +99,22 @@ class Rolling:
         return self._named(self.low[size:] - self.low[:n], self.high[size:] - self.high[:n], self.down[:n])
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each position on.
+
+    It only chooses triggers and gathers phrases, which are then told apart by
+    :class:`Rolling`; so a polynomial modulo 2**64 will do, at a fraction of the work.
+    """
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(kernels.BYTE_VALUES[data] * kernels._power("up", kernels._BASE, len(data)), out=sums[1:])
+    out = sums[GRAM:] - sums[:n]
+    out *= kernels._power("down", kernels._INVERSE, n)
+    return kernels.mix(out)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each run of ``width`` values."""
     n = len(values) - width + 1
@@ -118,7 +136,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int
     """
     second = second or Rolling(data, 1)
     span = length - GRAM + 1
-    grams = rolling.all(GRAM)
+    grams = gram_hashes(data)
     ranked = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
     least = sliding_least(ranked, span)
     n = len(least)

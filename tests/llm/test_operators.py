@@ -90,6 +90,19 @@ def test_rolling_hashes():
         assert len(set(r.of(np.array([450, 4546]), 4096).tolist())) == 2
 
 
+def test_substring_hashes_are_polynomials_of_small_values():
+    """A hash is the polynomial of its bytes modulo the prime, at any place; triggers do not use it."""
+    data = np.random.default_rng(6).integers(0, 256, 300_000).astype(np.uint8)
+    p, n = (1 << 61) - 1, 4096
+    at = np.array([0, 7, 150_001, len(data) - n])
+    for family in (0, 1):
+        values = (np.argsort(kernels.mix(kernels.BYTE_VALUES + np.uint64(family))) + 1).tolist()
+        want = [sum(values[b] * pow(parse._BASES[family], k, p) for k, b in enumerate(data[a : a + n].tolist())) % p for a in at.tolist()]
+        assert parse.Rolling(data, family).of(at, n).tolist() == kernels.mix(np.array(want, np.uint64)).tolist()
+    grams = parse.gram_hashes(np.tile(data[:1000], 3))
+    assert (grams[:1000] == grams[1000:2000]).all() and len(set(grams.tolist())) == 1000 and not len(parse.gram_hashes(data[:39]))
+
+
 def test_suffix_ranks_follow_bytes():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     order = parse.suffix_array(data).tolist()
