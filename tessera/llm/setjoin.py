@@ -430,7 +430,10 @@ def set_members(docs: DataFrame, rule: Rule, buckets: int, last: tuple[np.ndarra
 
 
 def difference_members(told: DataFrame, buckets: int) -> DataFrame:
-    """Members of the lists of early differences; ``scope`` is the document that they differ from."""
+    """Members of the lists of early differences; ``scope`` is the document that they differ from.
+
+    ``probe`` tells whether a set with no more differences than its partner meets it here.
+    """
 
     def keys_of(batch):
         # A few rows at a time: each may have thousands of differences.
@@ -441,9 +444,12 @@ def difference_members(told: DataFrame, buckets: int) -> DataFrame:
             flat = apart.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             a, b = (np.repeat(rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False), size) for c in ("a", "b"))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a, pos
+            probe = pos <= np.repeat(rows.column(rows.schema.get_field_index("most")).to_numpy(zero_copy_only=False), size) // 2
+            # The probe travels as the last bit of the place.
+            yield kernels.mix(flat + kernels.mix(a.view(np.uint64) + np.uint64(0x94D049BB133111EB))), b, a, 2 * pos + probe
 
-    return shared_keys(told.select("a", "b", "early"), keys_of, buckets, "differences")
+    met = shared_keys(told.select("a", "b", "most", "early"), keys_of, buckets, "differences")
+    return met.select("g", "doc", "scope", F.expr("pos div 2").cast("int").alias("pos"), F.expr("pos % 2").alias("probe"))
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -470,12 +476,6 @@ def split_lists(members: DataFrame, most: int | None = None) -> tuple[DataFrame,
     return materialize(long, "long"), materialize(short, "short")
 
 
-def probing(members: DataFrame, told: DataFrame) -> DataFrame:
-    """``members`` with ``probe``: whether a set with no more differences than its partner meets it here."""
-    facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "most")
-    return members.join(facts, ["scope", "doc"]).select("g", "doc", "scope", "pos", F.expr("int(pos <= most div 2)").alias("probe"))
-
-
 def pivot_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each document b with the pivot of most of its lists."""
     met = members.where(F.col("pivot") != F.col("doc")).groupBy("doc", "pivot").agg(F.count("*").alias("often"))
@@ -516,10 +516,14 @@ def next_pairs(long: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(F.col("pivot") != F.col("doc")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def short_pairs(short: DataFrame, columns: tuple[str, ...], labels: DataFrame) -> DataFrame:
-    """(g, a, b, a_*, b_*): pairs of one short list that are in different components."""
+def short_pairs(short: DataFrame, columns: tuple[str, ...], labels: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(g, a, b, a_*, b_*): pairs of one short list that are in different components.
+
+    ``facts`` (scope, doc, *) are met by the members of open lists only.
+    """
     told = labelled(short, labels)
-    left = told.join(open_lists(told), "g").select("g", "doc", "label", *columns)
+    left = told.join(open_lists(told), "g")
+    left = (left if facts is None else left.join(facts, ["scope", "doc"])).select("g", "doc", "label", *columns)
     named = lambda x: left.select("g", *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "label", *columns)])
     cross = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_label") != F.col("b_label"))
     return named("a").join(named("b"), "g").where(cross).withColumnRenamed("a_doc", "a").withColumnRenamed("b_doc", "b")
@@ -581,7 +585,7 @@ def difference_pairs(short: DataFrame, told: DataFrame, labels: DataFrame, rule:
     far the sets are apart.
     """
     facts = told.select(F.col("a").alias("scope"), F.col("b").alias("doc"), "n", "apart", *_SKETCH)
-    met = short_pairs(short.join(facts, ["scope", "doc"]), ("n", "apart", "pos", "probe", *_SKETCH), labels)
+    met = short_pairs(short, ("n", "apart", "pos", "probe", *_SKETCH), labels, facts)
     n, m, d, e = (F.col(c) for c in ("a_n", "b_n", "a_apart", "b_apart"))
     most = F.floor((n + m) * (rule.den - rule.num) / (rule.den + rule.num))
     far = reduce(Column.__add__, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH])
@@ -727,7 +731,7 @@ def links_around(round_: DataFrame, labels: DataFrame, links: DataFrame, slim: D
         labels = components(materialize(links, "links"))
         members = difference_members(told.where("apart > 0"), buckets)
         most = LONG_LIST * LONGER ** (len(candidates) + 1)
-        far, near = split_lists(materialize(probing(members, told), "probing"), most)
+        far, near = split_lists(members, most)
         candidates.append(materialize(difference_pairs(near, told, labels, rule), "pairs"))
         round_ = materialize(next_pairs(far, labels), "pairs")
     return labels, links, candidates

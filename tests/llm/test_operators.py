@@ -178,6 +178,13 @@ def test_template_pages_make_few_pairs(spark, rule, anywhere):
     assert met[240] <= 5 * met[60] + 50, met
 
 
+def test_differences_carry_their_probes(spark):
+    """The first half of what a set may post probes; no join is needed to tell."""
+    told = spark.createDataFrame([(1, 2, 5, [7, 8, 9, 10]), (1, 3, 3, [10, 9, 8, 7])], "a long, b long, most int, early array<long>")
+    got = sorted((r["doc"], r["pos"], r["probe"]) for r in setjoin.difference_members(told, 5).collect())
+    assert got == [(2, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 0), (3, 0, 1), (3, 1, 1), (3, 2, 0), (3, 3, 0)]
+
+
 def test_pages_with_words_of_their_own_are_settled_by_posting_again(spark, monkeypatch):
     """Only documents with little but a frequent passage are described around a pivot, and links stay whole."""
     described, around = [], setjoin.links_around
