@@ -51,7 +51,7 @@ class ListedRule:
 LISTED = (
     ListedRule(BLOCK, "com", "/en/"),
     ListedRule(ALLOW, "example.com", "/en/7"),
-    ListedRule(BLOCK, "net", "/de/"),
+    ListedRule(ALLOW, "net", "/de/"),
     ListedRule(BLOCK, "example.net", "/de/8"),
     ListedRule(BLOCK, "org", "/es/"),
 )
