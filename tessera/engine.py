@@ -123,11 +123,11 @@ class SearchEngine:
         docs.select(*[c.split()[0] for c in DOCS.split(", ")]).write.parquet(f"{self.path}/docs/{batch}")
         stored = self.spark.read.schema(DOCS).parquet(f"{self.path}/docs/{batch}")
         built = ix.build_index(stored, self.analyzer)
-        ix.clustered(built.postings).write.parquet(f"{self.path}/postings/{batch}")
         built.doc_stats.write.parquet(f"{self.path}/doc_stats/{batch}")
         sums = self.spark.read.schema(STATS).parquet(f"{self.path}/doc_stats/{batch}").agg(
             F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")
         ).first()
+        ix.clustered(built.postings, sums["t"]).write.parquet(f"{self.path}/postings/{batch}")
         if not self._claim(version):
             return None
         row = self.spark.createDataFrame([(batch, version, sums["n"], sums["t"], floor)], MANIFEST)
