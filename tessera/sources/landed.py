@@ -67,14 +67,18 @@ def sitemap_entries(text: Column) -> Column:
 
     Works on the text, so namespaces and broken tails do not matter.
     """
-    kind = F.when(text.rlike(r"(?is)<(?:\w+:)?sitemapindex\b"), "map").when(text.rlike(r"(?is)<(?:\w+:)?urlset\b"), "page")
+    # The kind is told once a text; inside the lambda the whole text would be searched again for every entry.
+    is_map, is_page = (text.rlike(rf"(?is)<(?:\w+:)?{tag}\b") for tag in ("sitemapindex", "urlset"))
     blocks = F.filter(F.split(text, r"(?i)</(?:\w+:)?(?:url|sitemap)\s*>"), lambda b: b.rlike(r"(?i)<(?:\w+:)?loc\b"))
     pick = lambda b, tag: F.trim(html._decoded(F.regexp_extract(b, rf"(?is)<(?:\w+:)?{tag}\b[^>]*>\s*(.*?)\s*</(?:\w+:)?{tag}\s*>", 1)))
-    rows = F.transform(
-        blocks,
-        lambda b: F.struct(kind.alias("kind"), pick(b, "loc").alias("loc"), F.nullif(pick(b, "lastmod"), F.lit("")).alias("lastmod")),
-    )
-    return F.when(kind.isNotNull(), F.filter(rows, lambda r: r["loc"] != "")).otherwise(F.array().cast("array<struct<kind:string,loc:string,lastmod:string>>"))
+
+    def rows(kind: str) -> Column:
+        found = F.transform(
+            blocks, lambda b: F.struct(F.lit(kind).alias("kind"), pick(b, "loc").alias("loc"), F.nullif(pick(b, "lastmod"), F.lit("")).alias("lastmod"))
+        )
+        return F.filter(found, lambda r: r["loc"] != "")
+
+    return F.when(is_map, rows("map")).when(is_page, rows("page")).otherwise(F.array().cast("array<struct<kind:string,loc:string,lastmod:string>>"))
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
@@ -88,24 +92,31 @@ def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
     below = F.substring("path", F.instr("path", root) + F.length(root), F.length("path"))
     name = F.when(F.contains("path", root), below).otherwise(F.element_at(F.split("path", "/"), -1))
     texts = files.select(name.alias("file"), _xml_text("content").alias("text"))
-    return texts.select("file", F.explode(sitemap_entries(F.coalesce("text", F.lit("")))).alias("e")).select("file", "e.*")
+    return file_entries(texts)
+
+
+def file_entries(texts: DataFrame) -> DataFrame:
+    """(file, kind, loc, lastmod) of sitemap texts (file, text)."""
+    # An inner generator would make the optimizer parse every text a second time, to drop empty arrays first.
+    each = texts.select("file", F.explode_outer(sitemap_entries(F.coalesce("text", F.lit("")))).alias("e"))
+    return each.where(F.col("e").isNotNull()).select("file", "e.*")
 
 
 def sitemap_urls(entries: DataFrame, root: str, most: int | None = None) -> DataFrame:
-    """(loc, lastmod) below ``root``; each of at most six levels is one join.
+    """(loc, lastmod) below ``root``; each of at most six levels is one join of maps, pages are joined once.
 
-    ``entries`` are (file, kind, loc, lastmod).  A child map is known by its whole address
-    without the scheme, where files were landed under host and path, else by its file name.
+    ``entries`` are (file, kind, loc, lastmod), best a stored table: every level reads its maps again.
+    A child map is known by its whole address without the scheme, where files were landed under
+    host and path, else by its file name.
     """
-    spark = entries.sparkSession
-    level = spark.createDataFrame([(root,)], "file string")
-    found = None
-    for _ in range(MOST_SITEMAP_DEPTH + 1):
-        here = entries.join(level, "file")
-        pages = here.where("kind = 'page'").select("loc", "lastmod")
-        found = pages if found is None else found.unionByName(pages)
-        names = F.array(F.regexp_replace("loc", "^[A-Za-z][A-Za-z0-9+.-]*://", ""), F.element_at(F.split("loc", "/"), -1))
-        level = here.where("kind = 'map'").select(F.explode(names).alias("file")).distinct()
+    names = F.array(F.regexp_replace("loc", "^[A-Za-z][A-Za-z0-9+.-]*://", ""), F.element_at(F.split("loc", "/"), -1))
+    children = entries.where("kind = 'map'").select("file", F.explode(names).alias("child")).distinct()
+    level = entries.sparkSession.createDataFrame([(root,)], "file string")
+    reached = level
+    for _ in range(MOST_SITEMAP_DEPTH):
+        level = children.join(level, "file").select(F.col("child").alias("file")).distinct()
+        reached = reached.unionByName(level)
+    found = entries.where("kind = 'page'").join(reached, "file").select("loc", "lastmod")
     return found if most is None else found.limit(most)
 
 

@@ -261,3 +261,22 @@ def test_sitemaps_of_one_name_do_not_clash(spark, tmp_path):
     (tmp_path / "root.xml").write_text("<sitemapindex><sitemap><loc>https://a.org/y/1.xml</loc></sitemap></sitemapindex>")
     found = landed.sitemap_urls(landed.read_sitemap_files(spark, str(tmp_path)), "root.xml")
     assert [r["loc"] for r in found.collect()] == ["https://a.org/q"]
+
+
+def test_long_sitemaps_are_read_once(spark, tmp_path, monkeypatch):
+    import time
+
+    from tessera.plans import catalog
+
+    # One text of 60,000 entries; searched whole for every entry this would not end within minutes.
+    entry = "'<url><loc>https://example.org/a-longer-path/of-some-page</loc></url>'"
+    texts = spark.range(1).selectExpr("'p.xml' AS file", f"concat('<urlset>', repeat({entry}, 60000), '</urlset>') AS text")
+    began = time.monotonic()
+    assert landed.file_entries(texts).where("kind = 'page'").count() == 60000
+    assert time.monotonic() - began < 60
+    # The maps grow in number with the pages, and rows without an id or of one URL stay.
+    monkeypatch.setattr(catalog, "SITEMAP_URLS", 10)
+    rows = [(i if i % 3 else None, f"https://example.org/{i // 2}?a=<&b={i // 2}") for i in range(95)] + [(99, None)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(r["loc"] for r in catalog.queries()["sitemap_pages"](spark, str(tmp_path)).collect())
+    assert got == sorted(u for _, u in rows if u)
