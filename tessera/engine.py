@@ -30,6 +30,8 @@ RESULT = "doc_id string, title string, snippet string, score double, url string,
 MANIFEST = "batch string, version int, docs long, tokens long, floor int"
 #: Seconds that a writer waits for the batch of another that was first.
 CLAIM_WAIT_S = 60
+#: Words of a query log, query by query, up to which words and queries are broadcast.
+MOST_BROADCAST_WORDS = 200_000
 POSTINGS = "term string, doc_id string, tf int, positions array<int>, dl int"
 STATS = "doc_id string, doc_len int"
 
@@ -291,19 +293,27 @@ def search_many(index: ix.Index, queries: DataFrame, k: int) -> DataFrame:
     """Top k of many plain queries at once: (query_id, doc_id, score, rank).
 
     ``queries`` has (query_id, text); documents that hold all words of a query
-    match.  One join serves all queries.
+    match.  Only documents on the list of a query's rarest word are looked at, so a frequent
+    word costs its list once and not once a query; queries with a word that no document holds are out.
     """
     from pyspark.sql import Window
 
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), "standard"))).alias("term"))
-    wanted = words.groupBy("query_id").agg(F.count("*").alias("need"))
-    freq = index.doc_freq().join(words.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(index.stats))
+    distinct = words.select("term").distinct()
+    sized = lambda df: F.broadcast(df) if few else df
+    few = words.limit(MOST_BROADCAST_WORDS + 1).count() <= MOST_BROADCAST_WORDS  # no fewer than queries
+    lists = index.postings.select("term", "doc_id", "tf", "dl").join(sized(distinct), "term", "left_semi")
+    freq = lists.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.stats))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    lists = index.postings.join(freq.select("term", weight.alias("idf"), "avgdl"), "term")
-    hits = lists.join(words, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("have"), F.sum(rank._weight()).alias("score"))
-    full = hits.join(wanted, "query_id").where("have = need")
+    told = words.join(freq.select("term", "df", weight.alias("idf"), "avgdl"), "term", "left")
+    wanted = told.groupBy("query_id").agg(F.count("*").alias("need"), F.count("df").alias("known"), F.min(F.struct("df", "term"))["term"].alias("term"))
+    rarest = wanted.where("need = known").select("query_id", "need", "term")
+    near = lists.select("term", "doc_id").join(sized(rarest), "term").select("query_id", "need", "doc_id")
+    # What is asked of each candidate: all words of its query.  Few, so they are hashed and the lists are not sorted.
+    asked = near.join(told.select("query_id", "term", "idf", "avgdl"), "query_id").hint("shuffle_hash")
+    hits = lists.join(asked, ["term", "doc_id"]).groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("have"), F.sum(rank._weight()).alias("score"))
     turn = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("doc_id").asc())
-    return full.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    return hits.where("have = need").withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
 def next_page(request: Request, response: Response) -> Request | None:

@@ -60,3 +60,27 @@ def test_backfill_keeps_every_page_of_a_host(spark, tmp_path):
     pages = [(i, f"https://hot.example.org/stories/page-{i}", html) for i in range(60)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert catalog.queries()["backfill"](spark, str(tmp_path)).count() == 60
+
+
+def test_batch_looks_at_lists_of_rare_words_only(spark):
+    """A frequent word of many queries: joined rows follow the rarest words, not queries times documents."""
+    from tessera.engine import search_many
+    from tessera.operators import index as ix
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "'' AS title", "concat('often w', id) AS body")
+    log = spark.range(200).selectExpr("id AS query_id", "concat('often w', id, if(id % 2 = 0, '', ' nowhere')) AS text")
+    found = search_many(ix.build_index(docs), log.unionByName(spark.createDataFrame([(900, "often")], log.schema)), 3)
+    rows = found.collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in rows) == sorted([(i, i) for i in range(0, 200, 2)] + [(900, i) for i in range(3)])
+
+    def joined(plan):
+        """Largest row number of a join in the plan that ran."""
+        name = plan.nodeName()
+        below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.child()] if name == "ReusedExchange" else []
+        below += [plan.children().apply(i) for i in range(plan.children().size())]
+        metric = plan.metrics().get("numOutputRows")
+        own = metric.get().value() if "Join" in name and metric.isDefined() else 0
+        return max([own, *map(joined, below)])
+
+    # Before: 300 documents on the list of "often" for each of 201 queries, 60,600 rows.
+    assert 0 < joined(found._jdf.queryExecution().executedPlan()) < 3000
